@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontam, packing, quality_rules
+from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    machine = fm_quality.train(docs, _read(spark, sf_dir, "labels"))
+    scored = fm_quality.score(docs, machine, keep=["doc_id"])
+    return scored.select("doc_id", fm_quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -29,6 +44,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_blocks": op1_html_blocks,
+        "op3_fm_quality": op3_fm_quality,
+        "op4_token_counts": op4_token_counts,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op10_decontamination": op10_decontamination,
