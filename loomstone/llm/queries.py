@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, token_counts
+from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, tgm_join, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tgm_join.jaccard_components(_read(spark, sf_dir, "documents"), size=3, numerator=90, denominator=100)
+
+
 def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     machine = fm_quality.train(docs, _read(spark, sf_dir, "labels"))
@@ -45,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_blocks": op1_html_blocks,
+        "op2_token_group_join": op2_token_group_join,
         "op3_fm_quality": op3_fm_quality,
         "op4_token_counts": op4_token_counts,
         "op7_quality_rules": op7_quality_rules,
