@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, tgm_join, token_counts
+from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, suffix_repeats, tgm_join, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_group_join": op2_token_group_join,
         "op3_fm_quality": op3_fm_quality,
         "op4_token_counts": op4_token_counts,
+        "op5_suffix_repeats": op5_suffix_repeats,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op10_decontamination": op10_decontamination,
