@@ -274,7 +274,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
     spans = whole.unionByName(solved)
     if known.where(F.col("kinds") > crowd).limit(1).count():
         windows = settle(surroundings(True).mapInArrow(_windows(length), "window long, doc_id long, start long, times long"))
-        twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+        place = F.struct("doc_id", "start")  # one place may be told by several anchors
+        twice = windows.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("times").alias("n")).where("x <> y OR n > 1").select("window")
         crowds = windows.join(twice, "window").select("doc_id", "start", (F.col("start") + length).alias("stop"))
         spans = spans.unionByName(crowds)
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
