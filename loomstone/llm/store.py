@@ -34,3 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def filesystem(path: str):
+    """(file system, path in it) of a path or URI, for binary files that Spark has no writer for."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
