@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, suffix_repeats, tgm_join, token_counts
+from loomstone.llm import decontam, fm_quality, html_blocks, packing, quality_rules, suffix_repeats, tgm_join, token_counts, training_order, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.round_trip(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -45,6 +49,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark, _read(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontam.digest(decontam.matches(docs, benchmark, keep=["doc_id"]))
@@ -57,8 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fm_quality": op3_fm_quality,
         "op4_token_counts": op4_token_counts,
         "op5_suffix_repeats": op5_suffix_repeats,
+        "op6_training_order": op6_training_order,
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
+        "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
     }
 
@@ -66,5 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_quality_rules": quality_rules.oracle(),
+        "op9_warc": warc.oracle(),
         "op10_decontamination": decontam.oracle(),
     }
