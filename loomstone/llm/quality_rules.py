@@ -74,6 +74,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Append the counts that the rules read."""
     body = F.coalesce(F.col(text), F.lit(""))
     words, lines = "__words", "__lines"
+    # a partition id makes the words unfit for substitution: a filter on the verdict would else carry the split into every step of the window search
+    body = F.when(F.spark_partition_id() >= 0, body)
     out = docs.withColumns({
         words: F.filter(F.split(F.btrim(body, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE}+"), lambda x: x != ""),
         lines: F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)),
@@ -82,7 +84,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*stop))).cast("long"),
@@ -109,6 +111,12 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that pass, with their own columns."""
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
+    return quality_rules(whole, "__text", rules).where("kept").select("__row.*")
+
+
 def verdict_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The table of thresholds as one SQL condition."""
     parts = []

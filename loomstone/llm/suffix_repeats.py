@@ -298,9 +298,9 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(body[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
 
 
-def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is kept, for every document."""
-    found, texts = repeats(docs, length)
+    found, texts = repeats(docs, length, gram)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,11 +315,12 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return texts.join(found, "doc_id", "left").mapInArrow(sum_up, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents without the bytes that repeats cover; other columns are carried on."""
-    found, _ = repeats(docs, length)
+    found, _ = repeats(docs, length, gram)
     joined = docs.join(found.withColumnRenamed("spans", "__spans"), "doc_id", "left")
-    position = joined.columns.index("text")
+    names = joined.columns[:-1]
+    position = names.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,6 +328,6 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for text, spans in zip(batch.column(position).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 texts.append(kept_bytes(text.encode(), merged(spans)).decode(errors="ignore") if spans else text)
             cols = [pa.array(texts, pa.string()) if i == position else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, joined.columns[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(rewrite, joined.drop("__spans").schema).select(*docs.columns)
