@@ -4,7 +4,8 @@ Texts become sets of hashed word n-grams.  Equal sets are folded to one
 representative.  Of every set only a prefix can decide whether a link is
 possible: a link at t needs ceil(t n) common tokens, so two linked sets share
 one of their first n - ceil(t n) + 1 tokens in any order that all sets use.
-The order here puts tokens that many texts share last, then goes by hash.
+The order here goes by the corpus count of a token's rarest word, then by hash,
+so prefixes hold tokens that few other texts have.
 
 Sets that share a prefix token are partitioned into bounded groups of similar
 ones by their min-hashes; inside a group linked sets are joined to cells.  The
@@ -38,42 +39,45 @@ from loomstone.llm.graph import components
 from loomstone.llm.store import settle
 from loomstone.llm.words import NOT_SPACE, lower_ascii, mix, prefix_hash, slices, span_hash, spans
 
-#: Sets a group or cell holds on average, queries opened in one task's group, and tokens that may be ordered last.
+#: Sets a group or cell holds on average, queries opened in one task's group, and slots of the table of word counts.
 GROUP = 64
 QUERIES = 256
-COMMON = 1 << 17
-#: Sets of one slice in which a token must occur to be counted as common, and the count from which it is.
-COMMON_LEAST = 8
+SLOTS = 1 << 20
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0))
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sorted distinct shingle hashes of each row) for every slice of a text column."""
+def shingle_sets(column: pa.Array, size: int, counts: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """(first row, sorted distinct shingle hashes of each row, their rarest words' counts) for every slice of a text column."""
     for a, b, data, offsets in slices(column):
         low = lower_ascii(data)
         s, e, first = spans(low, offsets, NOT_SPACE)
+        none = np.zeros(0, np.uint64)
         if not len(s):
-            yield a, [np.zeros(0, np.uint64)] * (b - a)
+            yield a, [none] * (b - a), [none.view(np.int64)] * (b - a)
             continue
         word = span_hash(prefix_hash(low), s, e)
         grams = np.zeros(len(word), np.uint64)
+        times = rare = counts[word & _U(len(counts) - 1)] if counts is not None else np.zeros(len(word), np.int64)
+        rare = rare.copy()
         for k in range(size):
             grams[: len(word) - k] += word[k:] * _MULTIPLIERS[k]
+            np.minimum(rare[: len(word) - k], times[k:], out=rare[: len(word) - k])
         grams = mix(grams)
-        out = []
+        out, rarity = [], []
         for i in range(b - a):
             lo, hi = first[i], first[i + 1]
             if hi - lo >= size:
-                out.append(np.unique(grams[lo : hi - size + 1]))
+                x, at = np.unique(grams[lo : hi - size + 1], return_index=True)
+                out.append(x), rarity.append(rare[lo + at])
             elif hi > lo:
                 few = (word[lo:hi] * _MULTIPLIERS[: hi - lo]).sum(dtype=np.uint64)
-                out.append(mix(np.array([few + _U(int(hi - lo))], np.uint64)))
+                out.append(mix(np.array([few + _U(int(hi - lo))], np.uint64))), rarity.append(rare[lo : lo + 1])
             else:
-                out.append(np.zeros(0, np.uint64))
-        yield a, out
+                out.append(none), rarity.append(none.view(np.int64))
+        yield a, out, rarity
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -108,32 +112,35 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def common_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """Tokens that recur within slices all over the corpus: a bounded list, used for ordering only."""
+def word_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """How often words of each hash slot occur in the whole corpus; the table has a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
         for batch in batches:
-            for _, sets in shingle_sets(batch.column(0), size):
-                seen = {(len(x), int(x.sum(dtype=np.uint64))): x for x in sets if len(x)}  # copies count once
-                if seen:
-                    token, times = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                    keep = times > 1
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(token[keep])), pa.array(times[keep].astype(np.int64))], ["token", "times"])
-
-    counted = docs.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    top = counted.where(F.col("times") >= COMMON_LEAST).orderBy(F.desc("times"), "token").limit(COMMON)
-    found = top.select("token").toArrow()["token"].to_numpy()
-    return np.sort(np.ascontiguousarray(found).view(np.uint64))
-
-
-def signatures(docs: DataFrame, size: int, level: Jaccard, common: np.ndarray) -> DataFrame:
+            for _, _, data, offsets in slices(batch.column(0)):
+                low = lower_ascii(data)
+                s, e, _ = spans(low, offsets, NOT_SPACE)
+                if len(s):
+                    total += np.bincount((span_hash(prefix_hash(low), s, e) & _U(slots - 1)).astype(np.int64), minlength=slots)
+        slot = np.flatnonzero(total)
+        for at in range(0, len(slot), 1 << 16):
+            part = slot[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "times"])
+
+    counted = docs.select("text").mapInArrow(count, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[counted["slot"].to_numpy()] = counted["times"].to_numpy()
+    return out
+
+
+def signatures(docs: DataFrame, size: int, level: Jaccard, counts: np.ndarray) -> DataFrame:
     """doc_id, n, a 128-bit set fingerprint, two min-hashes and the prefix of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = sent.value
         for batch in batches:
-            for a, sets in shingle_sets(batch.column(1), size):
+            for a, sets, rarity in shingle_sets(batch.column(1), size, sent.value):
                 n = np.array([len(x) for x in sets], np.int64)
                 fields = np.zeros((4, len(sets)), np.uint64)
                 prefixes = []
@@ -144,12 +151,8 @@ def signatures(docs: DataFrame, size: int, level: Jaccard, common: np.ndarray) -
                     fields[0, i], fields[1, i] = x.sum(dtype=np.uint64), mix(x ^ _SEEDS[0]).sum(dtype=np.uint64)
                     fields[2, i], fields[3, i] = mix(x ^ _SEEDS[1]).min(), mix(x ^ _SEEDS[2]).min()
                     take = len(x) - level.need(len(x)) + 1
-                    if len(last):
-                        at = np.searchsorted(last, x)
-                        at[at == len(last)] = 0
-                        late = last[at] == x
-                        x = np.concatenate([x[~late], x[late]])
-                    prefixes.append(_signed(x[:take]))
+                    # the sets are sorted by hash, so a stable sort orders by (rarity, hash)
+                    prefixes.append(_signed(x[np.argsort(rarity[i], kind="stable")[:take]]))
                 sizes = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = np.concatenate(prefixes)
                 cols = [batch.column(0).slice(a, len(sets)), pa.array(n), *(pa.array(_signed(f)) for f in fields), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
@@ -167,7 +170,7 @@ def _cells(level: Jaccard, size: int):
         ids, own = table["doc_id"].to_numpy(), table["own"].to_numpy()
         first = np.concatenate(([True], ids[1:] != ids[:-1]))
         table, ids, own = table.filter(pa.array(first)), ids[first], own[first]
-        sets = [x for _, part in shingle_sets(table["text"].combine_chunks(), size) for x in part]
+        sets = [x for _, part, _ in shingle_sets(table["text"].combine_chunks(), size) for x in part]
         cells: list[list[int]] = []
         for i, x in enumerate(sets):
             joined = [c for c in cells if any(level.linked(x, sets[j]) for j in c)]
@@ -185,7 +188,7 @@ def _open(level: Jaccard, size: int):
 
     def look(table: pa.Table) -> pa.Table:
         ids, query = table["doc_id"].to_numpy(), table["query"].to_numpy()
-        sets = [x for _, part in shingle_sets(table["text"].combine_chunks(), size) for x in part]
+        sets = [x for _, part, _ in shingle_sets(table["text"].combine_chunks(), size) for x in part]
         members = [i for i in range(len(ids)) if not query[i]]
         a, b = [], []
         if members:
@@ -219,12 +222,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     """doc_id, n_shingles and component_id (the smallest linked id) of every document."""
     level = Jaccard(numerator, denominator)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(signatures(texts, size, level, common_tokens(texts, size)))
+    signed = settle(signatures(texts, size, level, word_counts(texts)))
     classes = signed.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
     classes = settle(classes)
     folded = signed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).where("n > 0")
 
-    tokens = folded.select("doc_id", "n", F.explode("prefix").alias("token"))
+    tokens = folded.select("doc_id", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token")
     matrix = settle(tokens.join(shared, "token"))
     cand = folded.select("doc_id", "mh_a", "mh_b").join(matrix.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -233,10 +236,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     wanted = texts.join(groups, "doc_id")
     joined = settle(wanted.groupBy("mh_a", "part", "salt").applyInArrow(_cells(level, size), "doc_id long, cell long, own boolean"))
     near = components(joined.select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
-    cells = joined.where("own").select("doc_id", "cell")
+    cells = joined.where("own").select("doc_id", "cell").join(folded.select("doc_id", "n"), "doc_id")
 
     # the matrix again, with the component of every set; tokens of one component only can't add a link
-    roots = cells.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cell", F.coalesce("root", "doc_id").alias("root"))
+    roots = cells.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "cell", F.coalesce("root", "doc_id").alias("root"))
     placed = settle(matrix.join(roots, "doc_id"))
     across = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     open_rows = settle(placed.join(across, "token"))
