@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomstone.plans import operations, retrieval, streams, study, texts
+from loomstone.plans.shared import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+AREAS = (retrieval.area, texts.area, study.area, operations.area, streams.area)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for area in AREAS for name, query in area.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for area in AREAS for name, text in area.oracles.items()}
