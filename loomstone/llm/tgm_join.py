@@ -227,7 +227,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     classes = settle(classes)
     folded = signed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).where("n > 0")
 
-    tokens = folded.select("doc_id", F.explode("prefix").alias("token"))
+    tokens = folded.select("doc_id", F.posexplode("prefix").alias("place", "token"))
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token")
     matrix = settle(tokens.join(shared, "token"))
     cand = folded.select("doc_id", "mh_a", "mh_b").join(matrix.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -243,8 +243,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     placed = settle(matrix.join(roots, "doc_id"))
     across = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     open_rows = settle(placed.join(across, "token"))
-    columns = open_rows.groupBy("token", F.col("cell").alias("to_cell"), F.col("root").alias("to_root")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    entry = (F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("first"))
+    columns = open_rows.groupBy("token", F.col("cell").alias("to_cell"), F.col("root").alias("to_root")).agg(*entry)
+    # a pair's first common token leaves room for t / (1 + t) of both sizes behind it on either side
+    needed = (F.col("n") + F.col("least")) * numerator
     fits = (F.col("n") * denominator >= F.col("least") * numerator) & (F.col("most") * denominator >= F.col("n") * numerator)
+    for room in (F.col("n") - F.col("place"), F.col("most") - F.col("first")):
+        fits = fits & (room * (numerator + denominator) >= needed)
     asked = open_rows.join(columns, "token").where((F.col("root") < F.col("to_root")) & fits).select("doc_id", "to_cell").distinct()
     asked = settle(asked)
     sizes = asked.groupBy("to_cell").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
