@@ -30,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.store import settle
+from loomstone.llm.store import settle, settle_table
 from loomstone.llm.words import mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 128
 CROWD = 1 << 16
+#: Slots of the table that tells texts without any repeated anchor from the others before a shuffle.
+SLOTS = 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,37 +251,58 @@ def _windows(length: int):
     return run
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).alias("__slot")
+
+
+def _touched(texts: DataFrame, slots: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The texts whose slot is (or, by left_anti, is not) taken; at most ``SLOTS`` numbers are broadcast."""
+    return texts.withColumn("__slot", _slot()).join(F.broadcast(slots), "__slot", how).drop("__slot")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, spans) with the bytes that repeats cover, as (start, stop) pairs that may overlap; and the texts, dealt by id."""
+    """(doc_id, spans) with the bytes that repeats cover, as (start, stop) pairs that may overlap; and the slots of all such texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = settle(texts.mapInArrow(_scan(length, gram), "anchor long, around long, doc_id long, left int, right int, places array<int>"))
-    first = F.min(F.struct("doc_id", F.element_at("places", 1).alias("place"))).alias("at")
-    kinds = rows.groupBy("anchor", "around").agg(F.sum(F.size("places")).alias("times"), first)
+    rows = settle_table(texts.mapInArrow(_scan(length, gram), "anchor long, around long, doc_id long, left int, right int, places array<int>"), "anchors")
+    kinds = rows.groupBy("anchor", "around").agg(F.sum(F.size("places")).alias("times")).repartition("anchor")
     counts = kinds.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    known = settle(kinds.join(counts, "anchor"))
+    known = kinds.join(counts, "anchor").select("anchor", "around", "times", "kinds")
+    hits = settle_table(rows.join(known, ["anchor", "around"]), "repeated-anchors")
+    slots = hits.select(_slot()).distinct()
     # equal surroundings repeat whole
-    again = known.where("times > 1").select("anchor", "around")
-    whole = rows.where(F.col("left") + F.col("right") >= length).join(again, ["anchor", "around"])
+    whole = hits.where((F.col("times") > 1) & (F.col("left") + F.col("right") >= length))
     whole = whole.select("doc_id", F.explode("places").alias("p"), "left", "right").select("doc_id", (F.col("p") - F.col("left")).cast("long").alias("start"), (F.col("p") + F.col("right")).cast("long").alias("stop"))
-    # distinct ones go to the suffix array of their anchor
-    wanted = known.where("kinds > 1").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", F.col("at.place").alias("place"), "times", "kinds")).alias("want"))
+    # one of each of the distinct ones goes to the suffix array of its anchor
+    distinct = hits.where("kinds > 1").select("anchor", "around", "times", "kinds", "doc_id", F.element_at("places", 1).alias("place"))
+    one = distinct.where("times > 1").groupBy("anchor", "around", "times", "kinds").agg(F.min("doc_id").alias("doc_id"))
+    one = distinct.join(one, ["anchor", "around", "times", "kinds", "doc_id"], "left_semi")
+    wanted = distinct.where("times = 1").union(one).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "times", "kinds")).alias("want"))
     schema = "anchor long, doc_id long, place int, left int, times long, body binary"
 
     def surroundings(crowded: bool) -> DataFrame:
         side = (lambda x: x["kinds"] > crowd) if crowded else (lambda x: x["kinds"] <= crowd)
         some = wanted.withColumn("want", F.filter("want", side)).where(F.size("want") > 0)
-        return texts.join(some, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut(length, gram), schema)
+        return _touched(texts, slots).join(some, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut(length, gram), schema)
 
     solved = surroundings(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), "doc_id long, start long, stop long")
     spans = whole.unionByName(solved)
-    if known.where(F.col("kinds") > crowd).limit(1).count():
+    if hits.where(F.col("kinds") > crowd).limit(1).count():
         windows = settle(surroundings(True).mapInArrow(_windows(length), "window long, doc_id long, start long, times long"))
         place = F.struct("doc_id", "start")  # one place may be told by several anchors
         twice = windows.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("times").alias("n")).where("x <> y OR n > 1").select("window")
         crowds = windows.join(twice, "window").select("doc_id", "start", (F.col("start") + length).alias("stop"))
         spans = spans.unionByName(crowds)
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return found, texts
+    return found, slots
+
+
+def with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """All rows with a last column of spans, null where nothing repeats; texts that no repeat touches aren't shuffled."""
+    found, slots = repeats(docs, length, gram)
+    named = found.withColumnRenamed("spans", "__spans")
+    none = F.lit(None).cast(named.schema["__spans"].dataType)
+    rest = _touched(docs, slots, "left_anti").withColumn("__spans", none)
+    return _touched(docs, slots).join(named, "doc_id", "left").select(*docs.columns, "__spans").unionByName(rest)
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -300,7 +323,7 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is kept, for every document."""
-    found, texts = repeats(docs, length, gram)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,13 +335,12 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.join(found, "doc_id", "left").mapInArrow(sum_up, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(texts, length, gram).mapInArrow(sum_up, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents without the bytes that repeats cover; other columns are carried on."""
-    found, _ = repeats(docs, length, gram)
-    joined = docs.join(found.withColumnRenamed("spans", "__spans"), "doc_id", "left")
+    joined = with_spans(docs, length, gram)
     names = joined.columns[:-1]
     position = names.index("text")
 
