@@ -21,7 +21,7 @@ from loomstone.llm.store import fresh_folder
 
 #: A passage of over fifty words has more bytes than this in the languages of the corpus.
 REPEAT_BYTES = 250
-REPEAT_GRAM = 96
+REPEAT_GRAM = 64
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
