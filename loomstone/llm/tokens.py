@@ -96,7 +96,7 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.n
 
 def encode_column(column: pa.Array, path: str):
     """Yield (row, ids) for every row of a string column; null counts as empty."""
-    for a, b, data, offsets in slices(column, 8 << 20):
+    for a, b, data, offsets in slices(column, 4 << 20):
         ids, at = encode_slice(data, offsets, path)
         for i in range(b - a):
             yield a + i, ids[at[i] : at[i + 1]]
