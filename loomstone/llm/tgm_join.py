@@ -238,19 +238,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     near = components(joined.select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
     cells = joined.where("own").select("doc_id", "cell").join(folded.select("doc_id", "n"), "doc_id")
 
-    # the matrix again, with the component of every set; tokens of one component only can't add a link
+    # the matrix again, with the component of every set; tokens of one component only can't add a link. Sets of the smaller
+    # of two components are the queries: a crowd of linked sets is asked by cell, and doesn't ask for each of its sets
     roots = cells.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "cell", F.coalesce("root", "doc_id").alias("root"))
-    placed = settle(matrix.join(roots, "doc_id"))
+    roots = settle(roots)
+    weight = roots.groupBy("root").agg(F.count("*").alias("weight"))
+    placed = settle(matrix.join(roots.join(weight, "root"), "doc_id"))
     across = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     open_rows = settle(placed.join(across, "token"))
     entry = (F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("first"))
-    columns = open_rows.groupBy("token", F.col("cell").alias("to_cell"), F.col("root").alias("to_root")).agg(*entry)
+    columns = open_rows.groupBy("token", F.col("cell").alias("to_cell"), F.col("root").alias("to_root"), F.col("weight").alias("to_weight")).agg(*entry)
     # a pair's first common token leaves room for t / (1 + t) of both sizes behind it on either side
     needed = (F.col("n") + F.col("least")) * numerator
     fits = (F.col("n") * denominator >= F.col("least") * numerator) & (F.col("most") * denominator >= F.col("n") * numerator)
     for room in (F.col("n") - F.col("place"), F.col("most") - F.col("first")):
         fits = fits & (room * (numerator + denominator) >= needed)
-    asked = open_rows.join(columns, "token").where((F.col("root") < F.col("to_root")) & fits).select("doc_id", "to_cell").distinct()
+    asked = open_rows.join(columns, "token").where((F.struct("weight", "root") < F.struct("to_weight", "to_root")) & fits).select("doc_id", "to_cell").distinct()
     asked = settle(asked)
     sizes = asked.groupBy("to_cell").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
     ask = asked.join(sizes, "to_cell").select("doc_id", "to_cell", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), F.lit(True).alias("query"))
