@@ -8,7 +8,8 @@ The order here goes by the corpus count of a token's rarest word, then by hash,
 so prefixes hold tokens that few other texts have.
 
 Sets that share a prefix token are partitioned into bounded groups of similar
-ones by their min-hashes; inside a group linked sets are joined to cells.  The
+ones by their min-hashes; inside a group linked sets are joined to cells, which
+are bounded too.  The
 token-group matrix holds which token occurs in which cell.  A set is a query to
 every cell of another component with which it has a matrix entry in common; the
 cell's token union bounds the overlap, and only cells whose bound reaches
@@ -162,8 +163,12 @@ def signatures(docs: DataFrame, size: int, level: Jaccard, counts: np.ndarray) -
     return docs.select("doc_id", "text").mapInArrow(sign, schema)
 
 
-def _cells(level: Jaccard, size: int):
-    """Join the linked sets of one group into cells; a cell is named by its smallest member."""
+def _cells(level: Jaccard, size: int, most: int):
+    """Join the linked sets of one group into cells of at most ``most`` own members.
+
+    A cell is named by its smallest own member: a set is own in one group only, so a cell stays inside its group.  Rows that
+    aren't own link the pivots, and the cells that a larger one was cut into, to its first cell.
+    """
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("own", "descending")])
@@ -175,10 +180,20 @@ def _cells(level: Jaccard, size: int):
         for i, x in enumerate(sets):
             joined = [c for c in cells if any(level.linked(x, sets[j]) for j in c)]
             cells = [c for c in cells if c not in joined] + [sorted([j for c in joined for j in c] + [i])]
-        name = np.zeros(len(ids), np.int64)
+        member, name, mine = [], [], []
         for c in cells:
-            name[c] = ids[c[0]]
-        return pa.table({"doc_id": ids, "cell": name, "own": own})
+            held = [j for j in c if own[j]]
+            lead = (held or c)[0]
+            for at in range(0, len(held), most):
+                block = held[at : at + most]
+                member += block + [block[0]]
+                name += [block[0]] * len(block) + [lead]
+                mine += [True] * len(block) + [False]
+            pivots = [j for j in c if not own[j]]
+            member += pivots
+            name += [lead] * len(pivots)
+            mine += [False] * len(pivots)
+        return pa.table({"doc_id": ids[member], "cell": ids[name], "own": pa.array(mine, pa.bool_())})
 
     return join
 
@@ -234,7 +249,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     groups = settle(_grouped(settle(cand), group))
 
     wanted = texts.join(groups, "doc_id")
-    joined = settle(wanted.groupBy("mh_a", "part", "salt").applyInArrow(_cells(level, size), "doc_id long, cell long, own boolean"))
+    joined = settle(wanted.groupBy("mh_a", "part", "salt").applyInArrow(_cells(level, size, 2 * group), "doc_id long, cell long, own boolean"))
     near = components(joined.select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
     cells = joined.where("own").select("doc_id", "cell").join(folded.select("doc_id", "n"), "doc_id")
 

@@ -71,6 +71,32 @@ def test_jaccard_components(spark, size, num, group):
     assert [got[i].component_id for i in range(len(texts))] == root
 
 
+def test_crowd_of_near_copies_is_opened_in_bounded_groups(spark, monkeypatch):
+    """Near copies of one text that share a min-hash: no group takes more than twice the group's size and its queries."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, *(f"e{rng.randrange(10**9)}" for _ in range(k))]) for k in [3] * 120 + [17, 18] * 20]
+    seen = spark.sparkContext.accumulator(0)
+    look = tgm_join._open
+
+    def watched(level, size):
+        inner = look(level, size)
+
+        def run(table):
+            members = sum(not q for q in table["query"].to_pylist())
+            if members > 8:
+                seen.add(1)
+            return inner(table)
+
+        return run
+
+    monkeypatch.setattr(tgm_join, "_open", watched)
+    sets, root = classes(texts, 3, 80)
+    got = {r.doc_id: r.component_id for r in tgm_join.jaccard_components(make(spark, texts), 3, 80, 100, 4).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert len(set(root)) < len(root) and seen.value == 0
+
+
 def test_keep_one_and_empty_table(spark):
     texts = corpus(3)
     _, root = classes(texts, 5, 80)
