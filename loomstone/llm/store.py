@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with a doc_id that only one row has; if some were null or repeated, numbers replace all and ``__id`` has the given ones."""
+    clash = docs.groupBy("doc_id").agg(F.count("*").alias("__rows")).where("doc_id IS NULL OR __rows > 1")
+    if not clash.limit(1).count():
+        return docs, False
+    # settled, since the numbers hold for one reading only
+    return settle(docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())), True
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ Defined results: a null or empty text has no bytes; texts under ``LENGTH``
 bytes repeat nothing; repeats may overlap and may lie in one text; matches
 never cross texts; removed bytes may leave invalid UTF-8 only where a repeat
 cut a character, and ``remove`` then drops the broken character; ids are taken
-to be unique; extra columns are ignored by ``repeats`` and carried by
+to be unique, except by ``remove``, where every row stands for itself; extra columns are ignored by ``repeats`` and carried by
 ``remove``; an empty table gives an empty table.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.store import settle, settle_table
+from loomstone.llm.store import keyed, settle, settle_table
 from loomstone.llm.words import mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
@@ -340,7 +340,8 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents without the bytes that repeats cover; other columns are carried on."""
-    joined = with_spans(docs, length, gram)
+    rows, renamed = keyed(docs)
+    joined = with_spans(rows, length, gram)
     names = joined.columns[:-1]
     position = names.index("text")
 
@@ -352,4 +353,5 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             cols = [pa.array(texts, pa.string()) if i == position else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(rewrite, joined.drop("__spans").schema).select(*docs.columns)
+    out = joined.mapInArrow(rewrite, joined.drop("__spans").schema)
+    return (out.withColumn("doc_id", F.col("__id")) if renamed else out).select(*docs.columns)

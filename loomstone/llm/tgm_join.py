@@ -23,7 +23,7 @@ crowded min-hash holds, and tokens of one component only are dropped.
 Defined results: texts without words (null, empty, white space) have no
 shingle and are linked with nothing; a text of fewer words than a shingle is
 one shingle; ids are taken to be unique, and rows with one id share a
-component; a text of any length is used whole; extra columns are ignored; an
+component, but ``keep_one`` treats rows of one id or without id as rows of their own; a text of any length is used whole; extra columns are ignored; an
 empty table gives an empty table.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.graph import components
-from loomstone.llm.store import settle
+from loomstone.llm.store import keyed, settle
 from loomstone.llm.words import NOT_SPACE, lower_ascii, mix, prefix_hash, slices, span_hash, spans
 
 #: Sets a group or cell holds on average, queries opened in one task's group, and slots of the table of word counts.
@@ -284,6 +284,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
 
 
 def keep_one(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """The documents that have the smallest id of their component."""
-    roots = jaccard_components(docs, size, numerator, denominator).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(roots, "doc_id", "left_semi").select(*docs.columns)
+    """One row of every component: the one with the smallest id, null last; rows of one id and one text are copies as any others."""
+    rows, renamed = keyed(docs)
+    found = jaccard_components(rows, size, numerator, denominator)
+    if not renamed:
+        roots = found.where("doc_id = component_id").select("doc_id")
+        return docs.join(roots, "doc_id", "left_semi").select(*docs.columns)
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "doc_id")
+    best = found.join(rows.select("doc_id", "__id"), "doc_id").groupBy("component_id").agg(F.min(order).alias("best")).select("best.doc_id")
+    return rows.join(best, "doc_id", "left_semi").withColumn("doc_id", F.col("__id")).select(*docs.columns)

@@ -106,6 +106,22 @@ def test_keep_one_and_empty_table(spark):
     assert tgm_join.jaccard_components(make(spark, [])).count() == 0
 
 
+def test_repeated_and_null_ids_lose_no_document(spark):
+    """A repeated row leaves one row whole, other texts under its id stay, and rows without id stay."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"word{rng.randrange(10**6)}" for _ in range(80))
+    clean, other, single, nameless, alone = (text() for _ in range(5))
+    passage = text()
+    rows = [(1, clean), (1, clean), (1, other), (2, single), (None, nameless), (None, nameless), (None, single), (None, alone + " " + passage), (3, "start " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = tgm_join.keep_one(docs)
+    order = lambda found: sorted(found, key=repr)
+    want = [(1, clean), (1, other), (2, single), (None, nameless), (None, alone + " " + passage), (3, "start " + passage)]
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order(want)
+    left = suffix_repeats.remove(kept, 250, 64)
+    assert order((r.doc_id, r.text.rstrip()) for r in left.collect()) == order([*want[:4], (None, alone), (3, "start")])
+
+
 def covered(bodies, length):
     count = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
     out = []
