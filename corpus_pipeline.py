@@ -5,8 +5,8 @@ All but the last return the columns of documents.
 
 1. quality_rules: documents that break a rule of the threshold table go.
 2. jaccard_join: of documents linked by five-word shingles at 0.8 or more, the smallest id stays.
-3. suffix_dedup: bytes covered by a string of REPEAT_BYTES that starts anywhere else go; a
-   document without a word left goes with them.
+3. suffix_dedup: bytes covered by a string of REPEAT_BYTES, or by a run of REPEAT_WORDS words, that
+   starts anywhere else go; a document without a word left goes with them.
 4. decontamination: documents that hold a window of the benchmark go.
 5. packing: pieces of at most 2048 tokens, placed in sequences.
 """
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from loomstone.llm import decontam, packing, quality_rules, suffix_repeats, tgm_join
 from loomstone.llm.store import fresh_folder
 
-#: A passage of over fifty words has more bytes than this in the languages of the corpus.
+#: Few passages of over fifty words have fewer bytes than this; those are found by their words.
 REPEAT_BYTES = 250
+REPEAT_WORDS = 51
 REPEAT_GRAM = 64
 
 
@@ -33,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_repeats.remove(docs, REPEAT_BYTES, REPEAT_GRAM).where(F.col("text").rlike(quality_rules.WORD))
+    left = suffix_repeats.remove(docs, REPEAT_BYTES, REPEAT_GRAM, REPEAT_WORDS).where(F.col("text").rlike(quality_rules.WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.store import keyed, settle, settle_table
-from loomstone.llm.words import mix, prefix_hash, slices, span_hash
+from loomstone.llm.words import NOT_SPACE, mix, prefix_hash, slices, span_hash, spans
 
 LENGTH = 400
 GRAM = 128
@@ -296,9 +296,47 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
     return found, slots
 
 
-def with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _short(words: int, length: int):
+    """Hashes of all runs of ``words`` whole words that have under ``length`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(1)):
+                s, e, first = spans(data, offsets, NOT_SPACE)
+                if len(s) < words:
+                    continue
+                row = np.repeat(np.arange(b - a), np.diff(first))
+                lo, hi = s[: len(s) - words + 1], e[words - 1 :]
+                at = np.flatnonzero((row[: len(lo)] == row[words - 1 :]) & (hi - lo < length))
+                if not len(at):
+                    continue
+                window = span_hash(prefix_hash(data), lo[at], hi[at])
+                row = row[at]
+                for x in range(0, len(at), 1 << 16):
+                    y = slice(x, x + (1 << 16))
+                    start = lo[at[y]] - offsets[row[y]]
+                    cols = [pa.array(window[y].view(np.int64)), batch.column(0).take(pa.array(a + row[y])), pa.array(start), pa.array(start + hi[at[y]] - lo[at[y]])]
+                    yield pa.RecordBatch.from_arrays(cols, ["window", "doc_id", "start", "stop"])
+
+    return run
+
+
+def short_repeats(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(doc_id, spans) of runs of ``words`` words under ``length`` bytes that start anywhere else too; longer runs are found by bytes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    windows = settle_table(texts.mapInArrow(_short(words, length), "window long, doc_id long, start long, stop long"), "short-windows")
+    place = F.struct("doc_id", "start")
+    twice = windows.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("window")
+    return windows.join(twice, "window").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+
+
+def with_spans(docs: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
     """All rows with a last column of spans, null where nothing repeats; texts that no repeat touches aren't shuffled."""
     found, slots = repeats(docs, length, gram)
+    if words:
+        short = settle(short_repeats(docs, words, length))
+        found = found.unionByName(short).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        slots = slots.union(short.select(_slot())).distinct()
     named = found.withColumnRenamed("spans", "__spans")
     none = F.lit(None).cast(named.schema["__spans"].dataType)
     rest = _touched(docs, slots, "left_anti").withColumn("__spans", none)
@@ -338,10 +376,10 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     return with_spans(texts, length, gram).mapInArrow(sum_up, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The documents without the bytes that repeats cover; other columns are carried on."""
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """The documents without the bytes that repeats of ``length`` bytes, or of ``words`` words if given, cover; other columns are carried on."""
     rows, renamed = keyed(docs)
-    joined = with_spans(rows, length, gram)
+    joined = with_spans(rows, length, gram, words)
     names = joined.columns[:-1]
     position = names.index("text")
 

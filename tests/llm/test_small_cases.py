@@ -156,6 +156,22 @@ def test_remove_keeps_columns(spark):
     assert got[2] == "clean text" and got[3] is None and "shared40" not in got[0] and got[0].startswith("alpha") and got[1].endswith("delta")
 
 
+def test_pipeline_removes_short_passages_of_fifty_one_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefghij\u00e9") for _ in range(k))
+    line = lambda n: " ".join(word(3) for _ in range(n))
+    passage, fifty = line(51), line(50)
+    assert len(passage.encode()) < corpus_pipeline.REPEAT_BYTES
+    texts = [f"first{i} {word(9)} {passage} {word(8)} last{i}" for i in range(2)] + [f"one{i} {fifty} two{i}" for i in range(2)] + [None, "", line(300), f"{passage}", "q " * 70 + "end"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, make(spark, texts), "").collect()}
+    for i in range(2):
+        assert got[i].split() == texts[i].replace(passage, "").split()
+        assert got[2 + i] == texts[2 + i]
+    assert got[6] == texts[6] and 7 not in got and got[8].split() == ["end"]
+
+
 def test_interval_tree_against_all_pairs():
     rng = random.Random(2)
     for _ in range(200):
