@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -10,17 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the session's default file system resolves it."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(name).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one of our own."""
+    """The folder that spark.checkpoint.dir names; unset, a temporary one in local mode (tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return os.path.dirname(known.rstrip("/"))
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not named:
+        known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        if not known:
+            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        named = spark.sparkContext.getCheckpointDir().rstrip("/").rpartition("/")[0]
+    return qualified(spark, named).rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -39,24 +45,31 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """The rows with a doc_id that only one row has; if some were null or repeated, numbers replace all and ``__id`` has the given ones."""
-    clash = docs.groupBy("doc_id").agg(F.count("*").alias("__rows")).where("doc_id IS NULL OR __rows > 1")
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): an id that only one row has, the text, and a struct of all other columns and the given id.
+
+    The given ids serve where no two rows share one and none is null; else numbers replace them all, settled, since they hold
+    for one reading only.
+    """
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest).alias("row"))
+    clash = packed.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1")
     if not clash.limit(1).count():
-        return docs, False
-    # settled, since the numbers hold for one reading only
-    return settle(docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())), True
+        return packed
+    return settle(packed.withColumn("doc_id", F.monotonically_increasing_id()))
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def filesystem(path: str):
-    """(file system, path in it) of a path or URI, for binary files that Spark has no writer for."""
+    """(file system, path in it) of a qualified path, for binary files that Spark has no writer for."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"{path} names no file system")
+    return fs.FileSystem.from_uri(path)

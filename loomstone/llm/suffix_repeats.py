@@ -5,22 +5,26 @@ that hashes lowest in it, its anchor: equal strings have equal anchors at the
 same place.  Only suffixes at anchors enter a suffix array, one for each
 distinct anchor, over the distinct surroundings in which it occurs.  A stack
 scan of the array's common prefixes gives its interval tree.  The members of an
-interval share that prefix; sorted by what stands before them they show how far
-groups of them also agree to the left, until the left extension is diverse.
-So each interval gives maximal repeats with all occurrences, and each
-occurrence the outermost bytes that any repeat of ``LENGTH`` bytes around its
-anchor covers.
+interval share that prefix; a second tree, over what stands before them, tells
+where their left extension becomes diverse.  Each of its nodes is a maximal
+repeat with all its members, and each member is covered by the outermost of its
+repeats.
 
 Surroundings that are equal are folded before the array is built, so groups of
-copies cost one row; an anchor with more than ``CROWD`` distinct surroundings
-is resolved by counting its hashed windows, which needs no group at all.
+copies cost one row.  An anchor with more than ``GROUP`` distinct surroundings
+is split by longer cores: two of them that share ``LENGTH`` bytes share either
+half of the missing bytes on the right of the core or the rest on the left, so
+both cores take the place of the one.  Every split halves what is missing, and
+groups that are small enough get their array; a core of ``LENGTH`` bytes is a
+repeat itself.
 
 Defined results: a null or empty text has no bytes; texts under ``LENGTH``
 bytes repeat nothing; repeats may overlap and may lie in one text; matches
 never cross texts; removed bytes may leave invalid UTF-8 only where a repeat
-cut a character, and ``remove`` then drops the broken character; ids are taken
-to be unique, except by ``remove``, where every row stands for itself; extra columns are ignored by ``repeats`` and carried by
-``remove``; an empty table gives an empty table.
+cut a character, and the kept text then lacks the broken character; every row
+stands for itself, whether its id is null, repeated or its own; extra columns of
+any name are ignored by ``digest`` and carried by ``remove``; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,18 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.store import keyed, settle, settle_table
-from loomstone.llm.words import NOT_SPACE, mix, prefix_hash, slices, span_hash, spans
+from loomstone.llm.words import NOT_SPACE, mix, prefix_hash, ragged, slices, span_hash, spans
 
 LENGTH = 400
 GRAM = 128
-CROWD = 1 << 16
+#: Most distinct surroundings that one suffix array takes.
+GROUP = 256
 #: Slots of the table that tells texts without any repeated anchor from the others before a shuffle.
 SLOTS = 1 << 20
 
+_CONTEXT = "anchor long, doc_id long, place int, left int, times long, core_left int, core_right int, body binary"
+
 
 def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending anchor positions of a slice and their gram hashes."""
@@ -107,20 +115,45 @@ def _cut(length: int, gram: int):
                     lo = max(0, w["place"] - (length - gram))
                     for col, value in zip(out, (w["anchor"], doc, w["place"], w["place"] - lo, w["times"], body[lo : w["place"] + length]), strict=True):
                         col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "doc_id", "place", "left", "times", "body"])
+            yield _contexts(*out[:5], [0] * len(out[0]), [gram] * len(out[0]), out[5])
 
     return cut
 
 
-def interval_tree(common: np.ndarray) -> list[tuple[int, int, int]]:
+def _contexts(*cols: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "doc_id", "place", "left", "times", "core_left", "core_right", "body"])
+
+
+def _split(length: int):
+    """Surroundings under the two longer cores, one of which any two of them that share ``length`` bytes have in common."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, doc, place, left, times, back, on, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                missing = length - back - on
+                right = (missing + 1) // 2
+                before = missing - right + 1
+                for side, a, b in ((0, back, on + right), (1, back + before, on)):
+                    grown = body[left + on : left + b] if side == 0 else body[max(0, left - a) : left - back]
+                    if len(grown) == (before if side else right):
+                        name = xxhash.xxh3_64_intdigest(grown, (key * 2 + side) & 0xFFFFFFFFFFFFFFFF)
+                        rows.append((name - (1 << 63), doc, place, left, times, a, b, body))
+            if rows:
+                yield _contexts(*map(list, zip(*rows, strict=True)))
+
+    return split
+
+
+def interval_tree(common: list[int]) -> list[tuple[int, int, int]]:
     """(prefix, first, last) of every common-prefix interval, inner ones first, by one stack scan.
 
     ``common[i]`` is what members i - 1 and i of the suffix array share; entry 0 is not read.
     """
     out, stack = [], [(0, 0)]
     for i in range(1, len(common) + 1):
-        value = int(common[i]) if i < len(common) else -1
+        value = common[i] if i < len(common) else -1
         first = i - 1
         while stack and stack[-1][0] > value:
             prefix, first = stack.pop()
@@ -131,84 +164,58 @@ def interval_tree(common: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _agree(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many leading bytes of rows of two matrices are the same, ``most`` at the most."""
-    differ = x != y
-    first = np.where(differ.any(1), differ.argmax(1), x.shape[1])
-    return np.minimum(first, most)
+def _sorted_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each group in the order of their bytes, and how many leading bytes each shares with the row before it."""
+    wide = int(size.max()) if len(size) and size.max() else 1
+    column = np.arange(wide)
+    # no byte of UTF-8 is 255: one is added to each, so that the filling differs from all of them
+    table = np.zeros((len(size), wide), np.uint8)
+    table[(column >= wide - size[:, None]) if backwards else (column < size[:, None])] = data[ragged(start, size)] + 1
+    if backwards:
+        table = np.ascontiguousarray(table[:, ::-1])
+    order = np.lexsort((table.view(f"S{wide}").ravel(), group))
+    common = np.zeros(len(size), np.int64)
+    differ = table[order[1:]] != table[order[:-1]]
+    common[1:] = np.where(differ.any(1), differ.argmax(1), size[order[1:]])
+    return order, common
 
 
-def reach(lefts: np.ndarray, left: np.ndarray, rights: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct surroundings of one anchor: how far left and right of it any repeat of ``length`` bytes covers (0, 0: none).
+def maximal_groups(body: pa.Array, left: np.ndarray, edge: np.ndarray, least: int) -> list[tuple[int, int, np.ndarray]]:
+    """(bytes left, bytes right, members) of every maximal repeat of at least ``least`` bytes.
 
-    ``lefts`` holds the bytes before the anchor backwards, ``rights`` those from it on.
+    The rows are distinct surroundings of an anchor, which stands ``left`` bytes behind their start; those of group k have one
+    anchor and are the rows from ``edge[k]`` on.
     """
-    m = len(left)
-    far_left, far_right = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    width = rights.shape[1]
-    as_key = lambda x: np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel() if x.shape[1] else np.zeros(m, "S1")
-    array = np.lexsort((right, as_key(rights)))  # the suffix array
-    common = np.zeros(m, np.int64)
-    common[1:] = _agree(rights[array[:-1]], rights[array[1:]], np.minimum(right[array[:-1]], right[array[1:]]))
-    rank = np.empty(m, np.int64)
-    rank[np.lexsort((left, as_key(lefts)))] = np.arange(m)
-    for prefix, first, last in interval_tree(common):
-        members = array[first : last + 1]
-        if prefix < width and prefix + left[members].max() < length:
-            continue
-        members = members[np.argsort(rank[members])]
-        shared = _agree(lefts[members[:-1]], lefts[members[1:]], np.minimum(left[members[:-1]], left[members[1:]]))
-        best = np.maximum(np.append(0, shared), np.append(shared, 0))
-        hit = best + prefix >= length
-        far_left[members[hit]] = np.maximum(far_left[members[hit]], best[hit])
-        far_right[members[hit]] = np.maximum(far_right[members[hit]], prefix)
-    return far_left, far_right
-
-
-def maximal_repeats(surroundings: list[tuple[bytes, bytes]], least: int) -> list[tuple[int, int, list[int]]]:
-    """(bytes left, bytes right, members) of every maximal repeat of at least ``least`` bytes among (before, from) pairs of one anchor."""
-    if len(surroundings) < 2:
-        return []
-    lefts, left = _matrix([a[::-1] for a, _ in surroundings])
-    rights, right = _matrix([b for _, b in surroundings])
-    array = sorted(range(len(right)), key=lambda i: surroundings[i][1])
-    common = np.zeros(len(array), np.int64)
-    common[1:] = _agree(rights[array[:-1]], rights[array[1:]], np.minimum(right[array[:-1]], right[array[1:]]))
+    size = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, body.offset * 4).astype(np.int64)
+    data = np.frombuffer(body.buffers()[2], np.uint8) if body.buffers()[2] else np.zeros(0, np.uint8)
+    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    array, right_common = _sorted_rows(data, size[:-1] + left, np.diff(size) - left, group, False)  # the suffix array
+    before, left_common = _sorted_rows(data, size[:-1], left, group, True)
+    rank, place = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
+    rank[before] = place[array] = np.arange(len(left))
     out = []
-    for prefix, first, last in interval_tree(common):
-        members = sorted((array[i] for i in range(first, last + 1)), key=lambda i: surroundings[i][0][::-1])
-        shared = np.zeros(len(members), np.int64)
-        shared[1:] = _agree(lefts[members[:-1]], lefts[members[1:]], np.minimum(left[members[:-1]], left[members[1:]]))
-        for back, a, b in interval_tree(shared):  # where the left extension becomes diverse
-            group = sorted(members[a : b + 1])
-            ends = {surroundings[i][1][prefix : prefix + 1] or i for i in group}
-            if back + prefix >= least and len(ends) > 1:
-                out.append((back, prefix, group))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a == 2:  # the tree of two members is one interval
+            x, y = int(left_common[a + 1]), int(right_common[a + 1])
+            if x + y >= least:
+                out.append((x, y, array[a:b]))
+            continue
+        for prefix, first, last in interval_tree(right_common[a:b].tolist()) if b - a > 2 else ():
+            ranks = np.sort(rank[array[a + first : a + last + 1]])
+            shared = np.minimum.reduceat(left_common[: ranks[-1] + 1], ranks[:-1] + 1)
+            if shared.max() + prefix < least:
+                continue
+            for back, i, j in interval_tree([0, *shared.tolist()]):  # where the left extension becomes diverse
+                if back + prefix >= least:
+                    members = before[ranks[i : j + 1]]
+                    lo, hi = place[members].min(), place[members].max()
+                    if right_common[lo + 1 : hi + 1].min() == prefix:  # else an inner interval has them
+                        out.append((back, prefix, members))
     return out
 
 
-def _matrix(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(r) for r in rows], np.int64)
-    wide = int(size.max()) if len(size) else 0
-    return np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in rows), np.uint8).reshape(len(rows), wide), size
-
-
-def _resolve(length: int):
-    """Suffix arrays of the anchors of a partition that is sorted by anchor; groups may run on over batches."""
-
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        key, left = table["anchor"].to_numpy(), table["left"].to_numpy().astype(np.int64)
-        bodies = table["body"].to_pylist()
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        far_left, far_right = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            lefts, lsize = _matrix([x[:n][::-1] for x, n in zip(bodies[a:b], left[a:b].tolist(), strict=True)])
-            rights, rsize = _matrix([x[n:] for x, n in zip(bodies[a:b], left[a:b].tolist(), strict=True)])
-            far_left[a:b], far_right[a:b] = reach(lefts, lsize, rights, rsize, length)
-        place = table["place"].to_numpy().astype(np.int64)
-        some = pa.array((far_left + far_right > 0) & (table["times"].to_numpy() == 1))
-        cols = [table["doc_id"].combine_chunks(), pa.array(place - far_left), pa.array(place + far_right)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "stop"]).filter(some)
+def _by_anchor(solve):
+    """Apply ``solve`` to whole anchors of a partition that is sorted by anchor; an anchor may run on over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -218,82 +225,132 @@ def _resolve(length: int):
             last = batch.column(0)[-1].as_py()
             cut = int(np.searchsorted(batch.column(0).to_numpy(), last))
             if cut:
-                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             elif held and held[-1].column(0)[-1].as_py() != last:
-                yield solve(pa.Table.from_batches(held))
+                yield from solve(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
 
-def _windows(length: int):
-    """Hashes of all windows of ``length`` bytes in crowded surroundings."""
+def _groups_of(table: pa.Table, length: int) -> list[tuple[int, int, np.ndarray]]:
+    key = table["anchor"].to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    return maximal_groups(table["body"].combine_chunks(), table["left"].to_numpy().astype(np.int64), edge, length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                body = np.frombuffer(batch.column(5)[i].as_py(), np.uint8)
-                n = len(body) - length + 1
-                if n < 1:
-                    continue
-                at = np.arange(n)
-                window = span_hash(prefix_hash(body), at, at + length)
-                start = batch.column(2)[i].as_py() - batch.column(3)[i].as_py() + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window.view(np.int64)), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(start), pa.array(np.full(n, batch.column(4)[i].as_py()))],
-                    ["window", "doc_id", "start", "times"],
-                )
 
-    return run
+def _cover(length: int):
+    """The bytes around each anchor that its maximal repeats cover."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        far = np.zeros((2, table.num_rows), np.int64)
+        for x, y, members in _groups_of(table, length):
+            far[0, members] = np.maximum(far[0, members], x)
+            far[1, members] = np.maximum(far[1, members], y)
+        place = table["place"].to_numpy().astype(np.int64)
+        some = pa.array((far.sum(0) > 0) & (table["times"].to_numpy() == 1))
+        cols = [table["doc_id"].combine_chunks(), pa.array(place - far[0]), pa.array(place + far[1])]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "stop"]).filter(some)
+
+    return _by_anchor(solve)
+
+
+def _report(length: int):
+    """The maximal repeats themselves, a row for each."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, doc, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "place"))
+        rows = [(int(key[m[0]]), x, y, [{"doc_id": int(doc[i]), "place": int(place[i])} for i in m.tolist()]) for x, y, m in _groups_of(table, length)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("doc_id", pa.int64()), ("place", pa.int64())])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "back", "on", "members"])
+
+    return _by_anchor(solve)
 
 
 def _slot() -> Column:
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).alias("__slot")
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
 
 
 def _touched(texts: DataFrame, slots: DataFrame, how: str = "left_semi") -> DataFrame:
     """The texts whose slot is (or, by left_anti, is not) taken; at most ``SLOTS`` numbers are broadcast."""
-    return texts.withColumn("__slot", _slot()).join(F.broadcast(slots), "__slot", how).drop("__slot")
+    return texts.withColumn("slot", _slot()).join(F.broadcast(slots), "slot", how).drop("slot")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+class Anchored:
+    """The repeated anchors of texts (doc_id, text), whose ids are their own.
+
+    Joins by an anchor or its surroundings read written tables, so that a key with very many rows can be split.
+    """
+
+    def __init__(self, texts: DataFrame, length: int, gram: int, group: int):
+        self.texts, self.length, self.gram, self.group = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), length, gram, group
+        rows = settle_table(self.texts.mapInArrow(_scan(length, gram), "anchor long, around long, doc_id long, left int, right int, places array<int>"), "anchors")
+        totals = rows.groupBy("anchor").agg(F.sum(F.size("places")).alias("total"), (F.min("around") != F.max("around")).alias("mixed")).where("total > 1").drop("total")
+        self.hits = settle_table(rows.join(settle_table(totals, "anchor-totals"), "anchor"), "repeated-anchors")
+        self.slots = self.hits.select(_slot()).distinct()
+        rep = F.min(F.struct("doc_id", F.element_at("places", 1).alias("place"))).alias("rep")
+        kinds = self.hits.groupBy("anchor", "around").agg(F.sum(F.size("places")).alias("times"), F.first("mixed").alias("mixed"), rep)
+        self.kinds = settle_table(kinds, "surroundings")
+
+    def whole(self) -> DataFrame:
+        """Spans of surroundings that occur again as they are."""
+        again = self.kinds.where("times > 1").select("anchor", "around")
+        found = self.hits.where(F.col("left") + F.col("right") >= self.length).join(again, ["anchor", "around"])
+        found = found.select("doc_id", F.explode("places").alias("p"), "left", "right")
+        return found.select("doc_id", (F.col("p") - F.col("left")).cast("long").alias("start"), (F.col("p") + F.col("right")).cast("long").alias("stop"))
+
+    def contexts(self) -> tuple[DataFrame, DataFrame | None]:
+        """One text of each of the distinct surroundings of an anchor, in groups of at most ``group``; and spans that are sure already."""
+        reps = self.kinds.where("mixed").select("anchor", "times", "rep.doc_id", "rep.place")
+        crowds = settle_table(reps.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > self.group).select("anchor"), "crowds")
+        if not crowds.limit(1).count():
+            return self._cut(reps), None
+        small = [self._cut(reps.join(crowds, "anchor", "left_anti"))]
+        crowded, sure = settle_table(self._cut(reps.join(crowds, "anchor", "left_semi")), "crowded"), None
+        while crowded is not None:
+            cores = settle_table(crowded.mapInArrow(_split(self.length), _CONTEXT), "cores")
+            whole = F.max(F.col("core_left") + F.col("core_right")) == self.length
+            sizes = settle_table(cores.groupBy("anchor").agg(F.count("*").alias("n"), whole.alias("whole")).where("n > 1"), "core-sizes")
+            found = cores.join(sizes, "anchor")
+            spans = found.where("whole AND times = 1").select("doc_id", (F.col("place") - F.col("core_left")).cast("long").alias("start"), (F.col("place") + F.col("core_right")).cast("long").alias("stop"))
+            sure = spans if sure is None else sure.unionByName(spans)
+            small.append(found.where((F.col("n") <= self.group) & ~F.col("whole")).drop("n", "whole"))
+            many = (F.col("n") > self.group) & ~F.col("whole")
+            crowded = found.where(many).drop("n", "whole") if sizes.where(many).limit(1).count() else None
+        every = small[0]
+        for more in small[1:]:
+            every = every.unionByName(more)
+        return every, sure
+
+    def _cut(self, reps: DataFrame) -> DataFrame:
+        wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "times")).alias("want"))
+        return _touched(self.texts, self.slots).join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut(self.length, self.gram), _CONTEXT)
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, spans) with the bytes that repeats cover, as (start, stop) pairs that may overlap; and the slots of all such texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = settle_table(texts.mapInArrow(_scan(length, gram), "anchor long, around long, doc_id long, left int, right int, places array<int>"), "anchors")
-    kinds = rows.groupBy("anchor", "around").agg(F.sum(F.size("places")).alias("times")).repartition("anchor")
-    counts = kinds.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    known = kinds.join(counts, "anchor").select("anchor", "around", "times", "kinds")
-    hits = settle_table(rows.join(known, ["anchor", "around"]), "repeated-anchors")
-    slots = hits.select(_slot()).distinct()
-    # equal surroundings repeat whole
-    whole = hits.where((F.col("times") > 1) & (F.col("left") + F.col("right") >= length))
-    whole = whole.select("doc_id", F.explode("places").alias("p"), "left", "right").select("doc_id", (F.col("p") - F.col("left")).cast("long").alias("start"), (F.col("p") + F.col("right")).cast("long").alias("stop"))
-    # one of each of the distinct ones goes to the suffix array of its anchor
-    distinct = hits.where("kinds > 1").select("anchor", "around", "times", "kinds", "doc_id", F.element_at("places", 1).alias("place"))
-    one = distinct.where("times > 1").groupBy("anchor", "around", "times", "kinds").agg(F.min("doc_id").alias("doc_id"))
-    one = distinct.join(one, ["anchor", "around", "times", "kinds", "doc_id"], "left_semi")
-    wanted = distinct.where("times = 1").union(one).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "times", "kinds")).alias("want"))
-    schema = "anchor long, doc_id long, place int, left int, times long, body binary"
-
-    def surroundings(crowded: bool) -> DataFrame:
-        side = (lambda x: x["kinds"] > crowd) if crowded else (lambda x: x["kinds"] <= crowd)
-        some = wanted.withColumn("want", F.filter("want", side)).where(F.size("want") > 0)
-        return _touched(texts, slots).join(some, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut(length, gram), schema)
-
-    solved = surroundings(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), "doc_id long, start long, stop long")
-    spans = whole.unionByName(solved)
-    if hits.where(F.col("kinds") > crowd).limit(1).count():
-        windows = settle(surroundings(True).mapInArrow(_windows(length), "window long, doc_id long, start long, times long"))
-        place = F.struct("doc_id", "start")  # one place may be told by several anchors
-        twice = windows.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("times").alias("n")).where("x <> y OR n > 1").select("window")
-        crowds = windows.join(twice, "window").select("doc_id", "start", (F.col("start") + length).alias("stop"))
-        spans = spans.unionByName(crowds)
-    found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return found, slots
+    found = Anchored(texts, length, gram, group)
+    contexts, sure = found.contexts()
+    covered = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_cover(length), "doc_id long, start long, stop long")
+    spans = found.whole().unionByName(covered)
+    spans = spans if sure is None else spans.unionByName(sure)
+    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), found.slots
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """The maximal repeats around every anchor that differ in their surroundings: (anchor, back, on, members).
+
+    A repeat reaches ``back`` bytes before and ``on`` bytes behind each place of its members; of members with equal
+    surroundings the smallest is listed.
+    """
+    contexts, _ = Anchored(keyed(docs).select("doc_id", "text"), length, gram, group).contexts()
+    schema = "anchor long, back int, on int, members array<struct<doc_id: long, place: long>>"
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_report(length), schema)
 
 
 def _short(words: int, length: int):
@@ -321,26 +378,25 @@ def _short(words: int, length: int):
     return run
 
 
-def short_repeats(docs: DataFrame, words: int, length: int) -> DataFrame:
+def short_repeats(texts: DataFrame, words: int, length: int) -> DataFrame:
     """(doc_id, spans) of runs of ``words`` words under ``length`` bytes that start anywhere else too; longer runs are found by bytes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     windows = settle_table(texts.mapInArrow(_short(words, length), "window long, doc_id long, start long, stop long"), "short-windows")
     place = F.struct("doc_id", "start")
     twice = windows.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("window")
-    return windows.join(twice, "window").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return windows.join(settle_table(twice, "repeated-windows"), "window").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
-    """All rows with a last column of spans, null where nothing repeats; texts that no repeat touches aren't shuffled."""
-    found, slots = repeats(docs, length, gram)
+def with_spans(rows: DataFrame, length: int, gram: int, words: int | None = None, group: int = GROUP) -> DataFrame:
+    """(doc_id, text, row) with a column of spans, null where nothing repeats; texts that no repeat touches aren't shuffled."""
+    found, slots = repeats(rows, length, gram, group)
     if words:
-        short = settle(short_repeats(docs, words, length))
+        short = settle(short_repeats(rows, words, length))
         found = found.unionByName(short).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         slots = slots.union(short.select(_slot())).distinct()
-    named = found.withColumnRenamed("spans", "__spans")
-    none = F.lit(None).cast(named.schema["__spans"].dataType)
-    rest = _touched(docs, slots, "left_anti").withColumn("__spans", none)
-    return _touched(docs, slots).join(named, "doc_id", "left").select(*docs.columns, "__spans").unionByName(rest)
+    none = F.lit(None).cast(found.schema["spans"].dataType).alias("spans")
+    rest = _touched(rows, slots, "left_anti").select("text", "row", none)
+    return _touched(rows, slots).join(found, "doc_id", "left").select("text", "row", "spans").unionByName(rest)
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -359,37 +415,37 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(body[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the hash of what is kept, for every document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, the hash of what is kept and the kept text, for every document."""
+    rows = keyed(docs.select("doc_id", "text"))
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                body, runs = text.encode(), merged(spans)
-                for col, value in zip(out, (len(body), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(body, runs)).hexdigest()), strict=True):
+                body, runs = (text or "").encode(), merged(spans)
+                kept = kept_bytes(body, runs)
+                row = (len(body), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if runs else text or "")
+                for col, value in zip(out, row, strict=True):
                     col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return with_spans(texts, length, gram).mapInArrow(sum_up, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = with_spans(rows, length, gram, group=group).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    return found.mapInArrow(sum_up, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None, group: int = GROUP) -> DataFrame:
     """The documents without the bytes that repeats of ``length`` bytes, or of ``words`` words if given, cover; other columns are carried on."""
-    rows, renamed = keyed(docs)
-    joined = with_spans(rows, length, gram, words)
-    names = joined.columns[:-1]
-    position = names.index("text")
+    found = with_spans(keyed(docs), length, gram, words, group)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(position).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 texts.append(kept_bytes(text.encode(), merged(spans)).decode(errors="ignore") if spans else text)
-            cols = [pa.array(texts, pa.string()) if i == position else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "row"])
 
-    out = joined.mapInArrow(rewrite, joined.drop("__spans").schema)
-    return (out.withColumn("doc_id", F.col("__id")) if renamed else out).select(*docs.columns)
+    out = found.mapInArrow(rewrite, found.drop("spans").schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -284,12 +284,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
 
 
 def keep_one(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """One row of every component: the one with the smallest id, null last; rows of one id and one text are copies as any others."""
-    rows, renamed = keyed(docs)
-    found = jaccard_components(rows, size, numerator, denominator)
-    if not renamed:
-        roots = found.where("doc_id = component_id").select("doc_id")
-        return docs.join(roots, "doc_id", "left_semi").select(*docs.columns)
-    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "doc_id")
-    best = found.join(rows.select("doc_id", "__id"), "doc_id").groupBy("component_id").agg(F.min(order).alias("best")).select("best.doc_id")
-    return rows.join(best, "doc_id", "left_semi").withColumn("doc_id", F.col("__id")).select(*docs.columns)
+    """One row of every component: the one with the smallest id, null last; rows of one id are rows of their own, copies as any others."""
+    rows = keyed(docs)
+    given = F.col("row.doc_id")
+    order = F.struct(given.isNull().alias("none"), given.alias("given"), "doc_id")
+    found = jaccard_components(rows.select("doc_id", "text"), size, numerator, denominator)
+    best = found.join(rows.select("doc_id", order.alias("order")), "doc_id").groupBy("component_id").agg(F.min("order").alias("best"))
+    kept = rows.join(best.select(F.col("best.doc_id").alias("doc_id")), "doc_id", "left_semi")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
