@@ -9,12 +9,11 @@ so prefixes hold tokens that few other texts have.
 
 Sets that share a prefix token are partitioned into bounded groups of similar
 ones by their min-hashes; inside a group linked sets are joined to cells, which
-are bounded too.  The
-token-group matrix holds which token occurs in which cell.  A set is a query to
-every cell of another component with which it has a matrix entry in common; the
-cell's token union bounds the overlap, and only cells whose bound reaches
-ceil(t n) are opened and compared set by set.  The links found give the
-components.
+are bounded too.  The token-group matrix holds which token occurs in which cell.
+A set is a query to every cell of another component, of sizes that allow a link,
+with which it has a matrix entry in common; the cell's token union bounds the
+overlap, and only cells whose bound reaches ceil(t n) are opened and compared set
+by set.  The links found give the components.
 
 Large groups of copies cost no pairs: equal sets are folded before, similar
 ones are joined through their cells and a few pivots that every cell of a
@@ -22,13 +21,15 @@ crowded min-hash holds, and tokens of one component only are dropped.
 
 Defined results: texts without words (null, empty, white space) have no
 shingle and are linked with nothing; a text of fewer words than a shingle is
-one shingle; ids are taken to be unique, and rows with one id share a
-component, but ``keep_one`` treats rows of one id or without id as rows of their own; a text of any length is used whole; extra columns are ignored; an
-empty table gives an empty table.
+one shingle; rows with one id share a component, but ``keep_one`` treats rows of
+one id or without id as rows of their own; a text of any length is used whole;
+extra columns of any name are ignored, and carried by ``keep_one``; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ def shingle_sets(column: pa.Array, size: int, counts: np.ndarray | None = None)
         grams = np.zeros(len(word), np.uint64)
         times = rare = counts[word & _U(len(counts) - 1)] if counts is not None else np.zeros(len(word), np.int64)
         rare = rare.copy()
-        for k in range(size):
+        for k in range(min(size, len(word))):
             grams[: len(word) - k] += word[k:] * _MULTIPLIERS[k]
             np.minimum(rare[: len(word) - k], times[k:], out=rare[: len(word) - k])
         grams = mix(grams)
@@ -220,13 +221,14 @@ def _open(level: Jaccard, size: int):
 
 def _grouped(cand: DataFrame, group: int) -> DataFrame:
     """Deal sets to groups by min-hash; crowded min-hashes are split, and their pivots go to every part."""
-    by_a = cand.groupBy("mh_a").agg(F.count("*").alias("n_a"), F.min("doc_id").alias("p1"), F.max("doc_id").alias("p2"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("p3"), F.max_by("doc_id", F.xxhash64("doc_id")).alias("p4"))
-    by_b = cand.groupBy("mh_a", "mh_b").agg(F.count("*").alias("n_b"))
-    parts_a = F.ceil(F.col("n_a") / group)
-    part = F.pmod("mh_b", parts_a)
-    crowd = F.ceil(F.col("n_b") / group)
-    salt = F.pmod(F.xxhash64("doc_id"), crowd)
-    dealt = cand.join(by_a, "mh_a").join(by_b, ["mh_a", "mh_b"]).select("doc_id", "mh_a", part.alias("part"), salt.alias("salt"), "n_a", "p1", "p2", "p3", "p4")
+    by_hash = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+    # both sides of the join that meets a crowded min-hash are written, so that it can be split
+    pair = settle(cand.groupBy("mh_a", "mh_b").agg(F.count("*").alias("n_b"), F.min("doc_id").alias("p1"), F.max("doc_id").alias("p2"), F.min(by_hash).alias("p3"), F.max(by_hash).alias("p4")))
+    by_a = pair.groupBy("mh_a").agg(F.sum("n_b").alias("n_a"), F.min("p1").alias("p1"), F.max("p2").alias("p2"), F.min("p3").alias("p3"), F.max("p4").alias("p4"))
+    counts = settle(pair.select("mh_a", "mh_b", "n_b").join(settle(by_a), "mh_a"))
+    part = F.pmod("mh_b", F.ceil(F.col("n_a") / group))
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_b") / group))
+    dealt = settle(cand.join(counts, ["mh_a", "mh_b"]).select("doc_id", "mh_a", part.alias("part"), salt.alias("salt"), "n_a", "p1", "p2", F.col("p3.doc_id").alias("p3"), F.col("p4.doc_id").alias("p4")))
     own = dealt.select("doc_id", "mh_a", "part", "salt", F.lit(True).alias("own"))
     crowded = dealt.where(F.col("n_a") > group).select("mh_a", "part", "salt", "p1", "p2", "p3", "p4").distinct()
     pivots = crowded.select(F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("doc_id"), "mh_a", "part", "salt", F.lit(False).alias("own"))
@@ -262,13 +264,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     across = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     open_rows = settle(placed.join(across, "token"))
     entry = (F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("first"))
+    # linked sizes differ by 1 / t at the most, so they lie in the same band of sizes or in neighbouring ones
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / math.log(denominator / numerator * 1.000001)) if numerator < denominator else F.col(n)
     columns = open_rows.groupBy("token", F.col("cell").alias("to_cell"), F.col("root").alias("to_root"), F.col("weight").alias("to_weight")).agg(*entry)
     # a pair's first common token leaves room for t / (1 + t) of both sizes behind it on either side
     needed = (F.col("n") + F.col("least")) * numerator
     fits = (F.col("n") * denominator >= F.col("least") * numerator) & (F.col("most") * denominator >= F.col("n") * numerator)
     for room in (F.col("n") - F.col("place"), F.col("most") - F.col("first")):
         fits = fits & (room * (numerator + denominator) >= needed)
-    asked = open_rows.join(columns, "token").where((F.struct("weight", "root") < F.struct("to_weight", "to_root")) & fits).select("doc_id", "to_cell").distinct()
+    columns = columns.withColumn("band", F.explode(F.sequence(band("least") - 1, band("most") + 1)))
+    asked = open_rows.withColumn("band", band("n")).join(columns, ["token", "band"]).where((F.struct("weight", "root") < F.struct("to_weight", "to_root")) & fits).select("doc_id", "to_cell").distinct()
     asked = settle(asked)
     sizes = asked.groupBy("to_cell").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
     ask = asked.join(sizes, "to_cell").select("doc_id", "to_cell", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), F.lit(True).alias("query"))
@@ -279,8 +284,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, deno
     bridges = links.join(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("doc_id").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     merged = components(bridges)
     final = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("doc_id").alias("rep"), F.coalesce("top", "root").alias("component_id"))
-    member = signed.select("doc_id", "n", "fp_a", "fp_b").join(classes, ["n", "fp_a", "fp_b"], "left").join(final, "rep", "left")
-    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+    # a class of very many equal sets meets its name in one join, both sides of which are written
+    named = settle(classes.join(final, "rep", "left").select("n", "fp_a", "fp_b", F.coalesce("component_id", "rep").alias("component_id")))
+    member = signed.select("doc_id", "n", "fp_a", "fp_b").join(named, ["n", "fp_a", "fp_b"], "left")
+    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
