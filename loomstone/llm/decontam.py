@@ -3,30 +3,37 @@
 Every task takes its documents shard by shard and sorts the word suffixes that
 could hold a test window.  All test suffixes are then searched in that suffix
 array word by word with binary search, which yields their places and, by
-joining neighbouring windows, the longest verbatim matches.  Only the test
-side travels: it is sent in blocks of a bounded size, and every block passes
-over all shards, so a benchmark of any size is searched whole.
+joining neighbouring windows, the longest verbatim matches.  The test side is
+cut into blocks of a bounded size, built in tasks and written to the shared
+folder; a task holds one block at a time while all of them pass over its shard,
+so a benchmark of any size is searched whole in one scan of the documents.
 
 Defined results: a null or empty text has no words and is clean; an item
-without words matches nothing; equal item ids count once; an empty benchmark
-leaves every document clean; columns beside the text are carried on, like-named
-ones are replaced.
+without words matches nothing; item ids of any type are named by their text, equal
+ones count once, and null is the empty name; an empty benchmark leaves every
+document clean, and an empty table stays empty; very long texts and items are
+searched whole, an item is never cut; rows with equal ids stand for themselves;
+columns beside the text are carried on, like-named ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import io
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.llm.columns import append
-from loomstone.llm.words import LETTERS_DIGITS, lower_ascii, prefix_hash, slices, span_hash, spans
+from loomstone.llm.store import filesystem, fresh_folder, settle
+from loomstone.llm.words import LETTERS_DIGITS, lower_ascii, prefix_hash, ragged, slices, span_hash, spans
 
-#: Words of a window, and the most test bytes that go to the executors at once.
+#: Words of a window, and the test bytes after which a block is closed.
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 
@@ -35,7 +42,7 @@ FIELDS = (
     T.StructField("n_hit", T.LongType()),
     T.StructField("longest_match", T.LongType()),
     T.StructField("hit_spans", T.ArrayType(T.LongType())),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
 )
 
 
@@ -48,23 +55,30 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Suffixes:
     """The windows of a block of test items, as rows of word codes."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], window: int):
-        self.window = window
-        hashes, owner, at, size, code_rows = [], [], [], [], []
-        for _, _, data, offsets in slices(pa.array([x for _, x in items], pa.string())):
-            h, first = _words(data, offsets)
-            hashes += [h[first[i] : first[i + 1]] for i in range(len(offsets) - 1)]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        for (item, _), h in zip(items, hashes, strict=True):
-            c = np.searchsorted(self.vocabulary, h)
-            n = min(window, len(c))
-            for k in range(len(c) - n + 1 if len(c) else 0):
-                row = np.full(window, -1, np.int64)
-                row[:n] = c[k : k + n]
-                code_rows.append(row), owner.append(item), at.append(k), size.append(n)
-        self.rows = np.array(code_rows, np.int64).reshape(-1, window)
-        self.owner, self.at, self.size = np.array(owner, np.int64), np.array(at, np.int64), np.array(size, np.int64)
-        self.least = int(self.size.min()) if len(self.size) else 0
+    def __init__(self, vocabulary: np.ndarray, rows: np.ndarray, size: np.ndarray, at: np.ndarray, owner: np.ndarray, names: np.ndarray):
+        self.vocabulary, self.rows, self.size, self.at, self.owner, self.names = vocabulary, rows, size, at, owner, names
+        self.window = rows.shape[1]
+        self.least = int(size.min()) if len(size) else 0
+
+    @classmethod
+    def build(cls, names: Sequence[str], texts: pa.Array, window: int) -> Suffixes:
+        parts = [_words(data, offsets) for _, _, data, offsets in slices(texts)]
+        hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        words = np.concatenate([np.diff(first) for _, first in parts]) if parts else np.zeros(0, np.int64)
+        begin = np.concatenate(([0], np.cumsum(words)))[:-1]
+        vocabulary, code = np.unique(hashes, return_inverse=True)
+        count = np.where(words > 0, np.maximum(words - window + 1, 1), 0)  # windows of each item
+        owner = np.repeat(np.arange(len(words)), count)
+        start = ragged(begin, count)
+        size = np.minimum(words, window)[owner]
+        column = np.arange(window)
+        rows = np.where(column < size[:, None], code[np.minimum(start[:, None] + column, max(len(code) - 1, 0))] if len(code) else -1, -1).astype(np.int32)
+        return cls(vocabulary, rows.reshape(-1, window), size, start - begin[owner], owner, np.array(list(names), str))
+
+    def save(self, out) -> None:
+        held = io.BytesIO()
+        np.savez(held, vocabulary=self.vocabulary, rows=self.rows, size=self.size, at=self.at, owner=self.owner, names=self.names)
+        out.write(held.getvalue())
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, word position) of every occurrence in a shard whose rows begin at ``first``."""
@@ -113,67 +127,94 @@ class Suffixes:
         where = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(int(times.sum()))
         return np.repeat(hit, times), suffix[where]
 
-    def annotate(self, texts: pa.Array, before: tuple[pa.Array, pa.Array, pa.Array] | None = None) -> list[pa.Array]:
-        """n_words, n_hit, longest match, hit spans and item ids of every text."""
-        out: list[list] = [[], [], [], [], []]
-        for a, b, data, offsets in slices(texts):
-            hashes, first = _words(data, offsets)
-            win, pos = self.search(hashes, first)
-            row = np.searchsorted(first, pos, "right") - 1
-            order = np.argsort(row, kind="stable")
-            win, pos, row = win[order], pos[order], row[order]
-            edge = np.searchsorted(row, np.arange(b - a + 1))
-            for i in range(b - a):
-                n = int(first[i + 1] - first[i])
-                w, p = win[edge[i] : edge[i + 1]], pos[edge[i] : edge[i + 1]] - first[i]
-                flag = np.zeros(n + 1, np.int64)
-                np.add.at(flag, p, 1)
-                np.add.at(flag, p + self.size[w], -1)
-                items, longest = set(self.owner[w].tolist()), self._longest(w, p)
-                if before is not None:
-                    old = np.array(before[1][a + i].as_py() or [], np.int64).reshape(-1, 2)
-                    np.add.at(flag, old[:, 0], 1)
-                    np.add.at(flag, old[:, 1], -1)
-                    items |= set(before[2][a + i].as_py() or [])
-                    longest = max(longest, before[0][a + i].as_py() or 0)
-                hit = np.concatenate(([0], np.cumsum(flag[:-1]) > 0, [0])).astype(np.int8)
-                turn = np.flatnonzero(np.diff(hit))
-                for col, value in zip(out, (n, int((turn[1::2] - turn[0::2]).sum()), longest, turn.tolist(), sorted(items)), strict=True):
-                    col.append(value)
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-        return [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-
-    def _longest(self, win: np.ndarray, pos: np.ndarray) -> int:
-        """Words of the longest verbatim match that windows on one diagonal of one item form."""
-        if not len(win):
-            return 0
+    def longest(self, win: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """For every occurrence, the words of the verbatim match up to its end that windows on one diagonal of one item form."""
         diagonal = pos - self.at[win]
         order = np.lexsort((pos, diagonal, self.owner[win]))
-        o, d, p, s = self.owner[win][order], diagonal[order], pos[order], self.size[win][order]
+        o, d, p = self.owner[win][order], diagonal[order], pos[order]
         fresh = np.concatenate(([True], (o[1:] != o[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
-        begin = p[fresh][np.cumsum(fresh) - 1]
-        return int((p - begin + s).max())
+        out = np.empty(len(win), np.int64)
+        out[order] = p - p[fresh][np.cumsum(fresh) - 1] + self.size[win][order]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _load(path: str) -> Suffixes:
+    """A block by its path; a worker keeps the last one."""
+    disk, name = filesystem(path)
+    with disk.open_input_stream(name) as source, np.load(io.BytesIO(source.read())) as held:
+        return Suffixes(*(held[k] for k in ("vocabulary", "rows", "size", "at", "owner", "names")))
+
+
+def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """Write the test side in blocks of about ``block_bytes`` (or one longer item); only their paths come back."""
+    folder = fresh_folder(benchmark.sparkSession, "benchmark")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, root = filesystem(folder)
+        disk.create_dir(root, recursive=True)
+        names, texts, held, made = [], [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            path = f"block-{TaskContext.get().taskAttemptId()}-{made}.npz"
+            with disk.open_output_stream(f"{root}/{path}") as out:
+                Suffixes.build(names, pa.array(texts, pa.string()), window).save(out)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path}"])], ["path"])
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names.append(name)
+                texts.append(text)
+                held += len(text)
+                if held >= block_bytes:
+                    yield close()
+                    names, texts, held, made = [], [], 0, made + 1
+        if names:
+            yield close()
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    return sorted(r.path for r in settle(items.mapInArrow(build, "path string")).collect())
+
+
+def annotate(texts: pa.Array, paths: Sequence[str]) -> list[pa.Array]:
+    """n_words, n_hit, longest match, hit spans and item names of every text of a shard."""
+    parts = [(b - a, *_words(data, offsets)) for a, b, data, offsets in slices(texts)]
+    flags = [np.zeros(len(h) + 1, np.int64) for _, h, _ in parts]
+    longest = [np.zeros(n, np.int64) for n, _, _ in parts]
+    items: list[dict[int, set[str]]] = [{} for _ in parts]
+    for path in paths:
+        tests = _load(path)
+        for k, (_, hashes, first) in enumerate(parts):
+            win, pos = tests.search(hashes, first)
+            if not len(win):
+                continue
+            np.add.at(flags[k], pos, 1)
+            np.add.at(flags[k], pos + tests.size[win], -1)
+            row = np.searchsorted(first, pos, "right") - 1
+            np.maximum.at(longest[k], row, tests.longest(win, pos))
+            for r, o in np.unique(np.stack([row, tests.owner[win]]), axis=1).T.tolist():
+                items[k].setdefault(r, set()).add(str(tests.names[o]))
+    out: list[list] = [[], [], [], [], []]
+    for (n, hashes, first), flag, most, found in zip(parts, flags, longest, items, strict=True):
+        hit = np.cumsum(flag[:-1]) > 0
+        hits = np.diff(np.concatenate(([0], np.cumsum(hit)))[first])
+        for r in range(n):
+            turn = np.flatnonzero(np.diff(np.concatenate(([0], hit[first[r] : first[r + 1]], [0])).astype(np.int8))).tolist() if hits[r] else []
+            for col, value in zip(out, (int(first[r + 1] - first[r]), int(hits[r]), int(most[r]), turn, sorted(found.get(r, ()))), strict=True):
+                col.append(value)
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.string())]
+    return [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Append to every document its words, hit words, hit spans and the items found in it."""
-    total = benchmark.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    out, carried = docs, list(docs.columns if keep is None else keep)
-    for k in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text")
-        tests = Suffixes([(r[0], r[1]) for r in part.collect()], window)
-        if k == 0:
-            out = append(out, "text", FIELDS, tests.annotate, carried + ["text"] * (blocks > 1 and "text" not in carried))
-        else:
-            state = F.struct("text", "longest_match", "hit_spans", "items").alias("__state")
-            out = append(out.withColumn("__state", state), "__state", FIELDS, lambda s, t=tests: t.annotate(s.field(0), (s.field(1), s.field(2), s.field(3))), [c for c in out.columns if c not in {f.name for f in FIELDS}])
-    return out.select(*[c for c in carried if c not in {f.name for f in FIELDS}], *[f.name for f in FIELDS])
+    paths = blocks(benchmark, window, block_bytes)
+    return append(docs, "text", FIELDS, lambda texts: annotate(texts, paths), keep)
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The counts and a hash of the item ids, sorted as strings."""
-    ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.sort_array("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
