@@ -1,15 +1,22 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat blocks at its block tags.  Each block gets its word
-count and link density, those of the blocks before and after it, and three
-flags read from its enclosing tags.  A small decision tree, grown here from the
-labelled table below, keeps or drops each block; kept blocks are joined in page
-order.  Pages are independent, so the work is one pass without a shuffle.
+count and link density, those of the blocks before and after it, and flags read
+from the elements around it: whether an element of furniture (by tag, by name)
+lies between it and its article, whether it lies in an article, whether it is a
+heading.  A small decision tree, grown here from the labelled blocks of
+``SAMPLES``, keeps or drops each block; kept blocks are joined in page order.
+Pages are independent, so the work is one pass without a shuffle.
+
+A name counts by its head: ``post-header`` is a header, ``sidebar-layout-main``
+a main part, ``comments-list`` comments, since ``list`` only holds them.  What
+encloses an article or a main part says nothing about its inside.
 
 Defined results: a null or empty page, and a page without a kept block, give an
-empty text; unclosed or unmatched tags end where an enclosing tag ends; an
-unfinished tag at the end of a page is markup; repeated pages give equal texts;
-columns beside the source are carried on, like-named ones are replaced.
+empty text, an empty table an empty table; unclosed or unmatched tags end where
+an enclosing tag ends; an unfinished tag at the end of a page is markup; pages of
+any length are read whole, one at a time; repeated pages give equal texts; columns
+beside the source are carried on, like-named ones are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import types as T
 
 from loomstone.llm.columns import append
 
-#: Tags that begin a block, tags that hold no text, and tags or name parts that mark page furniture.
+#: Tags that begin a block, tags that hold no text, and tags, roles and names of page furniture.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -41,44 +48,52 @@ FURNITURE_NAMES = frozenset(
     "topbar toolbar comment comments commentlist reply replies disqus discussion respond share sharing social related recommended trending pagination pager "
     "login search copyright disclaimer".split()
 )
+#: Parts of names that only say that something is held, and parts that say what a layout has.
+HOLDERS = frozenset("area bar block body box button buttons card col column container content form group holder inner item items left link links list outer panel right row section slot text title unit wrap wrapper".split())
+LAYOUTS = frozenset("has with no without hide show".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading")
-
-#: The labelled table: one row per example block, its features in the order above and whether it is main text.
-LABELLED = (
-    # main text inside an article element
-    (60, 0.0, 12, 0.0, 45, 0.0, 0, 1, 0, 1), (45, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1), (9, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1, 1),
-    (3, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 1), (1, 0.0, 30, 0.0, 12, 0.0, 0, 1, 0, 1), (5, 0.0, 8, 0.0, 9, 0.0, 0, 1, 0, 1),
-    (120, 0.1, 40, 0.0, 30, 0.0, 0, 1, 0, 1), (25, 0.4, 40, 0.0, 30, 0.0, 0, 1, 0, 1), (14, 0.7, 40, 0.0, 30, 0.2, 0, 1, 0, 1),
-    (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (6, 0.5, 20, 0.0, 14, 0.0, 0, 1, 0, 1), (4, 0.0, 3, 1.0, 3, 0.0, 0, 1, 1, 1),
-    (7, 0.0, 2, 1.0, 5, 1.0, 0, 1, 0, 1), (300, 0.02, 3, 0.0, 2, 1.0, 0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 1), (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1), (8, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 1),
-    (50, 0.0, 1, 1.0, 6, 1.0, 0, 1, 0, 1), (4, 1.0, 20, 0.0, 40, 0.0, 0, 1, 0, 1), (6, 0.8, 1, 1.0, 2, 1.0, 0, 1, 1, 1),
-    (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 1), (90, 0.6, 1, 1.0, 1, 1.0, 0, 1, 0, 1), (11, 1.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (12, 0.0, 9, 0.0, 2, 1.0, 0, 1, 0, 1), (1, 1.0, 2, 0.0, 1, 1.0, 0, 1, 0, 1), (26, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 1),
-    (7, 0.9, 7, 0.9, 7, 0.9, 0, 1, 0, 1), (15, 0.0, 44, 0.0, 1, 0.0, 0, 1, 0, 1), (4, 0.0, 21, 0.0, 2, 0.6, 0, 1, 0, 1),
-    # main text of pages without such an element
-    (55, 0.0, 6, 0.0, 40, 0.0, 0, 0, 0, 1), (80, 0.05, 55, 0.0, 3, 1.0, 0, 0, 0, 1), (16, 0.0, 70, 0.0, 65, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 3, 1.0, 30, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 48, 0.0, 0, 0, 0, 1), (7, 0.0, 4, 0.5, 60, 0.0, 0, 0, 1, 1),
-    (4, 0.0, 90, 0.0, 40, 0.0, 0, 0, 1, 1), (35, 0.2, 20, 0.0, 25, 0.0, 0, 0, 0, 1), (12, 0.0, 33, 0.0, 28, 0.1, 0, 0, 0, 1),
-    (18, 0.0, 2, 0.0, 44, 0.0, 0, 0, 0, 1), (9, 0.0, 25, 0.0, 31, 0.0, 0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (40, 0.0, 4, 0.0, 6, 0.0, 0, 0, 0, 1), (18, 0.0, 30, 0.0, 5, 0.0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0, 1),
-    (30, 0.1, 20, 0.0, 4, 1.0, 0, 0, 0, 1), (20, 0.0, 12, 0.0, 10, 0.0, 0, 0, 0, 1), (45, 0.0, 3, 0.0, 8, 1.0, 0, 0, 0, 1),
-    (8, 0.0, 38, 0.0, 4, 0.0, 0, 0, 0, 1), (6, 0.0, 28, 0.0, 9, 0.0, 0, 0, 0, 1), (13, 0.0, 9, 0.0, 11, 0.0, 0, 0, 0, 1),
-    # links and short lines outside an article
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (8, 0.9, 5, 1.0, 6, 1.0, 0, 0, 0, 0),
-    (12, 0.6, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (25, 0.8, 20, 0.9, 3, 1.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (2, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (7, 0.5, 40, 0.0, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0), (30, 0.5, 40, 0.9, 35, 0.9, 0, 0, 0, 0),
-    (4, 0.0, 7, 0.0, 3, 0.0, 0, 0, 0, 0), (5, 0.0, 12, 0.0, 2, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 0), (7, 0.0, 3, 0.0, 6, 0.0, 0, 0, 0, 0), (5, 1.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0),
-    # furniture, wherever it stands
-    (40, 0.0, 6, 1.0, 30, 0.0, 1, 0, 0, 0), (12, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0), (70, 0.0, 50, 0.0, 60, 0.0, 1, 1, 0, 0),
-    (5, 0.2, 40, 0.0, 0, 0.0, 1, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (200, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (8, 0.0, 90, 0.0, 0, 0.0, 1, 0, 1, 0), (3, 0.0, 5, 0.0, 70, 0.0, 1, 1, 1, 0), (20, 0.0, 30, 0.0, 30, 0.0, 1, 1, 0, 0),
-    (1, 0.0, 60, 0.0, 9, 0.0, 1, 1, 0, 0), (9, 0.0, 0, 0.0, 12, 0.0, 1, 0, 0, 0), (33, 0.3, 3, 0.0, 0, 0.0, 1, 0, 0, 0),
-)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tagged", "named", "article", "heading")
+#: Which of them are the counts and densities of the block and its neighbours.
+DENSITIES = 6
+
+#: The labelled blocks: {+40} is a block part of 40 words of main text, {-3@} one of 3 linked words that aren't, {+30/4} has 4 of its words linked.
+SAMPLES = (
+    # articles in an element of their own
+    "<nav><ul><li>{-1@}</li><li>{-2@}</li><li>{-1@}</li></ul></nav><div class=ad>{-9}</div><article><h1>{+8}</h1><p>{+60}</p><p>{+45/3}</p><p>{+1}</p><p>{+120}</p></article><footer>{-12}</footer>",
+    "<header>{-4@}</header><main><h1>{+5}</h1><p>{+3}</p><h2>{+2}</h2><p>{+30/9}</p><ul><li>{+4}</li><li>{+6}</li><li>{+2/1}</li></ul><p>{+9}</p></main><aside><h3>{-2}</h3><p>{-40}</p></aside>",
+    "<div class=masthead>{-3@}</div><article><header><p>{-6}</p></header><h1>{+11}</h1><p>{+25}</p><ul><li>{-2@}</li><li>{-3@}</li><li>{-2@}</li><li>{-4@}</li></ul><p>{+70}</p><p>{+14/10}</p><p>{+50}</p></article>",
+    "<article><p>{+2}</p><div class=share-bar><p>{-1@}</p><p>{-1@}</p></div><p>{+18}</p><section class=user-comments><h3>{-1}</h3><p>{-25}</p><p>{-60}</p><p>{-12}</p></section></article><p>{-3@}</p>",
+    "<main><p>{+26}</p><div class=newsletter-signup><p>{-20}</p></div><p>{+7}</p><form><p>{-2}</p></form><p>{+90/8}</p><p>{+5/5}</p><p>{+33}</p><div>{-3@}</div><div>{-2@}</div><div>{-5@}</div></main>",
+    "<article><h1>{+4}</h1><p>{+1}</p><p>{+2}</p><p>{+1}</p><p>{+6}</p><h2>{+3}</h2><p>{+15}</p><p>{+8/2}</p></article><div class=related><p>{-8@}</p><p>{-7@}</p></div>",
+    "<div class=post-header><article><h1>{+6}</h1><p>{+80}</p><p>{+35}</p><div class=ad-slot><p>{-15}</p></div><p>{+20}</p></article></div><div id=footer><p>{-10}</p><p>{-30}</p></div>",
+    "<article><h1>{+7}</h1><p>{+200}</p><ol><li>{-6@}</li><li>{-5@}</li></ol><p>{+3}</p></article><section class=comments><p>{-80}</p><p>{-70}</p></section>",
+    "<article><h1>{+5}</h1><p>{+150}</p><p>{+4/4}</p><p>{+60}</p><p>{+2/2}</p><p>{+24}</p><p>{+130}</p><ul><li>{-2@}</li><li>{-1@}</li><li>{-3@}</li></ul></article><p>{-2@}</p>",
+    # pages without such an element
+    "<div><a href=x>{-1@}</a> {-1@} {-1@}</div><div id=content><h1>{+6}</h1><p>{+55}</p><p>{+80/4}</p><p>{+16}</p><p>{+70}</p></div><div>{-3@}</div><div>{-2@}</div>",
+    "<ul><li>{-1@}</li><li>{-1@}</li><li>{-2@}</li></ul><p>{-5}</p><ul><li>{-3@}</li></ul><h2>{+4}</h2><p>{+90}</p><p>{+8}</p><p>{+40}</p><p>{+22}</p><div class=copyright>{-7}</div>",
+    "<div class=menu>{-3@}</div><div class=page-wrapper><p>{+35/7}</p><p>{+20}</p><p>{+25}</p></div><div class=sidebar-inner><p>{-30}</p><p>{-12}</p></div><p>{-4@}</p><p>{-3}</p>",
+    "<p>{-2@}</p><p>{-4}</p><p>{-3@}</p><div class=story><p>{+45}</p><p>{+30/3}</p><p>{+18}</p><p>{+60}</p></div><p>{-12/7}</p><p>{-8/8}</p><p>{-25/20}</p>",
+    "<div class=cookie-notice><p>{-40}</p></div><div><p>{-4}</p><p>{-2}</p><p>{-3}</p></div><div><h1>{+9}</h1><p>{+150}</p><p>{+6}</p><p>{+38}</p></div><div class=comment-list><p>{-50}</p><p>{-2}</p></div>",
+    "<p>{-1@}</p><p>{+110}</p><p>{-1@}</p><p>{-2@}</p><p>{+95}</p><p>{-3@}</p><p>{+140/6}</p><p>{-4@}</p><p>{-1}</p>",
+    "<p>{-3}</p><p>{-5/5}</p><p>{+28}</p><p>{+13}</p><p>{+44}</p><p>{-5/5}</p><p>{-3/3}</p><p>{-6}</p><p>{-2/2}</p><table><tr><td>{-1}</td><td>{-2}</td></tr></table>",
+)
+
+
+def sample_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of ``SAMPLES``."""
+
+    def part(m: re.Match) -> str:
+        words, linked = int(m[2]), int(m[2]) if m[4] else int(m[3] or 0)
+        text = [("keep" if m[1] == "+" else "drop")] + ["word"] * (words - 1)
+        return " ".join(text[: words - linked]) + (f" <a>{' '.join(text[words - linked :])}</a>" if linked else "")
+
+    x, y = [], []
+    for page in SAMPLES:
+        found = blocks(re.sub(r"\{([+-])(\d+)(?:/(\d+))?(@)?\}", part, page))
+        x += rows(found)
+        y += [text.startswith("keep") for text, *_ in found]
+    return np.array(x, float), np.array(y, float)
 
 
 @dataclass(frozen=True)
@@ -120,8 +135,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
 
 @functools.cache
 def trained() -> Node:
-    table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(*sample_blocks())
 
 
 _MARKUP = re.compile(
@@ -133,28 +147,52 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "tex
 _NAME_PART = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
+def named_furniture(name: str) -> bool:
+    """Whether a class or id names furniture: by the last part that says more than that something is held."""
+    parts = [p.lower() for p in _NAME_PART.split(name) if p]
+    if not parts or parts[0] in LAYOUTS:
         return False
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return parts[-1] in FURNITURE_NAMES
+
+
+def _evidence(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(tagged, named): what an element says by its tag, role or hiding, and by its class or id."""
+    tagged, named = tag in FURNITURE_TAGS, False
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return tagged, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(p.lower() in FURNITURE_NAMES for p in _NAME_PART.split(value)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, link words, furniture, article, heading) of every flat block that holds a word."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, article, unread; each holds for what it encloses
+        if name in ("class", "id"):
+            named = named or any(named_furniture(part) for part in value.split())
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            tagged = True
+        elif name == "role" and value.lower() in FURNITURE_ROLES:
+            tagged = True
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            tagged = True
+    return tagged, named
+
+
+@dataclass(frozen=True)
+class Element:
+    """An open element and what holds for all that it encloses."""
+
+    tag: str
+    tagged: bool = False
+    named: bool = False
+    article: bool = False
+    unread: bool = False
+
+
+_OUTSIDE = Element("")
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
+    """(text, words, link words, tagged, named, article, heading) of every flat block that holds a word."""
+    out: list[tuple[str, int, int, bool, bool, bool, bool]] = []
+    stack: list[Element] = []
     text: list[str] = []
     linked: list[str] = []
     link = heading = False
@@ -165,14 +203,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         breaks = 0
         words = html.unescape("".join(text)).split()
         if words:
-            _, furniture, article, _ = stack[-1] if stack else ("", False, False, False)
-            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), furniture, article, heading))
+            e = stack[-1] if stack else _OUTSIDE
+            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), e.tagged, e.named, e.article, heading))
         text.clear()
         linked.clear()
 
     def add(piece: str) -> None:
         nonlocal breaks
-        if piece and not (stack and stack[-1][3]):
+        if piece and not (stack and stack[-1].unread):
             if not piece.isspace():
                 breaks = 0
             text.append(piece)
@@ -196,6 +234,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if tag in BLOCK_TAGS:
                 flush()
             continue
+        tagged, named = (False, False) if close else _evidence(tag, attributes)
         if tag == "a":
             link = not close
         elif tag == "br":
@@ -204,40 +243,42 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 flush()
             else:
                 text.append(" ")
-        elif tag in BLOCK_TAGS or tag in UNREAD_TAGS or (not close and _furniture(tag, attributes)) or (close and any(tag == s[0] for s in stack)):
+        elif tag in BLOCK_TAGS or tag in UNREAD_TAGS or tagged or named or (close and any(tag == e.tag for e in stack)):
             if tag in BLOCK_TAGS:
                 flush()
                 heading = not close and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if tag in VOID_TAGS or tag == "p" and not _furniture(tag, attributes) and not close:
-                while tag == "p" and stack and stack[-1][0] == "p":
+            if tag in VOID_TAGS or tag == "p" and not tagged and not named and not close:
+                while tag == "p" and stack and stack[-1].tag == "p":
                     stack.pop()
                 continue
             if close:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
+                    if stack[i].tag == tag:
                         del stack[i:]
                         break
             elif not attributes.endswith("/"):
-                up = stack[-1] if stack else ("", False, False, False)
-                if tag in ("p", "li") and up[0] == tag:  # these end the like element before them
+                if tag in ("p", "li") and stack and stack[-1].tag == tag:  # these end the like element before them
                     stack.pop()
-                    up = stack[-1] if stack else ("", False, False, False)
-                stack.append((tag, up[1] or _furniture(tag, attributes), up[2] or tag in ARTICLE_TAGS, up[3] or tag in UNREAD_TAGS))
+                up = stack[-1] if stack else _OUTSIDE
+                if tag in ARTICLE_TAGS:  # whatever encloses it, its inside begins anew
+                    stack.append(Element(tag, tagged, named, True, up.unread))
+                else:
+                    stack.append(Element(tag, up.tagged or tagged, up.named or named, up.article, up.unread or tag in UNREAD_TAGS))
     flush()
     return out
 
 
+def rows(found: list[tuple[str, int, int, bool, bool, bool, bool]]) -> list[tuple[float, ...]]:
+    """The features of each block, in the order of ``FEATURES``."""
+    density = [(n, k / n) for _, n, k, *_ in found]
+    none = (0, 0.0)
+    return [(*density[i], *(density[i - 1] if i else none), *(density[i + 1] if i + 1 < len(found) else none), *found[i][3:]) for i in range(len(found))]
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks of one page, one to a line."""
-    found = blocks(page or "")
-    tree, kept = trained(), []
-    density = [(n, k / n) for _, n, k, *_ in found]
-    for i, (text, _, _, furniture, article, heading) in enumerate(found):
-        before = density[i - 1] if i else (0, 0.0)
-        after = density[i + 1] if i + 1 < len(found) else (0, 0.0)
-        if tree.decide((*density[i], *before, *after, furniture, article, heading)):
-            kept.append(text)
-    return "\n".join(kept)
+    found, tree = blocks(page or ""), trained()
+    return "\n".join(block[0] for block, row in zip(found, rows(found), strict=True) if tree.decide(row))
 
 
 def extract(pages: DataFrame, source: str = "html", keep: list[str] | None = None) -> DataFrame:
