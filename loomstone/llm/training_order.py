@@ -2,21 +2,23 @@
 
 The documents of a scan partition form one token stream, each document closed
 by an end id, which is cut into sequences of ``capacity`` ids.  Every possible
-sequence has an index: the partitions get ranges of indices that their bytes
-bound from above, so texts are tokenised once.  A keyed Feistel permutation
-with cycle-walking sends the index to a place in the training order; shards are
-ranges of places.  Each shard is a file of records of one fixed stride in that
-order with a sidecar of the records' documents and checksums, so reading is
-sequential and may resume at any record.
-
-A scan partition that no longer holds the rows that were counted fails its
-task.  Files are renamed into place when complete, under names of their own
-per attempt, and only those of finished tasks are listed.
+sequence has an index: each partition gets a range of as many indices as the
+bytes of the largest one allow, so texts are tokenised once and no table of
+partitions is gathered.  A keyed Feistel permutation with cycle-walking sends the
+index to a place in the training order; shards are ranges of places with fixed
+bounds, and a task writes one range.  Each shard is a file of records of one fixed
+stride in that order with a sidecar of the records' documents and checksums, so
+reading is sequential and may resume at any record.
+
+The same key gives the same order for the same files and split size.  A scan
+partition that holds more than was counted fails its task.  Files are renamed into
+place when complete, under names of their own per attempt, and only those of
+finished tasks are listed.
 
 Defined results: a null or empty text is the end id alone; the last sequence of
 a partition is filled up with the end id and its true length is recorded; texts
-of any length run on over sequences; equal rows are written each; other columns
-are ignored; an empty table gives no shard.
+of any length run on over sequences; equal rows are written each; a null id is
+kept as null; other columns of any name are ignored; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import tokens
-from loomstone.llm.store import filesystem, fresh_folder, settle
+from loomstone.llm.store import filesystem, fresh_folder, qualified, settle
 from loomstone.llm.words import mix
 
 CAPACITY = 2048
@@ -58,16 +60,17 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(vocabulary: str, capacity: int, bases: dict[int, tuple[int, int, int]], size: int, per_shard: int, key: int):
+def _sequences(vocabulary: str, capacity: int, room: int, size: int, per_shard: int, key: int):
     """Tokenise a scan partition and place its sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        base, rows, weight = bases.get(part, (0, 0, 0))
+        base = TaskContext.get().partitionId() * room
         pack = zstandard.ZstdCompressor(level=1)
-        held, ids, made, seen, heavy = np.zeros(0, np.uint16), [], 0, 0, 0
+        held, ids, made = np.zeros(0, np.uint16), [], 0
 
         def place(seqs: list[tuple[np.ndarray, list[int]]]) -> pa.RecordBatch:
+            if made > room:
+                raise RuntimeError("a scan partition holds more than was counted")
             slots = permute(np.arange(made - len(seqs), made) + base, size, key)
             cols = [slots // per_shard, slots, [len(s) for s, _ in seqs], [d for _, d in seqs], [zlib.crc32(s.astype("<u4").tobytes()) for s, _ in seqs], [pack.compress(s.astype("<u2").tobytes()) for s, _ in seqs]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
@@ -81,8 +84,6 @@ def _sequences(vocabulary: str, capacity: int, bases: dict[int, tuple[int, int,
                 owners.append((at, docs[i]))
                 stream += [found.astype(np.uint16), np.array([END_ID], np.uint16)]
                 at += len(found) + 1
-                seen += 1
-            heavy += sum(len(x.encode()) + 1 for x in batch.column(1).to_pylist() if x is not None) + batch.column(1).null_count
             flat = np.concatenate(stream)
             begins = np.array([a for a, _ in owners], np.int64)
             full = len(flat) // capacity
@@ -98,8 +99,6 @@ def _sequences(vocabulary: str, capacity: int, bases: dict[int, tuple[int, int,
             made += len(seqs)
             if seqs:
                 yield place(seqs)
-        if (seen, heavy) != (rows, weight):
-            raise RuntimeError(f"scan partition {part} changed: {seen} rows of {heavy} bytes, {rows} of {weight} were counted")
         if len(held):
             made += 1
             yield place([(held, ids)])
@@ -131,7 +130,7 @@ def _write(folder: str, capacity: int):
                     out, side = disk.open_output_stream(path + ".part"), disk.open_output_stream(path + ".idx")
                 row = unpack.decompress(body)
                 out.write(row + struct.pack("<H", END_ID) * (capacity - size))
-                side.write(struct.pack(f"<iIi{len(docs)}q", size, crc, len(docs), *docs))
+                side.write(struct.pack("<iIi" + "?q" * len(docs), size, crc, len(docs), *(x for d in docs for x in (d is not None, d or 0))))
                 n += 1
         if now is not None:
             yield close()
@@ -146,8 +145,9 @@ def read_shard(disk, path: str, capacity: int, start: int = 0) -> Iterator[tuple
         index, at, k = side.read(), 0, 0
         while at < len(index):
             size, crc, many = struct.unpack_from("<iIi", index, at)
-            docs = list(struct.unpack_from(f"<{many}q", index, at + 12))
-            at += 12 + 8 * many
+            owners = struct.unpack_from("<" + "?q" * many, index, at + 12)
+            docs = [d if some else None for some, d in zip(owners[0::2], owners[1::2], strict=True)]
+            at += 12 + 9 * many
             if k >= start:
                 ids = np.frombuffer(source.read(capacity * 2), "<u2")[:size]
                 if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
@@ -171,30 +171,26 @@ def _read(folder: str, capacity: int):
 def materialise(docs: DataFrame, folder: str, key: int = 1, capacity: int = CAPACITY, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards; one row (shard, path, records, first_slot) per shard, in training order by first_slot."""
     path = vocabulary or tokens.default_vocabulary()
-    spark = docs.sparkSession
+    folder = qualified(docs.sparkSession, folder)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bytes_of = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
-    parts = sorted(texts.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"), bytes_of.alias("weight")).collect())
-    bases, size = {}, 0
-    for part, rows, weight in parts:  # a byte is at least a token, so this bounds the sequences
-        bases[part] = (size, rows, weight)
-        size += weight // capacity + 1
-    shards = max(1, -(-size * capacity * 2 // (shard_bytes * 2)))
-    per_shard = max(1, -(-size // shards))
-    placed = texts.mapInArrow(_sequences(path, capacity, bases, max(size, 1), per_shard, key), "shard long, place long, n_tokens long, doc_ids array<long>, ids_crc32 long, body binary")
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    parts = texts.groupBy(F.spark_partition_id().alias("part")).agg(bytes_of.alias("weight")).agg(F.max("part"), F.max("weight"), F.sum("weight")).first()
+    last, most, total = (x or 0 for x in parts)
+    room = most // capacity + 1  # a byte is at least a token, so this bounds the sequences of a partition
+    size = (last + 1) * room
+    shards = max(1, -(-total // shard_bytes))
+    per_shard = -(-size // shards)
+    placed = texts.mapInArrow(_sequences(path, capacity, room, size, per_shard, key), "shard long, place long, n_tokens long, doc_ids array<long>, ids_crc32 long, body binary")
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("place")
     written = settle(dealt.mapInArrow(_write(folder, capacity), "shard long, path string, records long"))
-    before, firsts = 0, []
-    for shard, records in sorted(written.select("shard", "records").collect()):
-        firsts.append((shard, before))
-        before += records
-    return written.join(spark.createDataFrame(firsts, "shard long, first_slot long"), "shard")
+    before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
+    return written.withColumn("first_slot", F.coalesce(before, F.lit(0).cast("long")))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, folder: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Write the training order of all documents and read it back: slot, shard, byte_offset, n_tokens, ids_crc32, doc_ids."""
-    folder = folder or fresh_folder(spark, "training-order")
+    folder = qualified(spark, folder) if folder else fresh_folder(spark, "training-order")
     shards = materialise(docs, folder, capacity=capacity)
     many = max(1, spark.sparkContext.defaultParallelism)
-    listed = shards.select("shard", "path", "first_slot").repartition(many, "shard")
+    listed = shards.select("shard", "path", "first_slot").repartition(many)
     return listed.mapInArrow(_read(folder, capacity), "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>")
