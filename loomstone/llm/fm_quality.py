@@ -7,17 +7,19 @@ identity  sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i x_i v_i|^2 - sum_i |x_i v_i|^2)
 
 Labels, languages, sources and ids are never inputs.  The machine is fitted on
 at most ``TRAIN_ROWS`` labelled rows outside the held-out fold, taken by the
-order of a hash of their ids; every text is scored whole.
+order of a hash of their ids and hashed in the tasks; every text, however long, is
+scored whole.
 
 Defined results: a null or empty text has only its length and structure bands
 and still gets a score; without usable labels every score is 0.5; repeated
 texts get equal scores; labels of one document that disagree count by their
-rounded mean; other columns are carried on, like-named ones are replaced.
+rounded mean; an empty table stays empty; other columns are carried on,
+like-named ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,15 +116,12 @@ class Machine:
         return [pa.array(np.concatenate(out).astype(np.float64))]
 
 
-def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, batch: int = 64, decay: float = 1e-5) -> Machine:
-    """Adaptive gradient descent on the logistic loss; classes weigh the same and the seed is fixed."""
+def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, batch: int = 64, decay: float = 1e-5) -> Machine:
+    """Adaptive gradient descent on the logistic loss over the features of each row; classes weigh the same and the seed is fixed."""
     rng = np.random.default_rng(7)
     model = Machine(0.0, np.zeros(WIDTH, np.float32), (rng.standard_normal((WIDTH, FACTORS)) * 0.01).astype(np.float32))
     if len(labels) == 0:
         return Machine(0.0, model.weight, np.zeros_like(model.factor))
-    parts = [(a, *features(d, o)) for a, _, d, o in slices(texts)]
-    row = np.concatenate([r + a for a, r, _, _ in parts])
-    feature, value = np.concatenate([f for _, _, f, _ in parts]), np.concatenate([v for *_, v in parts])
     edge = np.searchsorted(row, np.arange(len(labels) + 1))
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     importance = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
@@ -159,10 +158,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     """Fit on a bounded sample of labelled documents outside the held-out fold."""
     known = labels.where(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # at most ``rows`` ids and labels are sent to the scan
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(found["text"].combine_chunks(), found["label"].to_numpy().astype(np.float64))
+    # at most ``rows`` ids and labels are sent to the scan; what comes back is hashed there, at most ``WIDTH`` features a row
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    made = found.mapInArrow(_hashed, "doc_id long, label int, feature array<int>, value array<float>").toArrow()
+    order = sorted(enumerate(zip(made["doc_id"].to_pylist(), made["feature"].to_pylist(), strict=True)), key=lambda x: x[1])
+    made = made.take(pa.array([i for i, _ in order], pa.int64()))
+    size = np.array([len(x) for x in made["feature"]], np.int64)
+    flat = [np.concatenate([np.zeros(0, kind), *(x.values.to_numpy() for x in made[name])]) for name, kind in (("feature", np.int32), ("value", np.float32))]
+    return fit(np.repeat(np.arange(len(size)), size), *flat, made["label"].to_numpy().astype(np.float64))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column(1)):
+            row, feature, value = features(data, offsets)
+            edge = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (feature.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], ["doc_id", "label", "feature", "value"])
 
 
 def score(docs: DataFrame, machine: Machine, keep: Sequence[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
