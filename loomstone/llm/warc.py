@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.store import filesystem, fresh_folder, settle
+from loomstone.llm.store import filesystem, fresh_folder, qualified, settle
 
 #: Payloads from this size on are written once; a file is closed after this many bytes of records.
 LEAST = 100
@@ -223,7 +223,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the archives of all pages, normalise them and read every record back."""
-    folder = folder or fresh_folder(spark, "warc")
+    folder = qualified(spark, folder) if folder else fresh_folder(spark, "warc")
     return read(normalise(write(pages, folder), folder), folder)
 
 
