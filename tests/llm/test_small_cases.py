@@ -134,25 +134,49 @@ def covered(bodies, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "crowd"), [(60, 20, 1 << 16), (60, 20, 2), (25, 8, 1 << 16)])
-def test_repeats(spark, length, gram, crowd, monkeypatch):
+@pytest.mark.parametrize(("length", "gram", "group"), [(60, 20, 1024), (60, 20, 2), (25, 8, 3)])
+def test_repeats(spark, length, gram, group):
     texts = corpus(length)
     bodies = [(t or "").encode() for t in texts]
-    pass
-    got = {r.doc_id: r for r in suffix_repeats.digest(make(spark, texts, anchor="q"), length, gram).collect()}
+    got = {r.doc_id: r for r in suffix_repeats.digest(make(spark, texts, anchor="q", slot="s", row="r"), length, gram, group).collect()}
     for i, (b, flag) in enumerate(zip(bodies, covered(bodies, length), strict=True)):
         kept = bytes(c for c, f in zip(b, flag, strict=True) if not f)
         spans = len(re.findall(rb"\x01+", flag))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(flag), spans, hashlib.sha256(kept).hexdigest()), i
+        assert got[i].text == kept.decode(errors="ignore")
     assert suffix_repeats.digest(make(spark, [])).count() == 0
 
 
+def test_crowds_of_near_copies_are_split(spark):
+    """Copies with scattered edits, and a passage between different words, each with more surroundings than a group takes."""
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(40)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        w[rng.randrange(40)] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [f"{rng.random()} " + "shared passage of some length " * 2 + f" {rng.random()}" for _ in range(30)]
+    bodies = [t.encode() for t in texts]
+    got = {r.doc_id: r for r in suffix_repeats.digest(make(spark, texts), 60, 20, 4).collect()}
+    for i, (b, flag) in enumerate(zip(bodies, covered(bodies, 60), strict=True)):
+        assert got[i].kept_sha256 == hashlib.sha256(bytes(c for c, f in zip(b, flag, strict=True) if not f)).hexdigest(), i
+
+
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    passage = " ".join(f"shared{i}" for i in range(80))
+    rows = [(1, passage), (1, "short"), (None, passage), (None, None), (2, "tail " + passage)]
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(passage)
+    assert got == [(0, 0), (5, 0), (n, n), (n, n), (n + 5, n)]
+
+
 def test_remove_keeps_columns(spark):
     passage = " ".join(f"shared{i}" for i in range(80))
     texts = ["alpha1 " + passage + " beta", "gamma2 " + passage + " delta", "clean text", None]
-    out = suffix_repeats.remove(make(spark, texts, spans="s", places="p"))
+    out = suffix_repeats.remove(make(spark, texts, spans="s", __slot="p"))
     got = {r.doc_id: r.text for r in out.collect()}
-    assert out.columns == ["doc_id", "text", "spans", "places"]
+    assert out.columns == ["doc_id", "text", "spans", "__slot"]
     assert got[2] == "clean text" and got[3] is None and "shared40" not in got[0] and got[0].startswith("alpha") and got[1].endswith("delta")
 
 
@@ -172,28 +196,38 @@ def test_pipeline_removes_short_passages_of_fifty_one_words(spark):
     assert got[6] == texts[6] and 7 not in got and got[8].split() == ["end"]
 
 
-def test_interval_tree_against_all_pairs():
+def test_maximal_groups_against_all_pairs():
+    """Every member reaches as far as any other member that shares enough with it, and every group is maximal with all its members."""
     rng = random.Random(2)
-    for _ in range(200):
-        pairs = list({("".join(rng.choice("ab") for _ in range(rng.randint(0, 6))).encode(), ("k" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))).encode()) for _ in range(rng.randint(2, 9))})
-        if len(pairs) < 2:
-            continue
-        lefts, left = suffix_repeats._matrix([a[::-1] for a, _ in pairs])
-        rights, right = suffix_repeats._matrix([b for _, b in pairs])
-        far_left, far_right = suffix_repeats.reach(lefts, left, rights, right, 5)
+    for _ in range(300):
+        some = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 6))).encode()
+        pairs = sorted({(some(), b"k" + some()) for _ in range(rng.randint(2, 12))})
+        cut = rng.randint(0, len(pairs))
+        edge = np.array(sorted({0, cut, len(pairs)}))
+        body = pa.array([a + b for a, b in pairs], pa.binary())
+        found = suffix_repeats.maximal_groups(body, np.array([len(a) for a, _ in pairs]), edge, 5)
 
         def agree(x, y):
             return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
 
-        for i, (a, b) in enumerate(pairs):
-            found = [(agree(a[::-1], c[::-1]), agree(b, d)) for j, (c, d) in enumerate(pairs) if j != i]
-            found = [(x, y) for x, y in found if x + y >= 5]
-            assert (far_left[i], far_right[i]) == ((max(x for x, _ in found), max(y for _, y in found)) if found else (0, 0))
+        def common(i, j):
+            return agree(pairs[i][0][::-1], pairs[j][0][::-1]), agree(pairs[i][1], pairs[j][1])
 
+        want = set()
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for i in range(lo, hi):
+                for j in range(lo, i):
+                    x, y = common(i, j)
+                    if x + y >= 5:
+                        want.add((x, y, tuple(k for k in range(lo, hi) if all(p >= q for p, q in zip(common(i, k) if k != i else (99, 99), (x, y), strict=True)))))
+        assert {(x, y, tuple(sorted(m.tolist()))) for x, y, m in found} == want
 
-def test_maximal_repeats_hold_all_occurrences():
-    groups = suffix_repeats.maximal_repeats([(b"xab", b"cde"), (b"yab", b"cdf"), (b"zab", b"cdg"), (b"q", b"cdz")], 4)
-    assert (2, 2, [0, 1, 2]) in groups
+
+def test_repeat_groups_list_all_occurrences(spark):
+    passage = " ".join(f"shared{i}" for i in range(80))
+    docs = make(spark, [f"a {passage} b", f"c {passage} d", "none", f"e {passage} f"])
+    rows = suffix_repeats.repeat_groups(docs).collect()
+    assert rows and all(sorted(m.doc_id for m in r.members) == [0, 1, 3] for r in rows)
 
 
 def brute_quality(text):
@@ -242,12 +276,12 @@ def brute_hits(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
+@pytest.mark.parametrize("block", [1 << 20, 20])
 def test_decontamination(spark, block):
     texts = corpus(6)
-    items = [(1, " ".join(texts[7].split()[50:75])), (20, "short item"), (3, None), (4, ""), (5, (texts[9] or "a b")[:300]), (6, "...")]
+    items = [("1", " ".join(texts[7].split()[50:75])), ("20", "short item"), ("3", None), ("4", ""), ("5", (texts[9] or "a b")[:300]), ("6", "..."), ("", "item short"), ("20", "Two words")]
     texts += ["A Short   ITEM, short item", "item", "prefix " + "".join(c.upper() if c.isascii() else c for c in items[0][1]) + " suffix"]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(i or None, t) for i, t in items], "item_id string, text string").coalesce(1)
     found = decontam.matches(make(spark, texts, items="clash"), bench, keep=["doc_id"], block_bytes=block)
     got = {r.doc_id: r for r in found.collect()}
     for i, want in enumerate(brute_hits(texts, items)):
@@ -265,17 +299,20 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    texts = [*corpus(8), "it's 's  12\n\n 34abc!! ...", "é à é  à", "日本 語　 x", "a\u0085 b \u0085c  d", "<|endoftext|> hi", "tail  "]
+    texts = [*corpus(8), "hi <|endoftext|> yo", "<|endoftext|><|endoftext|>", "<|endoftext", "|> x<|endoftext|>", "it's 's  12\n\n 34abc!! ...", "é à é  à", "日本 語　 x", "a\u0085 b \u0085c  d", "<|endoftext|> hi", "tail  "]
     want = [e.ids for e in exact.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     got = dict(tokens.encode_column(pa.array(texts), tokens.default_vocabulary()))
     assert [got[i].tolist() for i in range(len(texts))] == want
 
 
 def test_packing(spark):
-    texts = corpus(9)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [*corpus(9), "hi <|endoftext|> yo", "<|endoftext|>"]
     rows = packing.pack(make(spark, texts, length="clash"), capacity=256).collect()
-    ids = dict(tokens.encode_column(pa.array(texts), tokens.default_vocabulary()))
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array(exact.encode(t or "", add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts)}
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -337,32 +374,56 @@ def test_permutation_is_a_bijection():
 
 
 def test_training_order_round_trip(spark, tmp_path):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = corpus(7)
     docs = make(spark, texts, shard="clash").repartition(3)
     docs = spark.createDataFrame(docs.toPandas(), docs.schema)
-    rows = training_order.round_trip(spark, docs, str(tmp_path / "order"), capacity=128).orderBy("slot").collect()
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != 12, F.col("doc_id"))).cache()
+    parts = docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").collect()
+    rows = training_order.round_trip(spark, docs, f"file://{tmp_path}/order", capacity=128).orderBy("slot").collect()
     assert [r.slot for r in rows] == list(range(len(rows)))
+    # an order of its own: every partition's stream in pieces, by the permuted places of their indices
+    weight = {}
+    for r in parts:
+        weight[r.part] = weight.get(r.part, 0) + len((r.text or "").encode()) + 1
+    room, streams = max(weight.values()) // 128 + 1, {}
+    for r in parts:
+        owner = 12 if r.doc_id is None else r.doc_id
+        whole = [*exact.encode(texts[owner] or "", add_special_tokens=False).ids, training_order.END_ID]
+        streams.setdefault(r.part, []).extend((t, r.doc_id) for t in whole)
+    size, want = (max(weight) + 1) * room, []
+    for part, stream in streams.items():
+        pieces = [stream[i : i + 128] for i in range(0, len(stream), 128)]
+        slots = training_order.permute(np.arange(len(pieces)) + part * room, size, 1).tolist()
+        for slot, piece in zip(slots, pieces, strict=True):
+            owners = [d for k, (_, d) in enumerate(piece) if not k or piece[k - 1][1] != d]
+            want.append((slot, zlib.crc32(np.array([t for t, _ in piece], "<u4").tobytes()), len(piece), owners))
+    assert [(r.ids_crc32, r.n_tokens, list(r.doc_ids)) for r in rows] == [w[1:] for w in sorted(want, key=lambda w: w[0])]
     ids = dict(tokens.encode_column(pa.array(texts), tokens.default_vocabulary()))
     assert sum(r.n_tokens for r in rows) == sum(len(x) + 1 for x in ids.values())
-    assert {d for r in rows for d in r.doc_ids} == set(ids)
-    disk, _ = training_order.filesystem(str(tmp_path))
+    assert {d for r in rows for d in r.doc_ids} == {None if i == 12 else i for i in ids}
+    disk, _ = training_order.filesystem(f"file://{tmp_path}")
     path = next(str(p) for p in (tmp_path / "order").glob("*.bin"))
     whole = list(training_order.read_shard(disk, path, 128))
     again = list(training_order.read_shard(disk, path, 128, start=len(whole) // 2))
     assert [k for k, *_ in again] == list(range(len(whole) // 2, len(whole))) and again[-1][2] == whole[-1][2]
-    assert training_order.round_trip(spark, make(spark, []), str(tmp_path / "none")).count() == 0
+    assert training_order.round_trip(spark, make(spark, []), f"file://{tmp_path}/none").count() == 0
 
 
 def test_warc(spark, tmp_path):
     big, other = "<p>" + "payload " * 30, "é" * 50
     pages = [(5, "http://a/5", big), (3, "http://a/3", big), (9, None, big), (4, "u\nv", "small"), (6, "u", "small"), (1, "u", None), (2, "u", ""), (7, "u", other), (8, "u", other), (7, "u", other)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
-    got = sorted(tuple(r) for r in warc.round_trip(spark, df, str(tmp_path / "w")).select("page_id", "payload_bytes", "record_type", "refers_to", "payload_digest").collect())
+    got = sorted(tuple(r) for r in warc.round_trip(spark, df, f"file://{tmp_path}/w").select("page_id", "payload_bytes", "record_type", "refers_to", "payload_digest").collect())
     want = sorted(
         (i, len((h or "").encode()), "revisit" if i in (5, 9, 8) else "response", {5: 3, 9: 3, 8: 7}.get(i), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in pages
     )
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert warc.round_trip(spark, df.limit(0), str(tmp_path / "v")).count() == 0
+    assert warc.round_trip(spark, df.limit(0), f"file://{tmp_path}/v").count() == 0
 
 
 def test_normaliser_reads_any_members(tmp_path):
@@ -371,7 +432,7 @@ def test_normaliser_reads_any_members(tmp_path):
     records = [warc.record(i, f"u{i}", b"x" * i, "d", None) for i in range(50)]
     data = gzip.compress(b"".join(records[:20])) + b"".join(gzip.compress(r) for r in records[20:])
     (tmp_path / "a.warc.gz").write_bytes(data)
-    disk, root = warc.filesystem(str(tmp_path))
+    disk, root = warc.filesystem(f"file://{tmp_path}")
     rows = list(warc.normalise_file(disk, f"{root}/a.warc.gz"))
     assert len(rows) == 50
     with disk.open_input_file(rows[0][0]) as source:
@@ -399,6 +460,30 @@ def test_main_text(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, want, len(want))] * 2 + [(2, "", 0)]
 
 
+def test_an_article_survives_its_wrapper():
+    body = "<h1>Title of the story</h1><p>" + "plain words of a page " * 12 + "</p><p>" + "more of these words " * 9 + "</p>"
+    for name in ("post-header", "sidebar-layout-main", "related-work", "social-science", "story notice-board"):
+        page = f'<ul><li><a>Home</a></li><li><a>News</a></li></ul><div class="{name}"><article>{body}</article></div><div class=related>see</div>'
+        assert html_blocks.main_text(page).startswith("Title of the story\nplain") and html_blocks.main_text(page).count("\n") == 2
+
+
+def test_menus_without_a_name_are_told_by_their_links():
+    links = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(6))
+    text = "<p>" + "plain words of a page " * 12 + "</p>"
+    assert html_blocks.main_text(f"<ul>{links}</ul>{text}{text}<div>{links}</div>").count("\n") == 1
+    assert html_blocks.main_text(f"<article>{text}<ul>{links}</ul>{text}</article>").count("\n") == 1
+    assert html_blocks.main_text(f"<article>{text * 2000}</article>").count("\n") == 1999
+
+
+def test_decisions_need_counts_and_densities():
+    x, y = html_blocks.sample_blocks()
+    tree = html_blocks.trained()
+    assert all(tree.decide(r) == bool(k) for r, k in zip(x, y, strict=True))
+    flags = x * (np.arange(x.shape[1]) >= html_blocks.DENSITIES)
+    blind = html_blocks.grow(flags, y)
+    assert sum(blind.decide(f) != bool(k) for f, k in zip(flags, y, strict=True)) > len(y) // 10
+
+
 def test_pairwise_identity():
     rng = np.random.default_rng(0)
     model = fm_quality.Machine(0.3, rng.normal(size=20).astype(np.float32), rng.normal(size=(20, 4)).astype(np.float32))
