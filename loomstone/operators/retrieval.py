@@ -43,16 +43,16 @@ def ranked(df: DataFrame, score: str, key: str, most: int, rank: str) -> DataFra
 
 
 def vector_channel(chunks: DataFrame, query: list[float], policy: Policy) -> DataFrame:
-    wanted = F.array(*[F.lit(float(x)) for x in query])
-    scored = chunks.select("doc_id", F.round(vec.cosine(F.col("embedding"), wanted), 6).alias("similarity"))
+    wanted = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
+    scored = chunks.where(F.lit(bool(query))).select("doc_id", F.round(vec.cosine(F.col("embedding"), wanted), 6).alias("similarity"))
     return ranked(scored.where(F.col("similarity") >= policy.least_similarity), "similarity", "doc_id", policy.candidates, "vector_rank")
 
 
 def lexical_channel(chunks: DataFrame, terms: list[str], policy: Policy) -> DataFrame:
-    words = tx.terms(F.col("text"))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    match = F.arrays_overlap(words, wanted) if policy.lexical_any else F.size(F.array_intersect(words, wanted)) == len(set(terms))
-    scored = chunks.where(match).select("doc_id", F.round(lexical_score(term_hits(F.col("text"), terms)), 9).alias("lexical_score"))
+    found = F.filter(tx.words(F.col("text")), lambda w: w.isin(*terms))  # the words are taken out once
+    hits = F.when(F.lit(policy.lexical_any) | (F.size(F.array_distinct(found)) == len(set(terms))), F.size(found)).otherwise(0).cast("long")
+    counted = chunks.select("doc_id", hits.alias("hits")).where("hits > 0")
+    scored = counted.select("doc_id", F.round(lexical_score(F.col("hits")), 9).alias("lexical_score"))
     return ranked(scored, "lexical_score", "doc_id", policy.candidates, "lexical_rank")
 
 
@@ -131,11 +131,40 @@ def select_bounded(candidates: DataFrame, policy: Policy) -> DataFrame:
     return ready.groupBy("query_id").applyInPandas(pick, "query_id long, chunk long, position int, tokens long, used_tokens long")
 
 
-def containment_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """Pairs whose smaller term set lies in the larger one to at least ``least``, found by their common terms."""
-    t = items.select(F.col(key).alias("id"), tx.terms(F.col(text)).alias("words")).withColumn("size", F.size("words"))
-    post = t.select("id", "size", F.explode("words").alias("word"))
-    a, b = post.select(F.col("id").alias("left_id"), F.col("size").alias("left_size"), "word"), post.select(F.col("id").alias("right_id"), F.col("size").alias("right_size"), "word")
-    common = a.join(b, "word").where("left_id < right_id").groupBy("left_id", "right_id", "left_size", "right_size").agg(F.count("*").alias("common"))
-    share = F.col("common") / F.least("left_size", "right_size")
-    return common.where(share >= least).select("left_id", "right_id", "common", F.round(share, 6).alias("containment"))
+def word_classes(items: DataFrame, key: str, by: list[str], text: str) -> DataFrame:
+    """(id, *by, words, class_id): the sorted word set of every text and the smallest id with the same set under the same ``by``."""
+    sets = items.select(F.col(key).alias("id"), *by, F.array_sort(tx.terms(F.coalesce(F.col(text), F.lit("")))).alias("words"))
+    sets = sets.withColumn("digest", F.sha2(F.array_join("words", " "), 256))
+    first = sets.groupBy(*by, "digest").agg(F.min("id").alias("class_id"))
+    return sets.join(first, [*by, "digest"]).drop("digest")
+
+
+def similar_sets(items: DataFrame, key: str, by: list[str], text: str, least: float, contained: bool = False) -> DataFrame:
+    """One row per text: its class of equal word sets and the number of other classes, under the same ``by``, that are similar to it.
+
+    Similar means that the common words are ``least`` of the union, or (``contained``) of the smaller set.  Classes meet by a
+    word that the smaller of two must share: one of its rarest, as many as it may miss and one more; sizes and then the sets
+    themselves decide.
+    """
+    every = word_classes(items, key, by, text)
+    reps = every.where("id = class_id AND size(words) > 0").select("id", *by, "words", F.size("words").alias("n"))
+    words = reps.select("id", *by, "n", F.explode("words").alias("word"))
+    common = words.groupBy(*by, "word").agg(F.count("*").alias("df")).where("df > 1")
+    shared = words.join(common, [*by, "word"])
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "word")) + (F.col("n") - F.count("*").over(Window.partitionBy("id")))  # words of one class only come first
+    need = F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9))
+    ranked_words = shared.withColumn("rank", rank).select("id", *by, "word", "n", (F.col("rank") <= F.col("n") - need + 1).alias("in_prefix"))
+    left = ranked_words.where("in_prefix").select(*by, "word", F.col("id").alias("left_id"), F.col("n").alias("left_n"))
+    right = ranked_words if contained else ranked_words.where("in_prefix")
+    right = right.select(*by, "word", F.col("id").alias("right_id"), F.col("n").alias("right_n"))
+    fits = (F.col("left_n") < F.col("right_n")) | ((F.col("left_n") == F.col("right_n")) & (F.col("left_id") < F.col("right_id")))
+    if not contained:
+        fits = fits & (F.col("left_n") >= F.lit(least) * F.col("right_n") - F.lit(1e-9))
+    met = left.join(right, [*by, "word"]).where(fits).select("left_id", "right_id").distinct()
+    sets = reps.select("id", "words")
+    pairs = met.join(sets.withColumnsRenamed({"id": "left_id", "words": "x"}), "left_id").join(sets.withColumnsRenamed({"id": "right_id", "words": "y"}), "right_id")
+    both = F.size(F.array_intersect("x", "y"))
+    whole = F.least(F.size("x"), F.size("y")) if contained else F.size("x") + F.size("y") - both
+    linked = pairs.where(both >= F.lit(least) * whole - F.lit(1e-9)).select("left_id", "right_id")
+    links = linked.select(F.explode(F.array("left_id", "right_id")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return every.select("id", "class_id").join(links, "class_id", "left").select(F.col("id").alias(key), "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -17,30 +17,43 @@ def attempts(events: DataFrame, passing: float = 50.0) -> DataFrame:
     return events.select("user_id", F.col("event_type").alias("card"), "event_id", "ts", (F.col("value") >= passing).alias("correct"))
 
 
-def _step(state: Column, attempt: Column) -> Column:
-    """One answer: quality 5 if correct, else 1, which starts the interval again."""
-    days, ease = state["days"], state["ease"]
-    grown = F.when(days == 0, F.lit(FIRST)).when(days == FIRST, F.lit(SECOND)).otherwise(F.bround(days * ease).cast("int"))
-    right = attempt["correct"]
-    return F.struct(
-        F.when(right, grown).otherwise(F.lit(0)).cast("int").alias("days"),
-        F.when(right, F.greatest(F.lit(LEAST_EASE), ease + 0.1)).otherwise(ease).alias("ease"),
-        (state["n_correct"] + right.cast("long")).alias("n_correct"),
-        (state["n_incorrect"] + (~right).cast("long")).alias("n_incorrect"),
-        attempt["ts"].alias("last_reviewed"),
-    )
+def answered(days: int, ease: float, correct: bool) -> tuple[int, float]:
+    """Interval and ease after one answer: quality 5 if correct, else 1, which starts the interval again."""
+    if not correct:
+        return 0, ease
+    return {0: FIRST, FIRST: SECOND}.get(days) or round(days * ease), max(LEAST_EASE, ease + 0.1)
 
 
 def progress(tries: DataFrame) -> DataFrame:
-    """State of every user and card after the ordered fold of its attempts."""
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "correct")))
-    start = F.struct(F.lit(0).alias("days"), F.lit(EASE).alias("ease"), F.lit(0).cast("long").alias("n_correct"), F.lit(0).cast("long").alias("n_incorrect"), F.lit(None).cast("timestamp_ntz").alias("last_reviewed"))
-    folded = tries.groupBy("user_id", "card").agg(ordered.alias("a")).select("user_id", "card", F.aggregate("a", start, _step).alias("s"))
-    days = F.col("s.days")
+    """State of every user and card after the ordered fold of its attempts.
+
+    Attempts stream through each task in the order of user, card and time, with one state held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, [0, EASE, 0, 0, None]
+        for batch in batches:
+            done = []
+            for user, card, at, correct in zip(batch["user_id"], batch["card"], batch["ts"], batch["correct"], strict=True):
+                if (user, card) != key:
+                    if key is not None:
+                        done.append((*key, *state))
+                    key, state = (user, card), [0, EASE, 0, 0, None]
+                state[0], state[1] = answered(state[0], state[1], correct)
+                state[2 if correct else 3] += 1
+                state[4] = at
+            yield pd.DataFrame(done, columns=names)
+        if key is not None:
+            yield pd.DataFrame([(*key, *state)], columns=names)
+
+    names = ["user_id", "card", "days", "ease", "n_correct", "n_incorrect", "last_reviewed"]
+    ordered = tries.repartition("user_id", "card").sortWithinPartitions("user_id", "card", "ts", "event_id").select("user_id", "card", "ts", "correct")
+    folded = ordered.mapInPandas(run, "user_id long, card string, days int, ease double, n_correct long, n_incorrect long, last_reviewed timestamp_ntz")
+    days = F.col("days")
     status = F.when(days >= MASTERED_DAYS, "mastered").when(days >= REVIEW_DAYS, "review").otherwise("learning")
     return folded.select(
-        "user_id", "card", days.alias("interval_days"), F.round("s.ease", 6).alias("ease"), "s.n_correct", "s.n_incorrect", status.alias("status"), "s.last_reviewed",
-        (F.col("s.last_reviewed") + F.make_dt_interval(days)).alias("next_review"),
+        "user_id", "card", days.alias("interval_days"), F.round("ease", 6).alias("ease"), "n_correct", "n_incorrect", status.alias("status"), "last_reviewed",
+        (F.col("last_reviewed") + F.make_dt_interval(days)).alias("next_review"),
     )
 
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomstone.functions import text as tx
+from loomstone.operators import evidence
 from loomstone.plans.shared import Catalogue
+from loomstone.sources.tables import table
 
 area = Catalogue()
 
@@ -108,8 +114,12 @@ area.sql(
 )
 area.sql(
     "filename_sanitize",
-    "SELECT page_id, substring(regexp_replace(element_at(split(regexp_replace(url, '[?#].*$', ''), '/'), -1), '[^A-Za-z0-9._-]', '_'), 1, 255) AS name FROM {pages}",
-    "SELECT page_id, substr(regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '[^A-Za-z0-9._-]', '_', 'g'), 1, 255) AS name FROM pages",
+    r"""
+    SELECT page_id, name, CASE WHEN name = '' THEN 'required' WHEN length(name) > 255 THEN 'too_long' ELSE 'accepted' END AS verdict FROM (
+      SELECT page_id, regexp_replace(trim(element_at(split(replace(url, chr(92), '/'), '/'), -1)), '[\\x00-\\x1f]', '') AS name FROM {pages}) t""",
+    r"""
+    SELECT page_id, name, CASE WHEN name = '' THEN 'required' WHEN length(name) > 255 THEN 'too_long' ELSE 'accepted' END AS verdict FROM (
+      SELECT page_id, regexp_replace(trim(string_split(replace(url, chr(92), '/'), '/')[-1]), '[\x00-\x1f]', '', 'g') AS name FROM pages) t""",
 )
 area.sql("principal_normalise", "SELECT c_custkey, lower(trim(concat(' ', c_name, ' '))) AS login FROM {customer}")
 area.sql(
@@ -124,14 +134,15 @@ area.sql(
 area.sql(
     "reduce_calls",
     """
-    SELECT source, n, CAST(aggregate(sequence(1, 12), named_struct('left', n, 'calls', CAST(0 AS BIGINT)),
-      (s, i) -> named_struct('left', CAST(ceil(s.left / 8) AS BIGINT), 'calls', s.calls + CASE WHEN s.left > 1 THEN CAST(ceil(s.left / 8) AS BIGINT) ELSE 0L END)).calls AS BIGINT) AS calls
-    FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source) t""",
+    SELECT source, n, CAST(aggregate(sequence(1, 20), named_struct('left', n, 'calls', 0L),
+      (s, i) -> named_struct('left', CAST(ceil(s.left / 8) AS BIGINT), 'calls', s.calls + CASE WHEN s.left > 1 THEN s.left DIV 8 + CASE WHEN s.left % 8 > 1 THEN 1L ELSE 0L END ELSE 0L END)).calls AS BIGINT) AS calls
+    FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source UNION ALL SELECT concat('line ', l_linenumber, l_returnflag), count(*) FROM {lineitem} GROUP BY l_linenumber, l_returnflag) t""",
     """
-    WITH RECURSIVE t AS (
-      SELECT source, count(*) AS n, count(*) AS l, CAST(0 AS BIGINT) AS calls FROM documents GROUP BY source
-      UNION ALL SELECT source, n, CAST(ceil(l / 8) AS BIGINT), calls + CAST(ceil(l / 8) AS BIGINT) FROM t WHERE l > 1)
-    SELECT source, n, max(calls) AS calls FROM t GROUP BY source, n""",
+    WITH RECURSIVE g AS (SELECT source, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT concat('line ', l_linenumber, l_returnflag), count(*) FROM lineitem GROUP BY l_linenumber, l_returnflag),
+    t AS (
+      SELECT source, n, n AS l, CAST(0 AS BIGINT) AS calls FROM g
+      UNION ALL SELECT source, n, CAST(ceil(l / 8) AS BIGINT), calls + l // 8 + CASE WHEN l % 8 > 1 THEN 1 ELSE 0 END FROM t WHERE l > 1)
+    SELECT source, n, CAST(max(calls) AS BIGINT) AS calls FROM t GROUP BY source, n""",
 )
 area.sql(
     "reduce_levels",
@@ -148,17 +159,11 @@ area.sql(
     "diverse_subset",
     """
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(place AS BIGINT) AS place FROM (
-      SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY turn, l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM (
-        SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 4 ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS turn FROM {lineitem}) a) b
+      SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY in_page, in_section, l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey, page ORDER BY in_section, l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS in_page FROM (
+          SELECT *, l_suppkey % 4 AS page, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 4, l_returnflag ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS in_section FROM {lineitem}) a) b) c
     WHERE place <= 3""",
 )
-area.sql(
-    "exclusions_prefix",
-    """
-    SELECT conv_id, turn, used FROM (
-      SELECT conv_id, turn, row_number() OVER w AS n, CAST(sum(greatest(1, CAST(ceil(length(substring(text, 1, 160)) / 3.0) AS BIGINT))) OVER w AS BIGINT) AS used FROM {conversations}
-      WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t WHERE n <= 32 AND used <= 384""",
-)
 area.sql(
     "evaluation_rates",
     """
@@ -192,33 +197,94 @@ area.sql(
     "elapsed_ms",
     """
     SELECT event_id, coalesce(greatest(0L, (unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS TIMESTAMP))) DIV 1000), 0L) AS elapsed FROM {events}
-    WHERE event_type IN ('view', 'click') AND user_id IS NOT NULL""",
+    WHERE user_id IS NOT NULL""",
     """
     SELECT event_id, CAST(coalesce(greatest(0, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 1000), 0) AS BIGINT) AS elapsed FROM events
-    WHERE event_type IN ('view', 'click') AND user_id IS NOT NULL""",
-)
-area.sql(
-    "navigation_terms",
-    "SELECT item_id, CAST(size(array_distinct(regexp_extract_all(lower(text), '([a-z0-9]+(?:-[a-z0-9]+)*)', 1))) AS BIGINT) AS terms FROM {benchmark}",
-    "SELECT item_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+(?:-[a-z0-9]+)*)', 1))) AS BIGINT) AS terms FROM benchmark",
-)
-area.sql(
-    "light_stems",
-    """
-    SELECT item_id, CAST(size(array_distinct(transform(regexp_extract_all(lower(text), '([a-z][a-z][a-z]+)', 1), w -> CASE
-      WHEN length(w) > 5 AND w LIKE '%ing' THEN substring(w, 1, length(w) - 3) WHEN length(w) > 4 AND w LIKE '%ies' THEN concat(substring(w, 1, length(w) - 3), 'y')
-      WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substring(w, 1, length(w) - 1) ELSE w END))) AS BIGINT) AS stems FROM {benchmark}""",
-    """
-    SELECT item_id, CAST(len(list_distinct(list_transform(regexp_extract_all(lower(text), '([a-z][a-z][a-z]+)', 1), lambda w: CASE
-      WHEN length(w) > 5 AND w LIKE '%ing' THEN substr(w, 1, length(w) - 3) WHEN length(w) > 4 AND w LIKE '%ies' THEN concat(substr(w, 1, length(w) - 3), 'y')
-      WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END))) AS BIGINT) AS stems FROM benchmark""",
-)
-area.sql(
-    "acronym_aliases",
-    """
-    SELECT short, max(long) AS long FROM (SELECT a[0] AS long, a[1] AS short FROM (SELECT split(m, '[(]') AS a FROM {conversations} LATERAL VIEW explode(regexp_extract_all(text, '([A-Z][a-z]+ [A-Z][a-z]+ [(][A-Z][A-Z]+)', 1)) x AS m) b) c
-    GROUP BY short HAVING count(DISTINCT long) = 1""",
-    """
-    SELECT short, max(long) AS long FROM (SELECT string_split(m, '(')[1] AS long, string_split(m, '(')[2] AS short FROM (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+ [A-Z][a-z]+ [(][A-Z][A-Z]+)', 1)) AS m FROM conversations) b) c
-    GROUP BY short HAVING count(DISTINCT long) = 1""",
+    WHERE user_id IS NOT NULL""",
 )
+#: Words that don't navigate, an acronym, and what may stand for it.
+NAVIGATION_STOP = (
+    "a an and are as at be by can could do does for from how i in is it its of on or the their them these they this those that to was "
+    "what when where which who why with would you your stand stands explain define definition mean means work works please about tell "
+    "me more course lecture lectures material materials knowledge say says help understand"
+).split()
+_WORDS = "[a-z0-9]+(?:-[a-z0-9]+)*"
+_STEMMED = "[a-z][a-z0-9-]*"
+_ACRONYM = "[A-Z][A-Z0-9]{1,11}(?:-[A-Z0-9]{2,11})*"
+_EXPANSION = r"[A-Z][A-Za-z-]+(?:[ \t]+[A-Za-z][A-Za-z-]+){0,8}"
+
+
+def _doc_words(spark: SparkSession, sf_dir: str, pattern: str = _WORDS) -> DataFrame:
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0))
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+
+
+@area.plan(f"""
+    SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '{_WORDS}')), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in NAVIGATION_STOP)}))), ' '), '') AS terms
+    FROM documents""")
+def navigation_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.filter("words", lambda w: ~w.isin(*NAVIGATION_STOP))
+    return _doc_words(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(kept), " ").alias("terms"))
+
+
+@area.plan(f"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_STEMMED}')) AS w FROM documents),
+    s AS (
+      SELECT doc_id, w FROM w
+      UNION SELECT doc_id, left(w, length(w) - 3) FROM w WHERE length(w) > 5 AND w LIKE '%ing'
+      UNION SELECT doc_id, left(w, length(w) - 3) || 'y' FROM w WHERE length(w) > 4 AND w LIKE '%ies'
+      UNION SELECT doc_id, left(w, length(w) - 1) FROM w WHERE length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' AND NOT (length(w) > 4 AND w LIKE '%ies'))
+    SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY w), '') AS stems FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""")
+def light_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+    stem = lambda w: (
+        F.when((F.length(w) > 5) & w.endswith("ing"), cut(w, 3))
+        .when((F.length(w) > 4) & w.endswith("ies"), F.concat(cut(w, 3), F.lit("y")))
+        .when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), cut(w, 1))
+        .otherwise(w)
+    )
+    both = F.array_union("words", F.transform("words", stem))
+    return _doc_words(spark, sf_dir, _STEMMED).select("doc_id", F.array_join(F.array_sort(both), " ").alias("stems"))
+
+
+_MENTIONS = """
+    SELECT p_brand AS page, string_agg(CASE WHEN p_size % 2 = 0 THEN long || ' (' || short || ')' ELSE short || ' (' || long || ')' END, '. ' ORDER BY p_partkey) AS text FROM (
+      SELECT p_brand, p_partkey, p_size, upper(left(p_name, 1)) || substr(p_name, 2) AS long, upper(left(p_name, 2)) || CASE WHEN p_size > 25 THEN '-' || p_partkey % 90 + 10 ELSE '' END AS short FROM part) GROUP BY p_brand"""
+
+
+@area.plan(rf"""
+    WITH p AS (
+      SELECT page, unnest(list_zip(regexp_extract_all(text, '({_ACRONYM})\s*\(({_EXPANSION})\)', 1), regexp_extract_all(text, '({_ACRONYM})\s*\(({_EXPANSION})\)', 2))) AS m FROM ({_MENTIONS})
+      UNION ALL
+      SELECT page, unnest(list_zip(regexp_extract_all(text, '({_EXPANSION})\s*\(({_ACRONYM})\)', 2), regexp_extract_all(text, '({_EXPANSION})\s*\(({_ACRONYM})\)', 1))) FROM ({_MENTIONS}))
+    SELECT page, short, max(lower(long)) AS long, count(*) AS mentions FROM (SELECT page, m[1] AS short, m[2] AS long FROM p) GROUP BY page, short HAVING count(DISTINCT lower(long)) = 1""")
+def acronym_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of the names of a brand's parts and their short forms; a short form of several names is left out."""
+    part = table(spark, sf_dir, "part")
+    short = F.concat(F.upper(F.left("p_name", F.lit(2))), F.when(F.col("p_size") > 25, F.concat(F.lit("-"), (F.col("p_partkey") % 90 + 10).cast("string"))).otherwise(""))
+    name = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 1000))
+    said = F.when(F.col("p_size") % 2 == 0, F.concat(name, F.lit(" ("), short, F.lit(")"))).otherwise(F.concat(short, F.lit(" ("), name, F.lit(")")))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", said.alias("said")))), lambda x: x["said"])
+    return evidence.aliases(part.groupBy(F.col("p_brand").alias("page")).agg(F.array_join(ordered, ". ").alias("text")), _ACRONYM, _EXPANSION)
+
+
+@area.plan(r"""
+    SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (
+      SELECT conv_id, turn, n, greatest(1, CAST(ceil((sum(length(item)) OVER w + 5 * n) / 3) AS BIGINT), CAST(ceil((sum(strlen(item)) OVER w + 5 * n) / 4) AS BIGINT), sum(units) OVER w + n + 1) AS used FROM (
+        SELECT conv_id, turn, item, len(regexp_extract_all(item, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS units, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (
+          SELECT conv_id, turn, CAST(json_object('question', substr(text, 1, 160), 'answer', substr(reply, 1, 96)) AS VARCHAR) AS item FROM (
+            SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) c
+          WHERE role = 'user' AND next_role = 'assistant' AND text IS NOT NULL AND reply IS NOT NULL) i) m
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t WHERE n <= 32 AND used <= 384""")
+def exclusions_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question and answer pairs of a conversation whose JSON list, in order, stays within the estimate."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    ahead = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("reply"), F.lead("role").over(w).alias("by"))
+    pairs = ahead.where("role = 'user' AND by = 'assistant' AND text IS NOT NULL AND reply IS NOT NULL")
+    item = F.to_json(F.struct(F.substring("text", 1, 160).alias("question"), F.substring("reply", 1, 96).alias("answer")))
+    sized = pairs.select("conv_id", "turn", item.alias("item")).select("conv_id", "turn", F.length("item").alias("chars"), F.octet_length("item").alias("bytes"), F.regexp_count("item", F.lit(tx.UNIT)).alias("units"))
+    n, run = F.row_number().over(w).cast("long"), w.rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(c).over(run)
+    # three blanks inside each pair, a comma and a blank between pairs, two brackets around
+    used = F.greatest(F.lit(1).cast("long"), F.ceil((total("chars") + 5 * n) / 3), F.ceil((total("bytes") + 5 * n) / 4), total("units") + n + 1)
+    return sized.select("conv_id", "turn", used.alias("used"), n.alias("n")).where("n <= 32 AND used <= 384").drop("n")

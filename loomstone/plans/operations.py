@@ -91,9 +91,9 @@ area.sql(
         WHEN o_orderpriority LIKE '1%' AND attempts >= 3 THEN 'failed_after_provider'
         WHEN attempts >= 5 THEN 'failed'
         ELSE 'requeued' END AS decision,
-      least(3600, 30 * CAST(power(2, least(attempts, 20) - 1) AS BIGINT)) AS delay_seconds
-    FROM (SELECT o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderpriority, count(*) AS attempts
-          FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderpriority) t""",
+      least(3600, 30 * CAST(power(2, greatest(least(attempts, 20) - 1, 0)) AS BIGINT)) AS delay_seconds
+    FROM (SELECT o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderpriority, count(l.l_orderkey) AS attempts
+          FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderpriority) t""",
 )
 area.sql(
     "event_json_props",

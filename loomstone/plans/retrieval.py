@@ -48,7 +48,8 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM fused""")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_ID).first()
-    return retrieval.hybrid(_chunks(spark, sf_dir), list(wanted["embedding"]), TERMS, POLICY)
+    vector = list(wanted["embedding"]) if wanted else []  # an unknown query finds by its words alone
+    return retrieval.hybrid(_chunks(spark, sf_dir), vector, TERMS, POLICY)
 
 
 @area.plan(f"WITH chunks AS (SELECT doc_id, text FROM documents),{_LEXICAL} SELECT doc_id, CAST(lexical_score AS DOUBLE) AS lexical_score, CAST(lexical_rank AS INT) AS lexical_rank FROM lexical")
@@ -96,30 +97,30 @@ def bounded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.select_bounded(pool, retrieval.Policy(context_tokens=4096, across_documents=True))
 
 
-@area.plan(f"""
-    WITH {_TOPK}, t AS (SELECT query_id, vec_id, list_distinct({_WORDS}) AS w FROM top JOIN documents ON doc_id = vec_id)
-    SELECT a.query_id, a.vec_id AS left_id, b.vec_id AS right_id, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS common, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS containment
-    FROM t a JOIN t b ON a.query_id = b.query_id AND a.vec_id < b.vec_id WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.5""")
+_SETS = f"""
+    s AS (SELECT doc_id, lang, source, list_sort(list_distinct({_WORDS})) AS w, min(doc_id) OVER (PARTITION BY lang, source, list_sort(list_distinct({_WORDS}))) AS class_id FROM documents),
+    r AS (SELECT * FROM s WHERE doc_id = class_id AND len(w) > 0),
+    m AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS p, len(b.w) AS q FROM r a JOIN r b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id)"""
+_LINKS = "SELECT s.doc_id, s.class_id, coalesce(l.n, 0) AS links FROM s LEFT JOIN (SELECT k, count(*) AS n FROM (SELECT x AS k FROM p UNION ALL SELECT y FROM p) GROUP BY k) l ON l.k = s.class_id"
+
+
+@area.plan(f"WITH {_SETS}, p AS (SELECT x, y FROM m WHERE c >= 0.8 * least(p, q) - 1e-9) {_LINKS}")
 def containment_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _pool_texts(spark, sf_dir).select("query_id", "vec_id", tx.terms(F.col("text")).alias("w"))
-    a, b = t.select("query_id", F.col("vec_id").alias("left_id"), F.col("w").alias("x")), t.select("query_id", F.col("vec_id").alias("right_id"), F.col("w").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    share = common / F.least(F.size("x"), F.size("y"))
-    pairs = a.join(b, "query_id").where("left_id < right_id")  # at most twenty candidates a query
-    return pairs.where(share >= 0.5).select("query_id", "left_id", "right_id", common.cast("long").alias("common"), F.round(share, 6).alias("containment"))
+    return retrieval.similar_sets(table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"], "text", 0.8, contained=True)
 
 
-@area.plan(f"""
-    WITH {_TOPK}, t AS (SELECT query_id, vec_id, list_distinct({_WORDS}) AS w FROM top JOIN documents ON doc_id = vec_id)
-    SELECT a.query_id, a.vec_id AS left_id, b.vec_id AS right_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard
-    FROM t a JOIN t b ON a.query_id = b.query_id AND a.vec_id < b.vec_id WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.2""")
+@area.plan(f"WITH {_SETS}, p AS (SELECT x, y FROM m WHERE c >= 0.8 * (p + q - c) - 1e-9) {_LINKS}")
 def jaccard_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _pool_texts(spark, sf_dir).select("query_id", "vec_id", tx.terms(F.col("text")).alias("w"))
-    a, b = t.select("query_id", F.col("vec_id").alias("left_id"), F.col("w").alias("x")), t.select("query_id", F.col("vec_id").alias("right_id"), F.col("w").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    ratio = common / (F.size("x") + F.size("y") - common)
-    pairs = a.join(b, "query_id").where("left_id < right_id")  # at most twenty candidates a query
-    return pairs.where(ratio >= 0.2).select("query_id", "left_id", "right_id", F.round(ratio, 6).alias("jaccard"))
+    return retrieval.similar_sets(table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"], "text", 0.8)
+
+
+@area.plan(f"""
+    SELECT doc_id, CAST(lexical_score AS DOUBLE) AS lexical_score, CAST(row_number() OVER (ORDER BY lexical_score DESC, doc_id) AS INT) AS lexical_rank FROM (
+      SELECT doc_id, round(h * 0.1 / (h * 0.1 + 1), 9) AS lexical_score FROM (SELECT doc_id, {_HITS} AS h FROM documents WHERE list_contains({_WORDS}, 'with') AND list_contains({_WORDS}, 'the')))
+    ORDER BY lexical_score DESC, doc_id LIMIT 20""")
+def lexical_all_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold every term."""
+    return retrieval.lexical_channel(table(spark, sf_dir, "documents"), TERMS, retrieval.Policy())
 
 
 @area.plan()
@@ -128,11 +129,26 @@ def grounded_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.distinct_cards(cards)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every stated query, whose question is the first line of its own document."""
+    pool = _pool_texts(spark, sf_dir)
+    question = F.first(F.substring_index("text", "\n", 1)).over(Window.partitionBy("query_id").orderBy("rank"))
+    return pool.select("query_id", "rank", F.col("source").alias("document"), F.col("vec_id").alias("page"), question.alias("question"), "text")
+
+
 @area.plan()
 def best_excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _pool_texts(spark, sf_dir)
-    asked = pool.withColumn("question", F.first("text").over(Window.partitionBy("query_id").orderBy("rank")))
-    return evidence.excerpts(asked.select("query_id", F.col("vec_id").alias("doc_id"), F.substring("question", 1, 200).alias("question"), "text"))
+    return evidence.excerpts(_asked(spark, sf_dir)).drop("n_terms")
+
+
+@area.plan()
+def related_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.related_excerpts(_asked(spark, sf_dir))
+
+
+@area.plan()
+def source_first_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.source_first_excerpts(_asked(spark, sf_dir))
 
 
 area.sql(

@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.plans.shared import Catalogue
+from loomstone.sources import folders
 from loomstone.streaming import learner
 
 area = Catalogue()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir where it is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-")
-
-
 @area.plan()
 def stream_sm2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = learner.drain(learner.learner_state(learner.event_stream(spark, sf_dir)), "update", _folder(spark))
+    rows = learner.drain(learner.learner_state(learner.event_stream(spark, sf_dir)), "update", folders.shared(spark, "stream"))
     last = Window.partitionBy("user_id", "card").orderBy(F.desc("batch"))
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "batch")
 
 
 @area.plan("SELECT DISTINCT user_id, props FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learner.drain(learner.first_receipts(learner.event_stream(spark, sf_dir)), "append", _folder(spark)).drop("batch")
+    return learner.drain(learner.first_receipts(learner.event_stream(spark, sf_dir)), "append", folders.shared(spark, "stream")).drop("batch")
 
 
 @area.plan("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = learner.drain(learner.hourly(learner.event_stream(spark, sf_dir)), "update", _folder(spark))
+    rows = learner.drain(learner.hourly(learner.event_stream(spark, sf_dir)), "update", folders.shared(spark, "stream"))
     latest = rows.groupBy("hour_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
     return latest.select(F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "event_type", "n")

@@ -34,11 +34,11 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
 @area.plan(f"""
-    SELECT item_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END[1:12], ' ') AS lexical_query FROM (
-      SELECT item_id, w, list_filter(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), lambda x: x NOT IN ({_STOP})) AS k
-      FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark))""")
+    SELECT doc_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END[1:12], ' ') AS lexical_query FROM (
+      SELECT doc_id, w, list_filter(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), lambda x: x NOT IN ({_STOP})) AS k
+      FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))""")
 def bounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tx.bounded_terms(F.col("text"), 12), " ").alias("lexical_query"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.bounded_terms(F.col("text"), 12), " ").alias("lexical_query"))
 
 
 @area.plan(r"""
@@ -68,6 +68,13 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), 300, 40)
 
 
+@area.plan()
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of several pages: a conversation's turns are its pages."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), "text")
+    return chunking.chunk(turns, 60, 12)
+
+
 @area.plan()
 def pack_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pack(chunking.chunk(table(spark, sf_dir, "documents"), 300, 40).drop("text"), 1000, 8)
@@ -75,13 +82,19 @@ def pack_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @area.plan(f"""
     WITH c AS (
-      SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS question, coalesce(string_split(text, chr(10))[2], '') AS quote, coalesce(string_split(string_split(text, chr(10))[2], '.')[1], '') AS answer, text AS source FROM documents),
-    n AS (SELECT doc_id, {_NORM.format('question')} AS question, {_NORM.format('quote')} AS quote, {_NORM.format('answer')} AS answer, {_NORM.format('source')} AS source FROM c),
-    r AS (SELECT *, CASE WHEN quote = '' OR NOT contains(source, quote) THEN 'quote_not_contiguous' WHEN answer = '' OR NOT contains(quote, answer) THEN 'answer_not_in_quote' WHEN length(question) < 5 OR question = answer THEN 'unclear_question' ELSE 'grounded' END AS outcome FROM n)
+      SELECT d.doc_id, coalesce(string_split(text, chr(10))[1], '') AS question, coalesce(string_split(text, chr(10))[2], '') AS quote, coalesce(string_split(string_split(text, chr(10))[2], '.')[1], '') AS answer,
+             CASE WHEN l.doc_id IS NOT NULL THEN text END AS source, string_split(text, chr(10))[3:6] AS options FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id),
+    n AS (SELECT doc_id, {_NORM.format('question')} AS question, {_NORM.format('quote')} AS quote, {_NORM.format('answer')} AS answer, {_NORM.format('source')} AS source, list_transform(options, lambda o: {_NORM.format('o')}) AS options FROM c),
+    r AS (SELECT *, CASE WHEN source IS NULL THEN 'unknown_source' WHEN quote = '' OR NOT contains(source, quote) THEN 'quote_not_contiguous' WHEN answer = '' OR NOT contains(quote, answer) THEN 'answer_not_in_quote'
+      WHEN length(question) < 5 OR question = answer THEN 'unclear_question' WHEN list_contains(options, question) THEN 'option_matches_question' ELSE 'grounded' END AS outcome FROM n)
     SELECT doc_id, outcome, CASE WHEN outcome = 'grounded' THEN round_even(least(1.0, 0.75 + least(1.0, length(answer) / greatest(1, length(quote))) * 0.25), 4) ELSE 0 END AS quality FROM r""")
 def grounding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = lambda n: F.coalesce(F.get(F.split("text", "\n"), F.lit(n)), F.lit(""))
-    cards = table(spark, sf_dir, "documents").select("doc_id", line(0).alias("question"), line(1).alias("quote"), F.substring_index(line(1), ".", 1).alias("answer"), F.col("text").alias("source"))
+    """Cards of every document's first lines against the reviewed documents."""
+    parts = F.split("text", "\n")
+    line = lambda n: F.coalesce(F.get(parts, F.lit(n)), F.lit(""))
+    known = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
+    docs = table(spark, sf_dir, "documents").join(known, "doc_id", "left")
+    cards = docs.select("doc_id", line(0).alias("question"), line(1).alias("quote"), F.substring_index(line(1), ".", 1).alias("answer"), F.slice(parts, 3, 4).alias("options"), F.when(F.col("known"), F.col("text")).alias("source"))
     return evidence.grounding(cards).select("doc_id", F.coalesce("rejection", F.lit("grounded")).alias("outcome"), F.coalesce("quality", F.lit(0.0)).alias("quality"))
 
 
@@ -121,7 +134,7 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_text(table(spark, sf_dir, "pages"))
 
 
-@area.plan("SELECT doc_id, CAST(ceil(greatest(1, strlen(text)) / 4096) AS BIGINT) AS blocks, sha256(text) AS content_hash, strlen(text) AS n_bytes, substr(text, 1, 64) AS head FROM documents WHERE text <> ''")
+@area.plan("SELECT doc_id, CAST(ceil(greatest(1, strlen(text)) / 4096) AS BIGINT) AS blocks, sha256(text) AS content_hash, strlen(text) AS n_bytes, substr(text, 1, 64) AS head FROM documents")
 def encrypted_block_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = blocks.store(table(spark, sf_dir, "documents").where("text <> ''"), blocks.DEMO_KEY, 4096)
+    stored = blocks.store(table(spark, sf_dir, "documents"), blocks.DEMO_KEY, 4096)
     return blocks.verify(stored, blocks.DEMO_KEY)
