@@ -25,14 +25,13 @@ def test_bounded_terms(spark):
 def test_token_estimate_is_the_chunkers(spark):
     texts = ["", "a", "Straße — naïve!", "x" * 100, "one two, three."]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(tx.token_estimate(F.col("t"))).collect()] == [chunking.estimate(t) for t in texts]
+    assert [r[0] for r in df.select(tx.token_estimate(F.col("t"))).collect()] == [chunking.Size.of(t).tokens for t in texts]
 
 
 def test_headings(spark):
     lines = ["Chapter 1 about", "2.1 Results", "ALL CAPS", "A Title Like This", "just a sentence.", "lower case words", "", "Ends With Stop."]
     df = spark.createDataFrame([(t,) for t in lines], "t string")
-    got = [r[0] for r in df.select(tx.heading(F.col("t"))).collect()]
-    assert got == [chunking.is_heading(t) for t in lines] == [True, True, True, True, False, False, False, False]
+    assert [r[0] for r in df.select(tx.heading(F.col("t"))).collect()] == [True, True, True, True, False, False, False, False]
 
 
 def test_chunks_keep_sections_and_the_ceiling(spark):
@@ -45,6 +44,59 @@ def test_chunks_keep_sections_and_the_ceiling(spark):
     assert len(seen) == 400
 
 
+def naive_tokens(text):
+    return max(1, math.ceil(len(text) / 3), math.ceil(len(text.encode()) / 4), len(re.findall(r"\w+|[^\w\s]", text))) if text else 0
+
+
+def naive_chunks(page, ceiling, overlap):
+    """Chunks of a page by trying every end and every overlap; lines that begin with # are its headings, written as CHAPTER."""
+    out, section, held, owner = [], None, "", None
+    for block in page:
+        if block.startswith("Chapter "):
+            section, _, block = block.partition("\n")
+        if not block:
+            continue
+        if naive_tokens(block) > ceiling:
+            if held:
+                out.append((owner, held))
+            held, words, start = "", block.split(), 0
+            while True:
+                end = max([start + 1, *(e for e in range(start + 1, len(words) + 1) if naive_tokens(" ".join(words[start:e])) <= ceiling)])
+                out.append((section, " ".join(words[start:end])))
+                if end == len(words):
+                    break
+                start = max(start + 1, min([end, *(b for b in range(start, end) if overlap and naive_tokens(" ".join(words[b:end])) <= overlap)]))
+        elif held and (owner != section or naive_tokens(held + "\n\n" + block) > ceiling):
+            out.append((owner, held))
+            words = held.split()
+            tail = next((" ".join(words[b:]) for b in range(len(words)) if overlap and naive_tokens(" ".join(words[b:])) <= overlap), "")
+            held = tail + "\n\n" + block if tail and naive_tokens(tail + "\n\n" + block) <= ceiling else block
+        else:
+            held = held + "\n\n" + block if held else block
+        owner = section
+    return out + ([(owner, held)] if held else [])
+
+
+def test_chunks_of_several_pages_against_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcé,.") for _ in range(rng.randint(1, 12)))
+
+    def block():
+        body = " ".join(word() for _ in range(rng.choice([1, 4, 9, 30, 90]))) + "."
+        return rng.choice(["", "", f"Chapter {rng.randint(1, 3)}\n"]) + body if rng.random() < 0.9 else "Chapter 9"
+
+    docs = {d: [[block() for _ in range(rng.randint(0, 6))] for _ in range(rng.randint(1, 4))] for d in range(25)}
+    rows = [(d, n, "\n \n".join(page)) for d, pages in docs.items() for n, page in enumerate(pages, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, text string").repartition(3)
+    for ceiling, overlap in ((40, 10), (25, 0), (12, 11)):
+        want = []
+        for d, pages in docs.items():
+            found = [(n, s, t) for n, page in enumerate(pages, 1) for s, t in naive_chunks(page, ceiling, overlap)]
+            want += [(d, f"chunk-{i:04d}-p{n}", i, n, s, t, naive_tokens(t)) for i, (n, s, t) in enumerate(found, 1)]
+        got = sorted(map(tuple, chunking.chunk(df, ceiling, overlap).collect()), key=lambda r: (r[0], r[2]))
+        assert got == want
+
+
 def test_packing_closes_at_the_bounds(spark):
     rng = random.Random(3)
     rows = [(d, i, rng.randint(1, 90)) for d in range(20) for i in range(1, rng.randint(2, 30))]
@@ -93,18 +145,81 @@ def test_near_duplicates(spark):
 
 
 def test_grounding_codes(spark):
-    rows = [("what is it", "cat", "a cat sat", "there a  Cat sat down"), ("what is it", "dog", "a cat sat", "a cat sat"), ("what is it", "cat", "no such", "a cat sat"), ("hm", "cat", "a cat", "a cat")]
-    got = [r.rejection for r in evidence.grounding(spark.createDataFrame(rows, "question string, answer string, quote string, source string")).collect()]
-    assert got == [None, "answer_not_in_quote", "quote_not_contiguous", "unclear_question"]
+    rows = [
+        ("what is it", "cat", "a cat sat", ["dog"], "there a  Cat sat down"), ("what is it", "dog", "a cat sat", ["dog"], "a cat sat"), ("what is it", "cat", "no such", ["dog"], "a cat sat"),
+        ("hm", "cat", "a cat", ["dog"], "a cat"), ("what is it", "cat", "a cat", ["dog", " What  is IT"], "a cat"), ("what is it", "cat", "a cat", ["dog"], None),
+    ]
+    df = spark.createDataFrame(rows, "question string, answer string, quote string, options array<string>, source string")
+    want = [None, "answer_not_in_quote", "quote_not_contiguous", "unclear_question", "option_matches_question", "unknown_source"]
+    assert [r.rejection for r in evidence.grounding(df).collect()] == want
+
+
+def asked(spark, rows):
+    return spark.createDataFrame(rows, "query_id long, rank int, document string, page long, question string, text string")
 
 
 def test_excerpt_is_exact(spark):
     text = "Lead in. " + "filler words go here and on. " * 40 + "The orbital period is stated here. " + "more filler text. " * 30
-    df = spark.createDataFrame([(1, 2, "orbital period", text), (1, 3, "orbital", "")], "query_id long, doc_id long, question string, text string")
-    (r,) = evidence.excerpts(df).collect()
+    (r,) = evidence.excerpts(asked(spark, [(1, 1, "d", 2, "orbital period", text), (1, 2, "d", 3, "orbital", "")])).collect()
     assert text[r.start_offset : r.end_offset] == r.quote and r.term_hits == 2 and "orbital period" in r.quote and len(r.quote) <= 480
 
 
+def naive_window(text, terms):
+    """The best window by looking at every place a window may begin and end."""
+    word = re.compile("[a-z0-9]{3,}", re.I)
+    places = [0] + [m.start() for m in word.finditer(text) if m[0].lower() in terms][:64]
+    best = None
+    for place in places:
+        begin = max(0, place - 80)
+        opens = [(i, i + 1) for i in range(max(0, begin - 80), begin) if text[i] == "\n"] + [(i, i + 2) for i in range(max(0, begin - 80), begin - 1) if text[i : i + 2] == ". "]
+        begin = max(opens)[1] if begin and opens else begin
+        end = min(len(text), begin + 420)
+        if end < len(text):
+            lines = [i for i in range(max(begin + 80, end - 80), min(len(text), begin + 480)) if text[i] == "\n"]
+            blanks = [i for i in range(max(begin + 80, end - 60), end) if text[i] == " "]
+            end = lines[0] if lines else blanks[-1] if blanks else end
+        while begin < end and text[begin].isspace():
+            begin += 1
+        while end > begin and text[end - 1].isspace():
+            end -= 1
+        if begin < end <= begin + 480:
+            hits = len({m[0].lower() for m in word.finditer(text[begin:end])} & terms)
+            if best is None or (-hits, begin, end) < best:
+                best = (-hits, begin, end)
+    return best and (best[1], best[2], -best[0])
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        words = ["orbit", "orbital", "period", "mean", "a", "of", "Orbit.", "end.", "long" * 30, "x\n", "\n", "period. "]
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 260)))
+        terms = frozenset(rng.sample(["orbit", "orbital", "period", "mean"], rng.randint(0, 3)))
+        assert evidence.Passage(text).best(terms) == naive_window(text, terms)
+
+
+def test_excerpts_come_from_distinct_pages(spark):
+    rows = [(1, 1, "d", 1, "orbital period", "the orbital period"), (1, 2, "d", 1, "orbital period", "orbital period again"), (1, 3, "d", 2, "orbital period", "nothing here"), (1, 4, "e", 1, "orbital period", "period of orbital motion and period"), (1, 6, "f", 1, "orbital period", "orbital period")]
+    related = evidence.related_excerpts(asked(spark, rows)).orderBy("position").collect()
+    assert [(r.document, r.page, r["rank"]) for r in related] == [("d", 1, 1), ("d", 2, 3)]
+    first = evidence.source_first_excerpts(asked(spark, rows)).orderBy("position").collect()
+    assert [(r.document, r["rank"], r.term_hits) for r in first] == [("d", 1, 2), ("e", 4, 2)]
+
+
+def test_similar_sets_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(0, 9)))) for i in range(80)] + [(90, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sets = {i: (g, frozenset((t or "").split())) for i, g, t in rows}
+    own = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    for contained in (False, True):
+        got = {r.doc_id: (r.class_id, r.links) for r in retrieval.similar_sets(df, "doc_id", ["lang"], "text", 0.6, contained).collect()}
+        for i in sets:
+            g, x = sets[own[i]]
+            like = [j for j in set(own.values()) if j != own[i] and sets[j][0] == g and x and sets[j][1] and 10 * len(x & sets[j][1]) >= 6 * (min(len(x), len(sets[j][1])) if contained else len(x | sets[j][1]))]
+            assert got[i] == (own[i], len(like)), i
+
+
 def test_followups(spark):
     rows = [(1, 0, "user", "Tell me about NASA missions please"), (1, 1, "assistant", "ok"), (1, 2, "user", "what is it"), (1, 3, "user", "how does rocket propulsion work")]
     got = {r.turn: r.query for r in evidence.followups(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
