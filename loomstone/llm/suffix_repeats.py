@@ -14,9 +14,10 @@ Surroundings that are equal are folded before the array is built, so groups of
 copies cost one row.  An anchor with more than ``GROUP`` distinct surroundings
 is split by longer cores: two of them that share ``LENGTH`` bytes share either
 half of the missing bytes on the right of the core or the rest on the left, so
-both cores take the place of the one.  Every split halves what is missing, and
-groups that are small enough get their array; a core of ``LENGTH`` bytes is a
-repeat itself.
+both cores take the place of the one.  A longer core needs narrower
+surroundings, more of which are equal and are folded again, until the groups are
+small enough for an array; a core of ``LENGTH`` bytes has one kind of
+surroundings, itself.
 
 Defined results: a null or empty text has no bytes; texts under ``LENGTH``
 bytes repeat nothing; repeats may overlap and may lie in one text; matches
@@ -44,11 +45,15 @@ from loomstone.llm.words import NOT_SPACE, mix, prefix_hash, ragged, slices, spa
 LENGTH = 400
 GRAM = 128
 #: Most distinct surroundings that one suffix array takes.
-GROUP = 256
+GROUP = 4096
+#: Rows of surroundings, texts, and bytes of text that a task works on at once.
+CHUNK = 4096
+TEXTS = 512
+SLICE = 1 << 20
 #: Slots of the table that tells texts without any repeated anchor from the others before a shuffle.
 SLOTS = 1 << 20
 
-_CONTEXT = "anchor long, doc_id long, place int, left int, times long, core_left int, core_right int, body binary"
+_CONTEXT = "anchor long, around long, doc_id long, place int, left int, times long, core_left int, core_right int, body binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +80,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int
     return picked, hashes[picked]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, which bounds what a task holds as Python values."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def _scan(length: int, gram: int):
     """Anchors of every document by surroundings: equal ones of a document share a row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, _, data, offsets in slices(batch.column(1)):
+            for a, _, data, offsets in slices(batch.column(1), SLICE):
                 sums = prefix_hash(data)
                 pos, key = anchors(data, offsets, sums, length, gram)
                 if not len(pos):
@@ -107,41 +117,44 @@ def _cut(length: int, gram: int):
     """The surroundings themselves, for the wanted anchors of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for batch in _sliced(batches, TEXTS):
+            rows = []
+            for doc, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 body = text.encode()
                 for w in want:
                     lo = max(0, w["place"] - (length - gram))
-                    for col, value in zip(out, (w["anchor"], doc, w["place"], w["place"] - lo, w["times"], body[lo : w["place"] + length]), strict=True):
-                        col.append(value)
-            yield _contexts(*out[:5], [0] * len(out[0]), [gram] * len(out[0]), out[5])
+                    rows.append((w["anchor"], w["around"], doc, w["place"], w["place"] - lo, w["times"], 0, gram, body[lo : w["place"] + length]))
+                    if len(rows) == CHUNK:
+                        yield _contexts(rows)
+                        rows = []
+            yield _contexts(rows)
 
     return cut
 
 
-def _contexts(*cols: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "doc_id", "place", "left", "times", "core_left", "core_right", "body"])
+def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["anchor", "around", "doc_id", "place", "left", "times", "core_left", "core_right", "body"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
 
 
 def _split(length: int):
     """Surroundings under the two longer cores, one of which any two of them that share ``length`` bytes have in common."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, CHUNK // 2):
             rows = []
-            for key, doc, place, left, times, back, on, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, _, doc, place, left, times, back, on, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 missing = length - back - on
                 right = (missing + 1) // 2
                 before = missing - right + 1
                 for side, a, b in ((0, back, on + right), (1, back + before, on)):
-                    grown = body[left + on : left + b] if side == 0 else body[max(0, left - a) : left - back]
-                    if len(grown) == (before if side else right):
-                        name = xxhash.xxh3_64_intdigest(grown, (key * 2 + side) & 0xFFFFFFFFFFFFFFFF)
-                        rows.append((name - (1 << 63), doc, place, left, times, a, b, body))
-            if rows:
-                yield _contexts(*map(list, zip(*rows, strict=True)))
+                    lo, hi = max(0, left - length + b), min(len(body), left + length - a)  # what a repeat around the core may reach
+                    if a <= left and left + b <= len(body) and hi - lo >= length:
+                        name = xxhash.xxh3_64_intdigest(body[left - a : left + b], (key * 2 + side) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                        around = xxhash.xxh3_64_intdigest(body[lo:hi], left - lo) - (1 << 63)
+                        rows.append((name, around, doc, place, left - lo, times, a, b, body[lo:hi]))
+            yield _contexts(rows)
 
     return split
 
@@ -151,7 +164,8 @@ def interval_tree(common: list[int]) -> list[tuple[int, int, int]]:
 
     ``common[i]`` is what members i - 1 and i of the suffix array share; entry 0 is not read.
     """
-    out, stack = [], [(0, 0)]
+    out: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []
     for i in range(1, len(common) + 1):
         value = common[i] if i < len(common) else -1
         first = i - 1
@@ -180,8 +194,8 @@ def _sorted_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: n
     return order, common
 
 
-def maximal_groups(body: pa.Array, left: np.ndarray, edge: np.ndarray, least: int) -> list[tuple[int, int, np.ndarray]]:
-    """(bytes left, bytes right, members) of every maximal repeat of at least ``least`` bytes.
+def maximal_groups(body: pa.Array, left: np.ndarray, edge: np.ndarray, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bytes left, bytes right, members) of every maximal repeat of at least ``least`` bytes, one at a time.
 
     The rows are distinct surroundings of an anchor, which stands ``left`` bytes behind their start; those of group k have one
     anchor and are the rows from ``edge[k]`` on.
@@ -193,12 +207,11 @@ def maximal_groups(body: pa.Array, left: np.ndarray, edge: np.ndarray, least: in
     before, left_common = _sorted_rows(data, size[:-1], left, group, True)
     rank, place = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
     rank[before] = place[array] = np.arange(len(left))
-    out = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if b - a == 2:  # the tree of two members is one interval
             x, y = int(left_common[a + 1]), int(right_common[a + 1])
             if x + y >= least:
-                out.append((x, y, array[a:b]))
+                yield x, y, array[a:b]
             continue
         for prefix, first, last in interval_tree(right_common[a:b].tolist()) if b - a > 2 else ():
             ranks = np.sort(rank[array[a + first : a + last + 1]])
@@ -210,8 +223,7 @@ def maximal_groups(body: pa.Array, left: np.ndarray, edge: np.ndarray, least: in
                     members = before[ranks[i : j + 1]]
                     lo, hi = place[members].min(), place[members].max()
                     if right_common[lo + 1 : hi + 1].min() == prefix:  # else an inner interval has them
-                        out.append((back, prefix, members))
-    return out
+                        yield back, prefix, members
 
 
 def _by_anchor(solve):
@@ -219,11 +231,9 @@ def _by_anchor(solve):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _sliced(batches, CHUNK // 2):
             last = batch.column(0)[-1].as_py()
-            cut = int(np.searchsorted(batch.column(0).to_numpy(), last))
+            cut = int(np.searchsorted(batch.column(0).to_numpy(), last))  # the last anchor may run on
             if cut:
                 yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
@@ -237,7 +247,7 @@ def _by_anchor(solve):
     return run
 
 
-def _groups_of(table: pa.Table, length: int) -> list[tuple[int, int, np.ndarray]]:
+def _groups_of(table: pa.Table, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
     key = table["anchor"].to_numpy()
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     return maximal_groups(table["body"].combine_chunks(), table["left"].to_numpy().astype(np.int64), edge, length)
@@ -264,10 +274,20 @@ def _report(length: int):
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, doc, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "place"))
-        rows = [(int(key[m[0]]), x, y, [{"doc_id": int(doc[i]), "place": int(place[i])} for i in m.tolist()]) for x, y, m in _groups_of(table, length)]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("doc_id", pa.int64()), ("place", pa.int64())])))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "back", "on", "members"])
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "back", "on", "members"])
+
+        rows, held = [], 0
+        for x, y, m in _groups_of(table, length):
+            rows.append((int(key[m[0]]), x, y, [{"doc_id": int(doc[i]), "place": int(place[i])} for i in m.tolist()]))
+            held += len(m)
+            if held >= CHUNK:
+                yield packed(rows)
+                rows, held = [], 0
+        if rows:
+            yield packed(rows)
 
     return _by_anchor(solve)
 
@@ -306,29 +326,34 @@ class Anchored:
 
     def contexts(self) -> tuple[DataFrame, DataFrame | None]:
         """One text of each of the distinct surroundings of an anchor, in groups of at most ``group``; and spans that are sure already."""
-        reps = self.kinds.where("mixed").select("anchor", "times", "rep.doc_id", "rep.place")
-        crowds = settle_table(reps.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > self.group).select("anchor"), "crowds")
+        reps = self.kinds.where("mixed").select("anchor", "around", "times", "rep.doc_id", "rep.place")
+        crowds = settle_table(self._crowds(reps), "crowds")
         if not crowds.limit(1).count():
             return self._cut(reps), None
-        small = [self._cut(reps.join(crowds, "anchor", "left_anti"))]
-        crowded, sure = settle_table(self._cut(reps.join(crowds, "anchor", "left_semi")), "crowded"), None
+        every, sure = self._cut(reps.join(crowds, "anchor", "left_anti")), None
+        crowded: DataFrame | None = self._cut(reps.join(crowds, "anchor", "left_semi"))
         while crowded is not None:
             cores = settle_table(crowded.mapInArrow(_split(self.length), _CONTEXT), "cores")
-            whole = F.max(F.col("core_left") + F.col("core_right")) == self.length
-            sizes = settle_table(cores.groupBy("anchor").agg(F.count("*").alias("n"), whole.alias("whole")).where("n > 1"), "core-sizes")
-            found = cores.join(sizes, "anchor")
-            spans = found.where("whole AND times = 1").select("doc_id", (F.col("place") - F.col("core_left")).cast("long").alias("start"), (F.col("place") + F.col("core_right")).cast("long").alias("stop"))
+            first = [F.first(c).alias(c) for c in ("left", "core_left", "core_right", "body")]  # equal in all of a kind
+            kinds = cores.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.sum("times").alias("times"), *first)
+            kinds = settle_table(kinds.select("anchor", "around", "rep.doc_id", "rep.place", "left", "times", "core_left", "core_right", "body"), "kinds")
+            again = cores.where("times = 1").join(kinds.where("times > 1").select("anchor", "around"), ["anchor", "around"])
+            start = (F.col("place") - F.col("left")).cast("long")
+            spans = again.select("doc_id", start.alias("start"), (start + F.octet_length("body")).alias("stop"))
             sure = spans if sure is None else sure.unionByName(spans)
-            small.append(found.where((F.col("n") <= self.group) & ~F.col("whole")).drop("n", "whole"))
-            many = (F.col("n") > self.group) & ~F.col("whole")
-            crowded = found.where(many).drop("n", "whole") if sizes.where(many).limit(1).count() else None
-        every = small[0]
-        for more in small[1:]:
-            every = every.unionByName(more)
+            mixed = kinds.groupBy("anchor").agg((F.min("around") != F.max("around")).alias("mixed")).where("mixed").select("anchor")
+            kinds = settle_table(kinds.join(settle_table(mixed, "mixed"), "anchor", "left_semi"), "kinds")
+            crowds = settle_table(self._crowds(kinds), "crowds")
+            some = crowds.limit(1).count() > 0
+            every = every.unionByName(kinds.join(crowds, "anchor", "left_anti") if some else kinds)
+            crowded = kinds.join(crowds, "anchor", "left_semi") if some else None
         return every, sure
 
+    def _crowds(self, kinds: DataFrame) -> DataFrame:
+        return kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > self.group).select("anchor")
+
     def _cut(self, reps: DataFrame) -> DataFrame:
-        wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "times")).alias("want"))
+        wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "around", "place", "times")).alias("want"))
         return _touched(self.texts, self.slots).join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut(self.length, self.gram), _CONTEXT)
 
 
@@ -358,7 +383,7 @@ def _short(words: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(1), SLICE):
                 s, e, first = spans(data, offsets, NOT_SPACE)
                 if len(s) < words:
                     continue
@@ -420,7 +445,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     rows = keyed(docs.select("doc_id", "text"))
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, TEXTS):
             out: list[list] = [[], [], [], [], []]
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 body, runs = (text or "").encode(), merged(spans)
@@ -441,7 +466,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int |
     found = with_spans(keyed(docs), length, gram, words, group)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, TEXTS):
             texts = []
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 texts.append(kept_bytes(text.encode(), merged(spans)).decode(errors="ignore") if spans else text)
