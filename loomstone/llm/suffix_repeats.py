@@ -53,7 +53,7 @@ SLICE = 1 << 20
 #: Slots of the table that tells texts without any repeated anchor from the others before a shuffle.
 SLOTS = 1 << 20
 
-_CONTEXT = "anchor long, around long, doc_id long, place int, left int, times long, core_left int, core_right int, body binary"
+_CONTEXT = "anchor long, around long, doc_id long, place int, left int, times long, core_left int, core_right int, crowded boolean, body binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,7 @@ def _cut(length: int, gram: int):
                 body = text.encode()
                 for w in want:
                     lo = max(0, w["place"] - (length - gram))
-                    rows.append((w["anchor"], w["around"], doc, w["place"], w["place"] - lo, w["times"], 0, gram, body[lo : w["place"] + length]))
+                    rows.append((w["anchor"], w["around"], doc, w["place"], w["place"] - lo, w["times"], 0, gram, w["crowded"], body[lo : w["place"] + length]))
                     if len(rows) == CHUNK:
                         yield _contexts(rows)
                         rows = []
@@ -133,9 +133,9 @@ def _cut(length: int, gram: int):
 
 
 def _contexts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["anchor", "around", "doc_id", "place", "left", "times", "core_left", "core_right", "body"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    names = ["anchor", "around", "doc_id", "place", "left", "times", "core_left", "core_right", "crowded", "body"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, kinds, strict=True)], names)
 
 
 def _split(length: int):
@@ -144,7 +144,7 @@ def _split(length: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, CHUNK // 2):
             rows = []
-            for key, _, doc, place, left, times, back, on, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, _, doc, place, left, times, back, on, _, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 missing = length - back - on
                 right = (missing + 1) // 2
                 before = missing - right + 1
@@ -153,7 +153,7 @@ def _split(length: int):
                     if a <= left and left + b <= len(body) and hi - lo >= length:
                         name = xxhash.xxh3_64_intdigest(body[left - a : left + b], (key * 2 + side) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
                         around = xxhash.xxh3_64_intdigest(body[lo:hi], left - lo) - (1 << 63)
-                        rows.append((name, around, doc, place, left - lo, times, a, b, body[lo:hi]))
+                        rows.append((name, around, doc, place, left - lo, times, a, b, False, body[lo:hi]))
             yield _contexts(rows)
 
     return split
@@ -327,33 +327,34 @@ class Anchored:
     def contexts(self) -> tuple[DataFrame, DataFrame | None]:
         """One text of each of the distinct surroundings of an anchor, in groups of at most ``group``; and spans that are sure already."""
         reps = self.kinds.where("mixed").select("anchor", "around", "times", "rep.doc_id", "rep.place")
-        crowds = settle_table(self._crowds(reps), "crowds")
+        crowds = settle_table(self._sizes(reps).where(F.col("n") > self.group).select("anchor", F.lit(True).alias("crowded")), "crowds")
         if not crowds.limit(1).count():
-            return self._cut(reps), None
-        every, sure = self._cut(reps.join(crowds, "anchor", "left_anti")), None
-        crowded: DataFrame | None = self._cut(reps.join(crowds, "anchor", "left_semi"))
+            return self._cut(reps.withColumn("crowded", F.lit(False))), None
+        told = reps.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        cut = settle_table(self._cut(told), "contexts")  # the texts move once for both
+        every, sure = cut.where("NOT crowded"), None
+        crowded: DataFrame | None = cut.where("crowded")
         while crowded is not None:
             cores = settle_table(crowded.mapInArrow(_split(self.length), _CONTEXT), "cores")
-            first = [F.first(c).alias(c) for c in ("left", "core_left", "core_right", "body")]  # equal in all of a kind
+            first = [F.first(c).alias(c) for c in ("left", "core_left", "core_right", "crowded", "body")]  # equal in all of a kind
             kinds = cores.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.sum("times").alias("times"), *first)
-            kinds = settle_table(kinds.select("anchor", "around", "rep.doc_id", "rep.place", "left", "times", "core_left", "core_right", "body"), "kinds")
+            kinds = settle_table(kinds.select("anchor", "around", "rep.doc_id", "rep.place", "left", "times", "core_left", "core_right", "crowded", "body"), "kinds")
             again = cores.where("times = 1").join(kinds.where("times > 1").select("anchor", "around"), ["anchor", "around"])
             start = (F.col("place") - F.col("left")).cast("long")
             spans = again.select("doc_id", start.alias("start"), (start + F.octet_length("body")).alias("stop"))
             sure = spans if sure is None else sure.unionByName(spans)
-            mixed = kinds.groupBy("anchor").agg((F.min("around") != F.max("around")).alias("mixed")).where("mixed").select("anchor")
-            kinds = settle_table(kinds.join(settle_table(mixed, "mixed"), "anchor", "left_semi"), "kinds")
-            crowds = settle_table(self._crowds(kinds), "crowds")
-            some = crowds.limit(1).count() > 0
-            every = every.unionByName(kinds.join(crowds, "anchor", "left_anti") if some else kinds)
-            crowded = kinds.join(crowds, "anchor", "left_semi") if some else None
+            sizes = settle_table(self._sizes(kinds).where("n > 1"), "sizes")  # an anchor of one kind has nothing to share
+            sized = kinds.join(sizes, "anchor")
+            every = every.unionByName(sized.where(F.col("n") <= self.group).drop("n"))
+            many = sizes.where(F.col("n") > self.group).limit(1).count() > 0
+            crowded = sized.where(F.col("n") > self.group).drop("n") if many else None
         return every, sure
 
-    def _crowds(self, kinds: DataFrame) -> DataFrame:
-        return kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > self.group).select("anchor")
+    def _sizes(self, kinds: DataFrame) -> DataFrame:
+        return kinds.groupBy("anchor").agg(F.count("*").alias("n"))
 
     def _cut(self, reps: DataFrame) -> DataFrame:
-        wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "around", "place", "times")).alias("want"))
+        wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "around", "place", "times", "crowded")).alias("want"))
         return _touched(self.texts, self.slots).join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_cut(self.length, self.gram), _CONTEXT)
 
 
