@@ -202,29 +202,23 @@ area.sql(
     SELECT event_id, CAST(coalesce(greatest(0, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 1000), 0) AS BIGINT) AS elapsed FROM events
     WHERE user_id IS NOT NULL""",
 )
-#: Words that don't navigate, an acronym, and what may stand for it.
-NAVIGATION_STOP = (
-    "a an and are as at be by can could do does for from how i in is it its of on or the their them these they this those that to was "
-    "what when where which who why with would you your stand stands explain define definition mean means work works please about tell "
-    "me more course lecture lectures material materials knowledge say says help understand"
-).split()
-_WORDS = "[a-z0-9]+(?:-[a-z0-9]+)*"
+#: A stemmed word, an acronym, and what may stand for it.
 _STEMMED = "[a-z][a-z0-9-]*"
 _ACRONYM = "[A-Z][A-Z0-9]{1,11}(?:-[A-Z0-9]{2,11})*"
 _EXPANSION = r"[A-Z][A-Za-z-]+(?:[ \t]+[A-Za-z][A-Za-z-]+){0,8}"
 
 
-def _doc_words(spark: SparkSession, sf_dir: str, pattern: str = _WORDS) -> DataFrame:
+def _doc_words(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0))
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
 
 
 @area.plan(f"""
-    SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '{_WORDS}')), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in NAVIGATION_STOP)}))), ' '), '') AS terms
+    SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '{tx.NAVIGATION_WORD}')), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in tx.NAVIGATION_STOP)}))), ' '), '') AS terms
     FROM documents""")
 def navigation_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.filter("words", lambda w: ~w.isin(*NAVIGATION_STOP))
-    return _doc_words(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(kept), " ").alias("terms"))
+    kept = tx.navigation_terms(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(kept), " ").alias("terms"))
 
 
 @area.plan(f"""

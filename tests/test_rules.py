@@ -1,15 +1,17 @@
 """Rules against plain statements of them."""
 
+import json
 import math
 import random
 import re
+import unicodedata
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.functions import vectors as vec
-from loomstone.operators import chunking, evaluation, evidence, retrieval, study
+from loomstone.operators import chunking, evaluation, evidence, questions, retrieval, study
 from loomstone.sources import blocks
 from loomstone.streaming import learner
 
@@ -252,3 +254,71 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_nearest_rank():
     assert evaluation.nearest_rank_p95([]) == 0.0
     assert evaluation.nearest_rank_p95(list(range(1, 101))) == 95
+
+
+def test_evidence_form_is_pythons(spark):
+    """Every character of the basic plane, and a few texts, as NFKC, case folding and split() have them."""
+    plane = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["a" + c + "B" for c in plane] + ["", "  ", "ﬁne ＷＩＤＥ Straße ", "é ½ \x1f x\u0085y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", tx.normalize_evidence(F.col("t")).alias("n")).collect()}
+    want = {i: " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for i, t in enumerate(texts)}
+    assert {texts[i] for i in want if got[i] != want[i]} == set()
+
+
+def test_options_are_compared_in_the_same_form(spark):
+    card = Row(question="What  is ＮＦＫＣ", answer="form", options=["x", "what is nfkc "], quote="a form", source="it is a form")
+    assert evidence.grounding(spark.createDataFrame([card])).first().rejection == "option_matches_question"
+
+
+def test_question_forms(spark):
+    asked = {
+        "What does BLEU stand for?": ("acronym", "BLEU", "", "", []),
+        "How does the valve open when it is cold and if it is wet?": ("mechanism", "valve", "when it is cold and if it is wet", "", ["when it is cold", "if it is wet"]),
+        "In dry air, why does a pump stop?": None,
+        "In dry air, why does a pump release heat?": ("reason", "pump", "heat", "dry air", []),
+        "What is the definition of heat?": None,
+        "What is heat and why is it hot?": None,
+        "": None,
+    }
+    got = questions.with_roles(spark.createDataFrame([(q,) for q in [*asked, None]], "q string"), "q", "r").collect()
+    assert {r.q: r.r and (r.r.relation, r.r.entity, r.r.tail, r.r.domain, r.r.conditions) for r in got} == asked | {None: None}
+
+
+def test_queries_behind_pronouns(spark):
+    turns = ["Define BLEU.", "How does it compare to ROUGE?", "What is photosynthesis in leaves", "Why does it need light?", "Compare two forests", "How do they grow?", "What do these slides say about forest growth?", None]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(turns)], "c int, turn int, role string, text string")
+    got = {r.turn: (r.strict_query, r.wide_query) for r in questions.navigation_queries(df, ["c"], "turn").collect()}
+    assert got[1][0] == "BLEU How does it compare to ROUGE?"
+    assert got[3][0] == "photosynthesis in leaves Why does it need light?"
+    assert got[5] == (None, None)
+    assert got[6] == (None, turns[6]) and 7 not in got
+
+
+def test_quotes_are_located(spark):
+    page = "one  two\n(three) \\E four " + "x" * 2000 + " end of it"
+    quotes = {"two (three) \\E four": (5, 24), "one  two": (0, 8), "absent": (None, None), "": (None, None), " ": (3, 4), "end of it": (len(page) - 9, len(page)), "y" * 481: (None, None)}
+    found = evidence.contexts(evidence.locate(spark.createDataFrame([(page, q) for q in quotes], "page string, quote string"))).collect()
+    assert {r.quote: (r.start_offset, r.end_offset) for r in found if r.quote != " "} == {q: v for q, v in quotes.items() if q != " "}
+    last = next(r for r in found if r.quote == "end of it")
+    assert (last.context_start, last.context_end) == (len(page) - 169, len(page))
+    assert next(r for r in found if r.quote == "one  two").context_end == 1200
+
+
+def test_verdicts(spark):
+    page = lambda i, label="direct", cue=True: {"id": i, "usefulness": label, "cue_locates": cue}
+    said = lambda *pages, status="clear": json.dumps({"question_status": status, "pages": pages})
+    cases = [
+        (said(page("a", "concrete_learning_step"), page("b")), ("clear", ["b", "a"], 0)),
+        (said(page("b", "unrelated"), page("a", cue=False)), ("clear", [], 1)),
+        (said(page("a"), page("a")), ("page_id_invalid", [], 0)),
+        (said(page("a"), page("b"), status="needs_clarification"), ("clarification_qualified_page", [], 0)),
+        (said(page("a"), page("b", cue=1)), ("cue_verdict_invalid", [], 0)),
+        (said(page("a"), {"id": "b"}), ("page_verdict_fields_invalid", [], 0)),
+        ("[]", ("verdict_fields_invalid", [], 0)),
+        ("{", ("verdict_json_invalid", [], 0)),
+        (None, ("verdict_oversize", [], 0)),
+    ]
+    df = spark.createDataFrame([(i, raw, ["a", "b"]) for i, (raw, _) in enumerate(cases)], "i int, raw string, issued array<string>")
+    got = {r.i: (r.outcome, r.chosen, r.dropped) for r in questions.verdicts(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
