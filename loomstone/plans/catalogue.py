@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomstone.plans import guards, operations, questions, records, retrieval, streams, study, texts
+from loomstone.plans import guards, operations, questions, records, retrieval, selection, streams, study, texts
 from loomstone.plans.shared import Query
 
-AREAS = (retrieval.area, texts.area, study.area, operations.area, guards.area, records.area, questions.area, streams.area)
+AREAS = (retrieval.area, texts.area, study.area, operations.area, guards.area, records.area, questions.area, selection.area, streams.area)
 
 
 def queries() -> dict[str, Query]:

@@ -100,6 +100,50 @@ def navigation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.navigation_queries(_asked(spark, sf_dir), ["p_brand", "p_type"], "p_partkey").drop("p_brand", "p_type")
 
 
+TALKS = (
+    "Tell me about the ~.", "What does it measure?", "What do the slides say about ~?", "Please explain why they work", "How is a ~ used in ports", "I am studying about ~",
+    "Why does this happen?", "What is the purpose of the ~?", "And these", "Ignore the notes about ~", "How can a ~ ignore noise?", "What does that mean please?",
+    "Describe the system", "How do they differ", "What is ~ and steel?", "Where is it kept?", "Explain ~ -- then show it", "What does ~ mean?", "Is it: new", "Why do ~ matter?", "Can we see those?",
+)
+_TALK = f"SELECT p_partkey, p_size, CASE WHEN p_partkey % 5 = 3 THEN 'assistant' ELSE 'user' END AS role, CASE p_partkey % {len(TALKS)} " + " ".join(f"WHEN {i} THEN replace('{t}', '~', p_name)" for i, t in enumerate(TALKS)) + " END AS text FROM "
+
+
+def _one_of(x: str, words: list[str]) -> str:
+    return f"{x} IN ({', '.join(repr(w) for w in words)})"
+
+
+def _bounded(x: str, most: int) -> str:
+    asks = f"(length({x}) - length(replace({x}, '?', '')))"
+    return rf"(length({x}) BETWEEN 1 AND {most} AND {_strip(x)} <> '' AND NOT regexp_matches({x}, '\p{{C}}') AND NOT regexp_matches({x}, '{questions.ADDITIONAL}', 'i') AND NOT regexp_matches(rtrim({_strip(x)}, '?.!'), '[.!?]') AND ({asks} = 0 OR {asks} = 1 AND ends_with({_strip(x)}, '?')))"
+
+
+def _safe(x: str, most: int) -> str:
+    return f"({_bounded(x, most)} AND NOT regexp_matches({x}, '{questions.META}', 'i'))"
+
+
+_SPANS = ", ".join(f"regexp_extract(b, '^(?:please\\s+)?{f}(?:\\s+please)?[?.!]?$', 1, 'i')" for f in questions.SUBJECT_FRAMES)
+_NAMES = rf"""length(x) BETWEEN 1 AND 160 AND len(string_split_regex(x, '\s+')) <= 12 AND length(before) - length(replace(before, x, '')) = length(x)
+    AND len(list_filter(string_split_regex(x, '\s+'), lambda w: NOT regexp_full_match(w, '\p{{L}}[\p{{L}}\p{{N}}-]*') OR ends_with(w, '-') OR contains(w, '--') OR {_one_of("lower(w)", questions.NO_SUBJECT)})) = 0
+    AND len(list_filter(string_split_regex(x, '\s+'), lambda w: NOT {_one_of("lower(w)", [*questions.GENERIC, "of", "for", "the", "a", "an"])})) > 0 AND NOT {_one_of("lower(string_split_regex(x, '\\s+')[1])", questions.RELATIONS)}"""
+
+
+@area.plan(rf"""
+    WITH a AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY p_size ORDER BY p_partkey ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM ({_TALK} part)),
+    b AS (SELECT *, {_strip("text")} AS q, {_strip("before")} AS b FROM a WHERE role = 'user'),
+    c AS (SELECT *, regexp_matches(q, '{_SPLIT}') AS refers, len(list_distinct(regexp_extract_all(regexp_extract(q, '{_SPLIT}', 1), '{questions.ACRONYM}'))) AS named, trim(regexp_extract(q, '^{questions.SAME_TURN}$', 1, 'i')) AS own,
+                 list_transform([{_SPANS}], lambda x: regexp_replace({_strip("x")}, '{questions.ARTICLE}', '', 'i')) AS spans FROM b),
+    d AS (SELECT *, CASE WHEN q = '' THEN false WHEN NOT refers OR named = 1 THEN len({_terms("q")}) > 0 WHEN named > 1 THEN false ELSE own <> '' AND length(own) <= 160 AND len({_terms("own")}) > 0 AND NOT regexp_matches(own, '{questions.JOINED}', 'i') END AS raw,
+                 CASE WHEN {_safe("before", 1000)} AND NOT regexp_matches(before, '{questions.MULTIPLE}', 'i') AND NOT regexp_matches(rtrim(b, '?.!'), '[.!?()''"‘’“”]') THEN list_distinct(list_filter(spans, lambda x: {_NAMES})) END AS found FROM c),
+    e AS (SELECT *, CASE WHEN raw AND {_bounded("text", 4000)} AND NOT regexp_matches(text, '{questions.META_TASK}', 'i') AND (regexp_matches(q, '{questions.INTERROGATIVE}', 'i') OR NOT regexp_matches(text, '{questions.META}', 'i')) THEN 'raw_question_clear'
+      WHEN NOT {_safe("text", 4000)} THEN 'current_question_invalid' WHEN NOT regexp_matches(text, '\b{questions.PRONOUN}\b', 'i') THEN 'unresolved_current_question' WHEN regexp_matches(text, '{questions.EVENT}', 'i') THEN 'event_referent_unresolved'
+      WHEN before IS NULL THEN 'missing_preceding_user' WHEN NOT {_safe("before", 1000)} THEN 'preceding_question_invalid' WHEN found IS NULL OR len(found) <> 1 THEN 'subject_not_unambiguous' ELSE 'literal_subject_from_prior_user' END AS reason FROM d)
+    SELECT p_partkey, reason, CASE reason WHEN 'literal_subject_from_prior_user' THEN 'resolved_literal_subject' WHEN 'raw_question_clear' THEN 'clear_current_question' ELSE 'needs_clarification' END AS status,
+           CASE WHEN reason = 'literal_subject_from_prior_user' THEN found[1] END AS subject, CAST(CASE WHEN reason = 'literal_subject_from_prior_user' THEN strpos(before, found[1]) - 1 END AS INT) AS start_offset FROM e""")
+def subject_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = spark.sql(_TALK + "{part}", part=table(spark, sf_dir, "part"))
+    return questions.subject_contexts(talk, ["p_size"], "p_partkey").drop("p_size")
+
+
 _QUOTE = r"array_to_string(regexp_split_to_array(text, '\s+')[5:24], ' ')"
 _CONTEXT = "greatest(0, a - least(160, greatest(0, 1200 - (b - a))))"
 

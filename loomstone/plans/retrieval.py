@@ -74,7 +74,7 @@ _TOPK = """
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM near) WHERE rank <= 20)"""
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set (ids divisible by 100) against all vectors, twenty candidates each."""
     base = table(spark, sf_dir, "embeddings")
     queries = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -83,12 +83,12 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @area.plan(f"WITH {_TOPK} SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM top")
 def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir)
+    return pool(spark, sf_dir)
 
 
 def _pool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", "lang")
-    return _pool(spark, sf_dir).join(docs, "vec_id")
+    return pool(spark, sf_dir).join(docs, "vec_id")
 
 
 @area.plan()
@@ -199,7 +199,7 @@ def page_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstone.operators import evaluation
 
-    return evaluation.metrics(_pool(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5)
+    return evaluation.metrics(pool(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5)
 
 
 @area.plan(f"""
@@ -210,4 +210,4 @@ def policy_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstone.operators import evaluation
 
     floors = {"floor_0": 0.0, "floor_1": 0.1, "floor_2": 0.2, "floor_3": 0.3, "floor_5": 0.5}
-    return evaluation.ablation(_pool(spark, sf_dir), table(spark, sf_dir, "embeddings"), floors)
+    return evaluation.ablation(pool(spark, sf_dir), table(spark, sf_dir, "embeddings"), floors)
