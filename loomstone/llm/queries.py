@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontam, fm_quality, html_blocks, itq_near, packing, quality_rules, suffix_repeats, tgm_join, token_counts, training_order, warc
+from loomstone.llm import conversations, decontam, fm_quality, html_blocks, itq_near, packing, quality_rules, suffix_repeats, tgm_join, token_counts, training_order, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.matches(docs, benchmark, keep=["doc_id"]))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.damage(_read(spark, sf_dir, "conversations")))
+
+
 def op13_itq_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_near.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_itq_near": op13_itq_near,
     }
 
@@ -84,5 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.oracle(),
         "op9_warc": warc.oracle(),
         "op10_decontamination": decontam.oracle(),
+        "op12_conversation_repair": conversations.oracle(),
         "op13_itq_near": itq_near.oracle(),
     }
