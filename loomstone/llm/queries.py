@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import conversations, decontam, fm_quality, html_blocks, itq_near, packing, quality_rules, suffix_repeats, tgm_join, token_counts, training_order, warc
+from loomstone.llm import conversations, decontam, fm_quality, html_blocks, itq_near, packing, periodic_runs, quality_rules, suffix_repeats, tgm_join, token_counts, training_order, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.matches(docs, benchmark, keep=["doc_id"]))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.collapsed(_read(spark, sf_dir, "documents"), loops=True, keep=["doc_id"]))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.damage(_read(spark, sf_dir, "conversations")))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_itq_near": op13_itq_near,
     }
