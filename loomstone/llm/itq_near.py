@@ -91,8 +91,9 @@ def fit(sample: np.ndarray, n: int, threshold: float) -> Codes:
     width = min(40, max(8, math.ceil(math.log2(n + 1)) - 2))
     meets = (1 - flip) ** width
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
-    _, axes = np.linalg.eigh(np.cov(sample - centre, rowvar=False).reshape(sample.shape[1], -1))
-    turned = (sample - centre) @ axes
+    about = sample - centre
+    _, axes = np.linalg.eigh(about.T @ about)
+    turned = about @ axes
     restarts = math.ceil(width * tables / sample.shape[1])
     return Codes(centre, np.hstack([axes @ rotation(turned, seed) for seed in range(restarts)]), width, tables)
 
