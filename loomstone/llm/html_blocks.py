@@ -4,13 +4,18 @@ A page is cut into flat blocks at its block tags.  Each block gets its word
 count and link density, those of the blocks before and after it, and flags read
 from the elements around it: whether an element of furniture (by tag, by name)
 lies between it and its article, whether it lies in an article, whether it is a
-heading.  A small decision tree, grown here from the labelled blocks of
+heading, whether it stands under a heading that announces further reading.  A small decision tree, grown here from the labelled blocks of
 ``SAMPLES``, keeps or drops each block; kept blocks are joined in page order.
 Pages are independent, so the work is one pass without a shuffle.
 
 A name counts by its head: ``post-header`` is a header, ``sidebar-layout-main``
-a main part, ``comments-list`` comments, since ``list`` only holds them.  What
-encloses an article or a main part says nothing about its inside.
+a main part, ``comments-list`` comments, since ``list`` only holds them.  The
+outermost article or main part clears what only wraps a layout (a form around a
+page, a header or widget that holds it); comments, asides, footers, menus, adverts
+and the like are never cleared, so articles inside them are theirs.  An article's
+own class and id are read for comments, teasers and adverts only, since content
+systems write an article's topics there.  A list of links in an article is text
+unless its heading announces further reading.
 
 Defined results: a null or empty page, and a page without a kept block, give an
 empty text, an empty table an empty table; unclosed or unmatched tags end where
@@ -46,14 +51,23 @@ FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification "
     "alert popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
     "topbar toolbar comment comments commentlist reply replies disqus discussion respond share sharing social related recommended trending pagination pager "
-    "login search copyright disclaimer".split()
+    "login search copyright disclaimer teaser teasers".split()
 )
+#: What only wraps a layout and is cleared by an article inside it; what an article's own names may say; words of headings that announce further reading.
+WRAPPER_TAGS = frozenset("header form dialog fieldset".split())
+WRAPPER_ROLES = frozenset("banner search form dialog".split())
+WRAPPER_NAMES = frozenset("header masthead banner topbar toolbar widget widgets search overlay modal".split())
+ARTICLE_NAMES = frozenset("comment comments reply replies teaser teasers ad adv advert advertisement sponsored promo promotion related recommended trending widget".split())
+FURTHER_WORDS = frozenset("related recommended more popular trending latest share follow navigation menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of names that only say that something is held, and parts that say what a layout has.
 HOLDERS = frozenset("area bar block body box button buttons card col column container content form group holder inner item items left link links list outer panel right row section slot text title unit wrap wrapper".split())
 LAYOUTS = frozenset("has with no without hide show".split())
+#: First parts of the names that content systems give an article for its topics.
+TOPICS = LAYOUTS | frozenset("category tag topic type status format".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tagged", "named", "article", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "tagged", "named", "article", "heading", "further")
 #: Which of them are the counts and densities of the block and its neighbours.
 DENSITIES = 6
 
@@ -62,13 +76,23 @@ SAMPLES = (
     # articles in an element of their own
     "<nav><ul><li>{-1@}</li><li>{-2@}</li><li>{-1@}</li></ul></nav><div class=ad>{-9}</div><article><h1>{+8}</h1><p>{+60}</p><p>{+45/3}</p><p>{+1}</p><p>{+120}</p></article><footer>{-12}</footer>",
     "<header>{-4@}</header><main><h1>{+5}</h1><p>{+3}</p><h2>{+2}</h2><p>{+30/9}</p><ul><li>{+4}</li><li>{+6}</li><li>{+2/1}</li></ul><p>{+9}</p></main><aside><h3>{-2}</h3><p>{-40}</p></aside>",
-    "<div class=masthead>{-3@}</div><article><header><p>{-6}</p></header><h1>{+11}</h1><p>{+25}</p><ul><li>{-2@}</li><li>{-3@}</li><li>{-2@}</li><li>{-4@}</li></ul><p>{+70}</p><p>{+14/10}</p><p>{+50}</p></article>",
+    "<div class=masthead>{-3@}</div><article><header><p>{-6}</p></header><h1>{+11}</h1><p>{+25}</p><ul><li>{+2@}</li><li>{+3@}</li><li>{+2@}</li><li>{+4@}</li></ul><p>{+70}</p><p>{+14/10}</p><p>{+50}</p></article>",
     "<article><p>{+2}</p><div class=share-bar><p>{-1@}</p><p>{-1@}</p></div><p>{+18}</p><section class=user-comments><h3>{-1}</h3><p>{-25}</p><p>{-60}</p><p>{-12}</p></section></article><p>{-3@}</p>",
-    "<main><p>{+26}</p><div class=newsletter-signup><p>{-20}</p></div><p>{+7}</p><form><p>{-2}</p></form><p>{+90/8}</p><p>{+5/5}</p><p>{+33}</p><div>{-3@}</div><div>{-2@}</div><div>{-5@}</div></main>",
+    "<main><p>{+26}</p><div class=newsletter-signup><p>{-20}</p></div><p>{+7}</p><form><p>{-2}</p></form><p>{+90/8}</p><p>{+5/5}</p><p>{+33}</p><h2>{+1}</h2><ul><li>{+3@}</li><li>{+2@}</li><li>{+5@}</li></ul></main>",
     "<article><h1>{+4}</h1><p>{+1}</p><p>{+2}</p><p>{+1}</p><p>{+6}</p><h2>{+3}</h2><p>{+15}</p><p>{+8/2}</p></article><div class=related><p>{-8@}</p><p>{-7@}</p></div>",
+    "<article><h1>{+6}</h1><p>{+64}</p><h2>keep More about the matter</h2><p>{+40}</p><p>{+30/3}</p><h2>drop Latest</h2><ul><li>{-3@}</li></ul></article><aside><article><h2>{-5}</h2><p>{-30}</p></article></aside>",
+    "<main><article><p>{+22}</p><p>{+2@}</p><section class=comments><h2>{-2}</h2><article class=comment><p>{-30}</p></article><article><p>{-9}</p></article></section></article><article class=teaser><h3>{-6}</h3><p>{-18}</p></article></main>",
     "<div class=post-header><article><h1>{+6}</h1><p>{+80}</p><p>{+35}</p><div class=ad-slot><p>{-15}</p></div><p>{+20}</p></article></div><div id=footer><p>{-10}</p><p>{-30}</p></div>",
-    "<article><h1>{+7}</h1><p>{+200}</p><ol><li>{-6@}</li><li>{-5@}</li></ol><p>{+3}</p></article><section class=comments><p>{-80}</p><p>{-70}</p></section>",
-    "<article><h1>{+5}</h1><p>{+150}</p><p>{+4/4}</p><p>{+60}</p><p>{+2/2}</p><p>{+24}</p><p>{+130}</p><ul><li>{-2@}</li><li>{-1@}</li><li>{-3@}</li></ul></article><p>{-2@}</p>",
+    "<article><h1>{+7}</h1><p>{+200}</p><h3>drop Related stories</h3><ol><li>{-6@}</li><li>{-5@}</li></ol><h3>{+4}</h3><p>{+3}</p></article><section class=comments><p>{-80}</p><p>{-70}</p></section>",
+    "<article><h1>{+5}</h1><p>{+150}</p><p>{+4/4}</p><p>{+60}</p><p>{+2/2}</p><p>{+24}</p><p>{+130}</p><h4>drop More</h4><ul><li>{-2@}</li><li>{-1@}</li><li>{-3@}</li></ul></article><p>{-2@}</p>",
+    "<article><h1>{+6}</h1><p>{+50}</p><h2>{+6}</h2><ul><li>{+2@}</li><li>{+1@}</li></ul><p>{+6}</p><ol><li>{+4@}</li><li>{+8@}</li></ol><p>{+5}</p><ul><li>{+6@}</li></ul><h3>{+2}</h3><ul><li>{+3@}</li></ul><p>{+1}</p><p>{+9@}</p></article>",
+    "<main><h2>keep More about the matter</h2><p>{+1}</p><p>{+3}</p><p>{+2}</p><p>{+4}</p><p>{+6}</p><p>{+40}</p><p>{+5/1}</p><h4>keep More</h4><p>{+2}</p><p>{+7}</p><h3>drop Popular now</h3><p>{-4@}</p><h3>drop Follow us</h3><p>{-1@}</p></main>",
+    "<article><p>{+2}</p></article>",
+    "<article><p>{+1}</p><p>{+4}</p></article>",
+    "<nav>{-2@}</nav><main><h2>{+3}</h2><p>{+3}</p><p>{+1}</p></main>",
+    "<article><ul><li>{+4@}</li></ul><p>{+2}</p><ul><li>{+3@}</li></ul><p>{+1}</p><p>{+3}</p></article><p>{-1@}</p>",
+    "<article><p>{+2/1}</p><p>{+1}</p></article><ul><li>{-2@}</li></ul>",
+    "<main><h3>keep More words</h3><p>{+1}</p><p>{+3}</p></main>",
     # pages without such an element
     "<div><a href=x>{-1@}</a> {-1@} {-1@}</div><div id=content><h1>{+6}</h1><p>{+55}</p><p>{+80/4}</p><p>{+16}</p><p>{+70}</p></div><div>{-3@}</div><div>{-2@}</div>",
     "<ul><li>{-1@}</li><li>{-1@}</li><li>{-2@}</li></ul><p>{-5}</p><ul><li>{-3@}</li></ul><h2>{+4}</h2><p>{+90}</p><p>{+8}</p><p>{+40}</p><p>{+22}</p><div class=copyright>{-7}</div>",
@@ -76,12 +100,18 @@ SAMPLES = (
     "<p>{-2@}</p><p>{-4}</p><p>{-3@}</p><div class=story><p>{+45}</p><p>{+30/3}</p><p>{+18}</p><p>{+60}</p></div><p>{-12/7}</p><p>{-8/8}</p><p>{-25/20}</p>",
     "<div class=cookie-notice><p>{-40}</p></div><div><p>{-4}</p><p>{-2}</p><p>{-3}</p></div><div><h1>{+9}</h1><p>{+150}</p><p>{+6}</p><p>{+38}</p></div><div class=comment-list><p>{-50}</p><p>{-2}</p></div>",
     "<p>{-1@}</p><p>{+110}</p><p>{-1@}</p><p>{-2@}</p><p>{+95}</p><p>{-3@}</p><p>{+140/6}</p><p>{-4@}</p><p>{-1}</p>",
+    "<div class=menu><p>{-1@}</p></div><div class=post><h1>{+5}</h1><p>{+30}</p><p>{+9}</p><p>{+2}</p><p>{+45}</p><p>{+14}</p><p>{+1}</p><p>{+12}</p><p>{+60}</p><p>{+2}</p></div><div>{-2@}</div>",
+    "<p>{-2@}</p><p>{-1@}</p><h1>{+4}</h1><p>{+25}</p><h2>{+2}</h2><p>{+33}</p><p>{+8}</p><h2>{+1}</h2><p>{+50/4}</p><p>{+7}</p><p>{-3@}</p><p>{-2}</p>",
     "<p>{-3}</p><p>{-5/5}</p><p>{+28}</p><p>{+13}</p><p>{+44}</p><p>{-5/5}</p><p>{-3/3}</p><p>{-6}</p><p>{-2/2}</p><table><tr><td>{-1}</td><td>{-2}</td></tr></table>",
 )
 
 
+#: Inside an article a label doesn't depend on the neighbours, so its blocks stand in the table again, beside those of so many blocks further on.
+TURNS = (1, 2, 3, 5, 8, 13)
+
+
 def sample_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of ``SAMPLES``."""
+    """Features and labels of the blocks of ``SAMPLES``, and of those of articles again among other neighbours."""
 
     def part(m: re.Match) -> str:
         words, linked = int(m[2]), int(m[2]) if m[4] else int(m[3] or 0)
@@ -93,7 +123,14 @@ def sample_blocks() -> tuple[np.ndarray, np.ndarray]:
         found = blocks(re.sub(r"\{([+-])(\d+)(?:/(\d+))?(@)?\}", part, page))
         x += rows(found)
         y += [text.startswith("keep") for text, *_ in found]
-    return np.array(x, float), np.array(y, float)
+    x, y = np.array(x, float), np.array(y, float)
+    inside = (x[:, FEATURES.index("article")] > 0) & (x[:, FEATURES.index("further")] == 0)
+    again = []
+    for turn in TURNS:
+        moved = x[inside].copy()
+        moved[:, 2:DENSITIES] = np.roll(moved[:, 2:DENSITIES], turn, axis=0)
+        again.append(moved)
+    return np.vstack([x, *again]), np.concatenate([y, *[y[inside]] * len(TURNS)])
 
 
 @dataclass(frozen=True)
@@ -147,32 +184,42 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "tex
 _NAME_PART = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def named_furniture(name: str) -> bool:
-    """Whether a class or id names furniture: by the last part that says more than that something is held."""
+def name_head(name: str, silent: frozenset[str] = LAYOUTS) -> str:
+    """What a class or id says: its last part that says more than that something is held; nothing if its first part is ``silent``."""
     parts = [p.lower() for p in _NAME_PART.split(name) if p]
-    if not parts or parts[0] in LAYOUTS:
-        return False
+    if not parts or parts[0] in silent:
+        return ""
     while len(parts) > 1 and parts[-1] in HOLDERS:
         parts.pop()
-    return parts[-1] in FURNITURE_NAMES
+    return parts[-1]
 
 
-def _evidence(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(tagged, named): what an element says by its tag, role or hiding, and by its class or id."""
+def _evidence(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(tagged, named, wrapper): what an element says by its tag, role or hiding, by its class or id, and whether an article clears that."""
     tagged, named = tag in FURNITURE_TAGS, False
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return tagged, False
+    wrapper = tag in WRAPPER_TAGS
+    if not attributes or tag in ("html", "body", "main"):
+        return tagged, False, wrapper
+    said = []
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            named = named or any(named_furniture(part) for part in value.split())
+            known, silent = (ARTICLE_NAMES, TOPICS) if tag == "article" else (FURNITURE_NAMES, LAYOUTS)
+            heads = [h for h in (name_head(part, silent) for part in value.split()) if h in known]
+            named = named or bool(heads)
+            said += [h in WRAPPER_NAMES for h in heads]
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             tagged = True
+            said.append(False)
         elif name == "role" and value.lower() in FURNITURE_ROLES:
             tagged = True
+            said.append(value.lower() in WRAPPER_ROLES)
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             tagged = True
-    return tagged, named
+            said.append(False)
+    if tag in FURNITURE_TAGS:
+        said.append(tag in WRAPPER_TAGS)
+    return tagged, named, bool(said) and all(said)
 
 
 @dataclass(frozen=True)
@@ -184,27 +231,38 @@ class Element:
     named: bool = False
     article: bool = False
     unread: bool = False
+    wrapped: bool = False  # all that is said of it, an article inside may clear
 
 
 _OUTSIDE = Element("")
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
-    """(text, words, link words, tagged, named, article, heading) of every flat block that holds a word."""
-    out: list[tuple[str, int, int, bool, bool, bool, bool]] = []
+def announces(words: list[str]) -> bool:
+    """Whether a heading of these words announces further reading."""
+    return len(words) < 7 and any(w.strip(":.!?").lower() in FURTHER_WORDS for w in words)
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]]:
+    """(text, words, link words, tagged, named, article, heading, further) of every flat block that holds a word."""
+    out: list[tuple[str, int, int, bool, bool, bool, bool, bool]] = []
     stack: list[Element] = []
     text: list[str] = []
     linked: list[str] = []
     link = heading = False
     breaks = 0
+    further, level = False, 0  # under such a heading, and how deep the element is that holds it
 
     def flush() -> None:
-        nonlocal breaks
+        nonlocal breaks, further, level
         breaks = 0
         words = html.unescape("".join(text)).split()
         if words:
             e = stack[-1] if stack else _OUTSIDE
-            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), e.tagged, e.named, e.article, heading))
+            if heading:
+                further, level = announces(words), sum(x.tag not in HEADINGS for x in stack)
+            elif len(stack) < level:
+                further = False
+            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), e.tagged, e.named, e.article, heading, further))
         text.clear()
         linked.clear()
 
@@ -234,7 +292,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if tag in BLOCK_TAGS:
                 flush()
             continue
-        tagged, named = (False, False) if close else _evidence(tag, attributes)
+        tagged, named, wrapper = (False, False, False) if close else _evidence(tag, attributes)
         if tag == "a":
             link = not close
         elif tag == "br":
@@ -246,7 +304,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         elif tag in BLOCK_TAGS or tag in UNREAD_TAGS or tagged or named or (close and any(tag == e.tag for e in stack)):
             if tag in BLOCK_TAGS:
                 flush()
-                heading = not close and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                heading = not close and tag in HEADINGS
             if tag in VOID_TAGS or tag == "p" and not tagged and not named and not close:
                 while tag == "p" and stack and stack[-1].tag == "p":
                     stack.pop()
@@ -260,15 +318,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
                 if tag in ("p", "li") and stack and stack[-1].tag == tag:  # these end the like element before them
                     stack.pop()
                 up = stack[-1] if stack else _OUTSIDE
-                if tag in ARTICLE_TAGS:  # whatever encloses it, its inside begins anew
-                    stack.append(Element(tag, tagged, named, True, up.unread))
-                else:
-                    stack.append(Element(tag, up.tagged or tagged, up.named or named, up.article, up.unread or tag in UNREAD_TAGS))
+                clears = tag in ARTICLE_TAGS and not up.article and up.wrapped
+                before = Element("", article=up.article, unread=up.unread) if clears else up
+                wrapped = wrapper and (clears or not (up.tagged or up.named) or up.wrapped) if tagged or named else before.wrapped
+                stack.append(Element(tag, before.tagged or tagged, before.named or named, before.article or tag in ARTICLE_TAGS, before.unread or tag in UNREAD_TAGS, wrapped))
     flush()
     return out
 
 
-def rows(found: list[tuple[str, int, int, bool, bool, bool, bool]]) -> list[tuple[float, ...]]:
+def rows(found: list[tuple[str, int, int, bool, bool, bool, bool, bool]]) -> list[tuple[float, ...]]:
     """The features of each block, in the order of ``FEATURES``."""
     density = [(n, k / n) for _, n, k, *_ in found]
     none = (0, 0.0)

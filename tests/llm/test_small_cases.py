@@ -471,7 +471,9 @@ def test_menus_without_a_name_are_told_by_their_links():
     links = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(6))
     text = "<p>" + "plain words of a page " * 12 + "</p>"
     assert html_blocks.main_text(f"<ul>{links}</ul>{text}{text}<div>{links}</div>").count("\n") == 1
-    assert html_blocks.main_text(f"<article>{text}<ul>{links}</ul>{text}</article>").count("\n") == 1
+    # in an article a list of links is text, unless its heading announces further reading
+    assert html_blocks.main_text(f"<article>{text}<ul>{links}</ul>{text}</article>").count("\n") == 7
+    assert html_blocks.main_text(f"<article>{text}<h2>Related stories</h2><ul>{links}</ul></article><p>{links}</p>").count("\n") == 0
     assert html_blocks.main_text(f"<article>{text * 2000}</article>").count("\n") == 1999
 
 
@@ -480,8 +482,9 @@ def test_decisions_need_counts_and_densities():
     tree = html_blocks.trained()
     assert all(tree.decide(r) == bool(k) for r, k in zip(x, y, strict=True))
     flags = x * (np.arange(x.shape[1]) >= html_blocks.DENSITIES)
+    outside = int((x[:, html_blocks.FEATURES.index("article")] == 0).sum())
     blind = html_blocks.grow(flags, y)
-    assert sum(blind.decide(f) != bool(k) for f, k in zip(flags, y, strict=True)) > len(y) // 10
+    assert sum(blind.decide(f) != bool(k) for f, k in zip(flags, y, strict=True)) > outside // 3
 
 
 def test_pairwise_identity():
