@@ -36,6 +36,8 @@ from loomstone.llm.words import LETTERS_DIGITS, lower_ascii, prefix_hash, ragged
 #: Words of a window, and the test bytes after which a block is closed.
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Bytes of documents that one reading of the blocks serves.
+GATHER_BYTES = 64 << 20
 
 FIELDS = (
     T.StructField("n_words", T.LongType()),
@@ -209,7 +211,8 @@ def annotate(texts: pa.Array, paths: Sequence[str]) -> list[pa.Array]:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Append to every document its words, hit words, hit spans and the items found in it."""
     paths = blocks(benchmark, window, block_bytes)
-    return append(docs, "text", FIELDS, lambda texts: annotate(texts, paths), keep)
+    # with one block it stays in the worker; with more, each is read once for so many bytes of documents
+    return append(docs, "text", FIELDS, lambda texts: annotate(texts, paths), keep, GATHER_BYTES if len(paths) > 1 else 0)
 
 
 def digest(found: DataFrame) -> DataFrame:

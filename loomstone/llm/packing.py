@@ -2,15 +2,16 @@
 
 A document is its token ids and one end id.  Only a document longer than a
 sequence is cut: its last pieces are full and its first piece takes the rest.
-Pieces are dealt by a hash of the document to groups of a bounded number of
-documents, and each group is packed alone, largest piece first: a piece goes to
+Pieces are dealt by a hash of their content and the number of their row to groups
+of a bounded number of documents, so that no id or text, however often it stands in
+the table, decides the size of a group.  Each group is packed alone, largest piece first: a piece goes to
 the residual gap (or to a new sequence) for which the sum of the squared counts
 of open sequences per gap becomes smallest.  A new sequence is opened only if
 no open one has room, which keeps their number low on finite input; ties go to
 the smallest gap.  Full pieces are sequences of their own.
 
 Defined results: a null or empty text is the end id alone; rows with one
-doc_id are packed each on its own; extra columns are dropped before the
+doc_id, or without one, are packed each on its own; extra columns are dropped before the
 shuffle; an empty table gives an empty table.
 """
 
@@ -94,6 +95,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048) -
         group["offset"] = offsets
         return group.drop(columns="pack_group")
 
-    dealt = found.withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # the number of a row is the same whenever its part of the table is read again
+    dealt = found.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("pack_group").applyInPandas(place, out)

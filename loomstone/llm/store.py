@@ -45,6 +45,12 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clashing(docs: DataFrame) -> bool:
+    """Whether two rows share an id or a row has none."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return bool(ids.where("doc_id IS NULL OR n > 1").limit(1).count())
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, row): an id that only one row has, the text, and a struct of all other columns and the given id.
 
@@ -53,8 +59,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """
     rest = [F.col(c) for c in docs.columns if c != "text"]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest).alias("row"))
-    clash = packed.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1")
-    if not clash.limit(1).count():
+    if not clashing(docs):
         return packed
     return settle(packed.withColumn("doc_id", F.monotonically_increasing_id()))
 

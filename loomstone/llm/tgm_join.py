@@ -21,8 +21,8 @@ crowded min-hash holds, and tokens of one component only are dropped.
 
 Defined results: texts without words (null, empty, white space) have no
 shingle and are linked with nothing; a text of fewer words than a shingle is
-one shingle; rows with one id share a component, but ``keep_one`` treats rows of
-one id or without id as rows of their own; a text of any length is used whole;
+one shingle; rows of one id or without id are rows of their own, and a missing
+id never names a component; a text of any length is used whole;
 extra columns of any name are ignored, and carried by ``keep_one``; an empty
 table gives an empty table.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.graph import components
-from loomstone.llm.store import keyed, settle
+from loomstone.llm.store import clashing, keyed, settle
 from loomstone.llm.words import NOT_SPACE, lower_ascii, mix, prefix_hash, slices, span_hash, spans
 
 #: Sets a group or cell holds on average, queries opened in one task's group, and slots of the table of word counts.
@@ -236,7 +236,18 @@ def _grouped(cand: DataFrame, group: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest linked id) of every document."""
+    """doc_id, n_shingles and component_id (the smallest linked id) of every row; rows without id, or of one id, link as any others."""
+    if not clashing(docs):
+        return _components(docs, size, numerator, denominator, group)
+    rows = keyed(docs.select("doc_id", "text"))
+    given = rows.select("doc_id", F.col("row.doc_id").cast("long").alias("given"))
+    found = settle(_components(rows, size, numerator, denominator, group).join(given, "doc_id"))
+    named = found.groupBy("component_id").agg(F.min("given").alias("low"))
+    return found.join(named, "component_id").select(F.col("given").alias("doc_id"), "n_shingles", F.col("low").alias("component_id"))
+
+
+def _components(docs: DataFrame, size: int, numerator: int, denominator: int, group: int = GROUP) -> DataFrame:
+    """The same where every row has an id of its own."""
     level = Jaccard(numerator, denominator)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(signatures(texts, size, level, word_counts(texts)))
@@ -295,7 +306,7 @@ def keep_one(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: i
     rows = keyed(docs)
     given = F.col("row.doc_id")
     order = F.struct(given.isNull().alias("none"), given.alias("given"), "doc_id")
-    found = jaccard_components(rows.select("doc_id", "text"), size, numerator, denominator)
+    found = _components(rows.select("doc_id", "text"), size, numerator, denominator)
     best = found.join(rows.select("doc_id", order.alias("order")), "doc_id").groupBy("component_id").agg(F.min("order").alias("best"))
     kept = rows.join(best.select(F.col("best.doc_id").alias("doc_id")), "doc_id", "left_semi")
     return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
