@@ -9,6 +9,11 @@ All but the last return the columns of documents.
    starts anywhere else go; a document without a word left goes with them.
 4. decontamination: documents that hold a window of the benchmark go.
 5. packing: pieces of at most 2048 tokens, placed in sequences.
+
+Defined results: null and empty texts fail the rules and go first; texts of any length are taken whole; of equal documents
+the row with the smallest id stays (a row without id only if no linked row has one; of equal ids any one row); different
+texts under one id, or without id, stay each for itself, and after packing such rows are told apart by their sequence only;
+columns beside the documents' own are carried to the last stage; an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
