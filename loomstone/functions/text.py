@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Word characters, a lexical unit, stop words of bounded queries, words that don't navigate, heading prefixes, question prefixes.
 WORD = r"[\p{L}\p{N}_]+"
@@ -22,8 +18,8 @@ NAVIGATION_STOP = (
     "what when where which who why with would you your stand stands explain define definition mean means work works please about tell "
     "me more course lecture lectures material materials knowledge say says help understand"
 ).split()
-HEADING_PREFIX = r"^(chapter|section|part|unit|lesson|module|appendix)\b|^\d+(\.\d+)*[.)]?\s+"
-QUESTION_PREFIX = r"^(what\s+is|what\s+are|define|explain|describe|which\s+of\s+the\s+following)\b[\s:—-]*"
+HEADING_PREFIX = r"^(?:chapter|section|part|unit|lesson|module|appendix)\b|^\d+(?:\.\d+)*[.)]?\s+"
+QUESTION_PREFIX = r"^(?:what\s+is|what\s+are|define|explain|describe|which\s+of\s+the\s+following)\b[\s:—-]*"
 
 
 def fold(text: Column) -> Column:
@@ -31,19 +27,26 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-#: Anything outside these may change under NFKC, case folding or Unicode white space by more than lower case and a sharp s.
+#: Anything outside these may change under NFKC, and under case folding or Unicode white space by more than lower case and a sharp s.
+COMPOSED = r"[^\x00-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2012-\u2015\u2018-\u201F]"
 UNSTABLE = r"[^\x00-\x1B\x20-\x84\x86-\x9F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2012-\u2015\u2018-\u201F]"
 
 
-@F.pandas_udf(StringType())
-def _unicode_form(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold(), na_action="ignore")
+def _unicode(text: Column, kind: str, method: str) -> Column:
+    """A method of the Unicode library that comes with Spark, which stays in the JVM; null stays null."""
+    return F.when(text.isNotNull(), F.java_method(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(True)))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition; only texts that it may change are taken through it."""
+    return F.when(text.rlike(COMPOSED), _unicode(text, "text.Normalizer", "compose")).otherwise(text)
 
 
 def normalize_evidence(text: Column) -> Column:
-    """NFKC, case folding and collapsed white space, for comparison only; only texts that need more than the JVM has go to Python."""
-    plain = ~text.rlike(UNSTABLE)
-    return F.when(plain, F.trim(F.regexp_replace(fold(text), r"\s+", " "))).otherwise(_unicode_form(F.when(~plain, text)))
+    """NFKC, case folding and collapsed white space, for comparison only."""
+    folded = _unicode(_unicode(text, "text.Normalizer", "compose"), "lang.UCharacter", "foldCase")
+    wide = F.regexp_replace(F.regexp_replace(folded, r"(?U)[\s\x1C-\x1F]+", " "), "^ | $", "")
+    return F.when(text.rlike(UNSTABLE), wide).otherwise(F.trim(F.regexp_replace(fold(text), r"\s+", " ")))
 
 
 def navigation_terms(text: Column) -> Column:
@@ -76,7 +79,8 @@ def bounded_terms(question: Column, most: int) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """A conservative token count from characters, bytes and lexical units; 0 for an empty text."""
+    """A conservative token count from characters, bytes and lexical units of the text in NFKC; 0 for an empty text."""
+    text = nfkc(text)
     most = F.greatest(F.lit(1), F.ceil(F.char_length(text) / 3), F.ceil(F.octet_length(text) / 4), F.regexp_count(text, F.lit(UNIT)))
     return F.when(text == "", F.lit(0)).otherwise(most).cast("long")
 

@@ -14,8 +14,8 @@ area = Catalogue()
 
 area.sql(
     "page_truncation",
-    "SELECT doc_id, sha2(substring(text, 1, 2000), 256) AS shown_hash, length(text) > 2000 AS truncated FROM {documents}",
-    "SELECT doc_id, sha256(substr(text, 1, 2000)) AS shown_hash, length(text) > 2000 AS truncated FROM documents",
+    "SELECT doc_id, sha2(substring(text, 1, 20000), 256) AS shown_hash, length(text) > 20000 AS truncated FROM {documents}",
+    "SELECT doc_id, sha256(substr(text, 1, 20000)) AS shown_hash, length(text) > 20000 AS truncated FROM documents",
 )
 area.sql(
     "capacity_bounds",

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.operators import admission
 from loomstone.plans.shared import Catalogue
 from loomstone.sources import blocks, folders
 from loomstone.sources.tables import table
@@ -193,16 +194,61 @@ area.sql(
     "SELECT d.source, count(*) AS kept, CAST(sum(octet_length(d.text)) AS BIGINT) AS bytes FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.toxic = 0 GROUP BY d.source",
     "SELECT d.source, count(*) AS kept, CAST(sum(strlen(d.text)) AS BIGINT) AS bytes FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 0 GROUP BY d.source",
 )
-area.sql(
-    "quota_admission",
-    """
-    SELECT event_id, CASE WHEN user_jobs > 12 THEN 'user_daily_jobs' WHEN user_units > 600 THEN 'user_daily_units' WHEN type_jobs > 60 THEN 'type_daily_jobs' WHEN type_units > 3000 THEN 'type_daily_units'
-           WHEN user_hour_jobs > 3 THEN 'user_hourly_jobs' WHEN user_hour_units > 150 THEN 'user_hourly_units' ELSE 'admitted' END AS verdict
-    FROM (SELECT event_id, count(*) OVER ud AS user_jobs, sum(units) OVER ud AS user_units, count(*) OVER td AS type_jobs, sum(units) OVER td AS type_units, count(*) OVER uh AS user_hour_jobs, sum(units) OVER uh AS user_hour_units
-      FROM (SELECT event_id, user_id, event_type, ts, date_trunc('day', ts) AS day, date_trunc('hour', ts) AS hour, CAST(floor(value) AS BIGINT) AS units FROM {events}) e
-      WINDOW ud AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), td AS (PARTITION BY event_type, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-             uh AS (PARTITION BY user_id, hour ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t""",
-)
+#: Daily limits of a user and of all users, in the order in which they are asked.
+DAILY = (
+    ("user", "jobs", 4, "user_daily_jobs"), ("user", "units", 150, "user_daily_units"), ("user", "bytes", 30, "user_daily_bytes"),
+    ("all", "jobs", 240, "daily_jobs"), ("all", "units", 9000, "daily_units"), ("all", "bytes", 2100, "daily_bytes"),
+)
+_CHARGED = "SELECT event_id, user_id, ts, date_trunc('day', ts) AS day, 1 AS jobs, CAST(floor(value) AS BIGINT) AS units, length(props) AS bytes FROM "
+
+
+def _carry(limits, room: dict[str, str], verdict: str = "verdict") -> str:
+    """CASE of the first limit that the carried totals leave no room for."""
+    return "CASE " + " ".join(f"WHEN {room[s]}.{c} + e.{c} > {most} THEN '{code}'" for s, c, most, code in limits) + f" ELSE 'admitted' END AS {verdict}"
+
+
+@area.plan(f"""
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS n FROM ({_CHARGED} events)),
+    step(day, n, event_id, verdict, users, total) AS (
+      SELECT DISTINCT day, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(MAP {{}} AS MAP(BIGINT, STRUCT(jobs BIGINT, units BIGINT, bytes BIGINT))), {{'jobs': 0::BIGINT, 'units': 0::BIGINT, 'bytes': 0::BIGINT}} FROM e
+      UNION ALL
+      SELECT day, n, event_id, verdict,
+             CASE WHEN verdict = 'admitted' THEN map_concat(users, MAP {{user_id: {{'jobs': u.jobs + jobs, 'units': u.units + units, 'bytes': u.bytes + bytes}}}}) ELSE users END,
+             CASE WHEN verdict = 'admitted' THEN {{'jobs': total.jobs + jobs, 'units': total.units + units, 'bytes': total.bytes + bytes}} ELSE total END
+      FROM (SELECT e.*, s.users, s.total, s.u, {_carry(DAILY, {"user": "s.u", "all": "s.total"})} FROM (
+              SELECT step.*, e.user_id AS who, coalesce(step.users[e.user_id], {{'jobs': 0::BIGINT, 'units': 0::BIGINT, 'bytes': 0::BIGINT}}) AS u FROM step JOIN e ON e.day = step.day AND e.n = step.n + 1) s
+            JOIN e ON e.day = s.day AND e.n = s.n + 1))
+    SELECT event_id, verdict FROM step WHERE n > 0""")
+def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event asks for a job, units and bytes of its user's day and of everyone's; only what is admitted is charged."""
+    asked = spark.sql(_CHARGED + "{events}", events=table(spark, sf_dir, "events"))
+    scopes = {"user": ["day", "user_id"], "all": ["day"]}
+    return admission.admit(asked, ["ts", "event_id"], scopes, ["jobs", "units", "bytes"], DAILY).select("event_id", "verdict")
+
+
+#: Byte limits of a subject, an owner and the whole archive.
+ARCHIVE = (("subject", "bytes", 150_000, "subject_capacity"), ("owner", "bytes", 500_000, "owner_capacity"), ("all", "bytes", 1_800_000, "archive_capacity"))
+_ARCHIVED = "SELECT doc_id, source, lang, sha2(text, 256) AS file, octet_length(text) AS bytes FROM "
+
+
+@area.plan(f"""
+    WITH RECURSIVE e AS (SELECT doc_id, source, lang, sha256(text) AS file, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+    step(n, doc_id, verdict, subjects, owners, total, files) AS (
+      SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)), CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)), CAST(0 AS BIGINT), CAST(MAP {{}} AS MAP(VARCHAR, BIGINT))
+      UNION ALL
+      SELECT n, doc_id, verdict, CASE WHEN verdict = 'admitted' THEN map_concat(subjects, MAP {{source: s + bytes}}) ELSE subjects END,
+             CASE WHEN verdict = 'admitted' THEN map_concat(owners, MAP {{lang: o + bytes}}) ELSE owners END,
+             CASE WHEN verdict = 'admitted' THEN total + bytes ELSE total END, CASE WHEN verdict = 'admitted' THEN map_concat(files, MAP {{file: n}}) ELSE files END
+      FROM (SELECT *, CASE WHEN files[file] IS NOT NULL THEN 'attached' WHEN s + bytes > 150000 THEN 'subject_capacity' WHEN o + bytes > 500000 THEN 'owner_capacity' WHEN total + bytes > 1800000 THEN 'archive_capacity' ELSE 'admitted' END AS verdict
+            FROM (SELECT e.*, subjects, owners, total, files, coalesce(subjects[source], 0) AS s, coalesce(owners[lang], 0) AS o FROM step JOIN e ON e.n = step.n + 1)))
+    SELECT doc_id, verdict FROM step WHERE n > 0""")
+def archive_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their ids against three byte quotas; a file that is archived already costs nothing."""
+    asked = spark.sql(_ARCHIVED + "{documents}", documents=table(spark, sf_dir, "documents"))
+    scopes = {"subject": ["source"], "owner": ["lang"], "all": []}
+    return admission.admit(asked, ["doc_id"], scopes, ["bytes"], ARCHIVE, key="file").select("doc_id", "verdict")
+
+
 area.sql(
     "nearest_rank_p95",
     "SELECT user_id, event_type, count(*) AS n, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM {events} GROUP BY user_id, event_type",
