@@ -45,6 +45,8 @@ from loomstone.llm.words import NOT_SPACE, lower_ascii, mix, prefix_hash, slices
 GROUP = 64
 QUERIES = 256
 SLOTS = 1 << 20
+#: Bytes of text that are cut to shingles at once; a worker's arrays take some fifty times as much.
+SLICE = 1 << 20
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -53,7 +55,7 @@ _SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0)
 
 def shingle_sets(column: pa.Array, size: int, counts: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row, their rarest words' counts) for every slice of a text column."""
-    for a, b, data, offsets in slices(column):
+    for a, b, data, offsets in slices(column, SLICE):
         low = lower_ascii(data)
         s, e, first = spans(low, offsets, NOT_SPACE)
         none = np.zeros(0, np.uint64)
@@ -120,7 +122,7 @@ def word_counts(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0), SLICE):
                 low = lower_ascii(data)
                 s, e, _ = spans(low, offsets, NOT_SPACE)
                 if len(s):
