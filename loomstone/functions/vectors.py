@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are sent to the executors at once.
+#: Query vectors that are sent to the executors at once or make a tile, and base rows of a tile.
 BLOCK = 4096
+TILE_ROWS = 32_768
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,37 +37,68 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: (x / length).cast("float"))
 
 
+def _directions(column: pa.Array) -> np.ndarray:
+    """Rows of unit length; a zero stays zero."""
+    rows = np.array(column.to_pylist(), np.float64)
+    rows = rows.reshape(len(column), -1)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length == 0, 1, length)
+
+
+def _nearest(ids: np.ndarray, wanted: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, least: float) -> pa.RecordBatch:
+    """The k best rows of every query among these rows."""
+    near = np.round(wanted @ rows.T, 6)
+    keep = min(k, len(names))
+    order = np.stack([np.lexsort((names, -near[q]))[:keep] for q in range(len(ids))])
+    score = np.take_along_axis(near, order, 1).ravel()
+    cols = [pa.array(np.repeat(ids, keep)), pa.array(names[order].ravel()), pa.array(score)]
+    return pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "similarity"]).filter(pa.array(score >= least))
+
+
+FOUND = "query_id long, vec_id long, similarity double"
+
+
+def _beside(queries: DataFrame, base: DataFrame, k: int, least: float) -> DataFrame:
+    """At most BLOCK queries go to every task of the base, which isn't shuffled."""
+    part = queries.select("query_id", "vector").toArrow().combine_chunks()
+    if not part.num_rows:
+        return base.sparkSession.createDataFrame([], FOUND)
+    sent = base.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), _directions(part["vector"])))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _nearest(*sent.value, batch.column(0).to_numpy(), _directions(batch.column(1)), k, least)
+
+    return base.select("vec_id", "embedding").mapInArrow(search, FOUND)
+
+
+def _tiled(queries: DataFrame, base: DataFrame, n_queries: int, k: int, least: float) -> DataFrame:
+    """Queries and base rows are dealt to a grid of tiles of a bounded size; each is one task's group."""
+    across, down = -(-n_queries // BLOCK), max(1, -(-base.count() // TILE_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int").alias("x"), every(down).alias("y"), "query_id", "vector")
+    rows = base.select(every(across).alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("int").alias("y"), "vec_id", "embedding")
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
+        if not asked.num_rows or not held.num_rows:
+            return out.empty_table()
+        ids, wanted = asked["query_id"].to_numpy(), _directions(asked["vector"].combine_chunks())
+        names, rows = held["vec_id"].to_numpy(), _directions(held["embedding"].combine_chunks())
+        parts = [_nearest(ids[a : a + 256], wanted[a : a + 256], names, rows, k, least) for a in range(0, len(ids), 256)]
+        return pa.Table.from_batches(parts, out)
+
+    return dealt.groupBy("x", "y").cogroup(rows.groupBy("x", "y")).applyInArrow(search, FOUND)
+
+
 def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar base rows of every query, ties by id.
 
-    Queries go out in blocks of a fixed size; every task keeps k rows for each
-    query of a block, so only those are shuffled.
+    Up to BLOCK queries are sent beside the base; more meet it in a grid of tiles and never lie in the driver.  A task keeps k rows for
+    each of its queries, so only those are shuffled.  No vector or id may be null.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").toArrow()
-        ids = part["query_id"].to_numpy()
-        wanted = np.array(part["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
-        length = np.linalg.norm(wanted, axis=1, keepdims=True)
-        sent = base.sparkSession.sparkContext.broadcast((ids, wanted / np.where(length == 0, 1, length)))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, wanted = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                names = batch.column(0).to_numpy()
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                length = np.linalg.norm(rows, axis=1, keepdims=True)
-                near = np.round(wanted @ (rows / np.where(length == 0, 1, length)).T, 6)
-                keep = min(k, len(names))
-                order = np.stack([np.lexsort((names, -near[q]))[:keep] for q in range(len(ids))])
-                score = np.take_along_axis(near, order, 1).ravel()
-                cols = [pa.array(np.repeat(ids, keep)), pa.array(names[order].ravel()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "similarity"]).filter(pa.array(score >= least))
-
-        out = base.select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, similarity double")
-        found = out if found is None else found.unionByName(out)
+    n = queries.count()
+    found = _beside(queries, base, k, least) if n <= BLOCK else _tiled(queries, base, n, k, least)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

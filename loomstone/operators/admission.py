@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.operators.prefix import earlier, placed
 from loomstone.sources.folders import settle
 
 #: (scope, cost, most, code of the refusal), in the order in which they are asked.
@@ -22,22 +23,6 @@ def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _earlier(rows: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
-    """Add for each ``new: column`` of ``sums`` the sum of the column over the earlier rows of the same scope.
-
-    Rows lie in range buckets of about one size.  Sums run inside a bucket; the sums of the buckets before come from a table
-    of one row a scope and bucket, so no scope, however many rows it has, is one task's work.
-    """
-    ahead = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*by, "bucket").orderBy("place").rowsBetween(*ahead)
-    held = rows.groupBy(*by, "bucket").agg(*[F.sum(c).alias(f"sum_{n}") for n, c in sums.items()])
-    across = Window.partitionBy(*by).orderBy("bucket").rowsBetween(*ahead)
-    offsets = held.select(*[F.col(b).alias(f"of_{b}") for b in (*by, "bucket")], *[F.coalesce(F.sum(f"sum_{n}").over(across), F.lit(0)).alias(f"off_{n}") for n in sums])
-    own = rows.withColumns({f"in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    joined = own.join(offsets, [own[b].eqNullSafe(offsets[f"of_{b}"]) for b in (*by, "bucket")])
-    return joined.select(*rows.columns, *[(F.col(f"in_{n}") + F.col(f"off_{n}")).alias(n) for n in sums])
-
-
 def admit(requests: DataFrame, order: Sequence[str], scopes: dict[str, list[str]], costs: Sequence[str], limits: Sequence[Limit], key: str | None = None, fold: int = FOLD) -> DataFrame:
     """Add ``verdict``: 'admitted', 'attached' or the code of the first limit that the request would break.
 
@@ -53,13 +38,10 @@ def admit(requests: DataFrame, order: Sequence[str], scopes: dict[str, list[str]
     A null cost is 0, a null in a scope is a value of its own, a null key never attaches.  Ties in ``order`` are broken by
     where the rows lie.
     """
-    spark = requests.sparkSession
     common = [c for c in next(iter(scopes.values())) if all(c in by for by in scopes.values())]
     columns = list(dict.fromkeys(c for by in scopes.values() for c in by))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = requests.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     told = {f"c_{c}": F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in costs}
-    rows = settle(ranged.withColumn("bucket", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).withColumns(told))
+    rows = placed(requests, order).withColumns(told)
     keys = [F.col(key).alias("k_")] if key else []
     low = [f"low_{s}_{c}" for s in scopes for c in costs]
     open_ = rows.select("place", "bucket", *columns, *keys, *told, *[F.lit(0).cast("long").alias(x) for x in low])
@@ -69,7 +51,7 @@ def admit(requests: DataFrame, order: Sequence[str], scopes: dict[str, list[str]
         everything = everything.withColumns({f"s_{c}": F.when(F.col("sure"), F.col(c)).otherwise(0) for c in told})
         for s, by in scopes.items():
             sums = {f"at_{s}_{c}": f"s_c_{c}" for c in costs} | {f"may_{s}_{c}": f"c_{c}" for c in costs}
-            everything = _earlier(everything, by, sums)
+            everything = earlier(everything, by, sums)
         near = everything
         if key:
             firsts = near.where("k_ IS NOT NULL").groupBy("k_").agg(F.min(F.when(F.col("sure"), F.col("place"))).alias("sure_place"), F.min(F.when(~F.col("sure"), F.col("place"))).alias("open_place"))
@@ -99,7 +81,7 @@ def _carried(open_: DataFrame, fresh: DataFrame, scopes: dict[str, list[str]], c
     both = open_.withColumn("sure", F.lit(False)).unionByName(fresh.withColumn("sure", F.lit(True)))
     both = both.withColumns({f"s_c_{c}": F.when(F.col("sure"), F.col(f"c_{c}")).otherwise(0) for c in costs})
     for s, by in scopes.items():
-        both = _earlier(both, by, {f"at_{s}_{c}": f"s_c_{c}" for c in costs})
+        both = earlier(both, by, {f"at_{s}_{c}": f"s_c_{c}" for c in costs})
     both = both.withColumns({f"low_{s}_{c}": F.col(f"low_{s}_{c}") + F.col(f"at_{s}_{c}") for s in scopes for c in costs})
     if "k_" in both.columns:
         first = both.where("sure AND k_ IS NOT NULL").groupBy("k_").agg(F.min("place").alias("sure_place"))
@@ -141,6 +123,6 @@ def _coded(rows: DataFrame, scopes: dict[str, list[str]], costs: Sequence[str],
     """The verdicts, refusals by the first limit that the admitted totals before them leave no room for."""
     rows = rows.withColumns({f"s_c_{c}": F.when(F.col("status") == "admitted", F.col(f"c_{c}")).otherwise(0) for c in costs})
     for s, by in scopes.items():
-        rows = _earlier(rows, by, {f"at_{s}_{c}": f"s_c_{c}" for c in costs})
+        rows = earlier(rows, by, {f"at_{s}_{c}": f"s_c_{c}" for c in costs})
     code = F.coalesce(*[F.when(F.col(f"at_{s}_{c}") + F.col(f"c_{c}") > most, code) for s, c, most, code in limits])
     return rows.select(*columns, F.when(F.col("status") == "refused", code).otherwise(F.col("status")).alias("verdict"))

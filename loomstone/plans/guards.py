@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.operators import evidence
+from loomstone.operators import evidence, reduction
 from loomstone.plans.shared import Catalogue
 from loomstone.sources.tables import table
 
@@ -282,3 +282,18 @@ def exclusions_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # three blanks inside each pair, a comma and a blank between pairs, two brackets around
     used = F.greatest(F.lit(1).cast("long"), F.ceil((total("chars") + 5 * n) / 3), F.ceil((total("bytes") + 5 * n) / 4), total("units") + n + 1)
     return sized.select("conv_id", "turn", used.alias("used"), n.alias("n")).where("n <= 32 AND used <= 384").drop("n")
+
+
+_JOIN = "sha256(array_to_string(list(v ORDER BY n), '|'))"
+_LEVEL = "{up} AS (SELECT source, n // 8 AS n, CASE WHEN count(*) = 1 THEN any_value(v) ELSE " + _JOIN + " END AS v, sum(parts) AS parts FROM {down} GROUP BY source, n // 8)"
+
+
+@area.plan(
+    "WITH l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, CAST(doc_id AS VARCHAR) AS v, 1 AS parts FROM documents), "
+    + ", ".join(_LEVEL.format(up=f"l{k + 1}", down=f"l{k}") for k in range(8))
+    + " SELECT source, v AS summary, CAST(parts AS BIGINT) AS parts FROM l8"
+)
+def summary_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every source, in the order of their ids, combined by eights until one is left."""
+    parts = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("summary"))
+    return reduction.reduce_levels(parts, ["source"], "doc_id", "summary", lambda values: F.sha2(F.array_join(values, "|"), 256))

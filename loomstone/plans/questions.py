@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.operators import evidence, questions
+from loomstone.operators import evidence, questions, structure
 from loomstone.plans.shared import Catalogue
 from loomstone.sources.tables import table
 
@@ -187,3 +187,31 @@ def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit('{"question_status":"'), status, F.lit('","pages":['), body, F.lit("]"), more, close)
     answers = orders.select("l_orderkey", raw.alias("raw"), F.transform("pages", lambda p: p["id"]).alias("issued"))
     return questions.verdicts(answers).select("l_orderkey", "outcome", F.array_join("chosen", ",").alias("chosen"), "dropped")
+
+
+#: Pages about a part, by its key.
+LESSONS = (
+    "~\\nDefinition:\\nA round part that turns on an axle of steel.", "Hazards\\n~: how it works\\nIt lifts the water because each bucket holds some of it.",
+    "~\\n1. Press the old lid\\n2. Turn the small key\\n3. Wait for the last bell", "Steps of ~\\n1) Fold the whole sheet\\n2) Seal the outer edge",
+    "~\\nLimitations\\nIt is not able to turn in frost at night.\\nMeasurement\\nThe flow of water in a day.", "~\\nReason\\nIt reduces noise because the felt takes it up in part.",
+    "~\\nApplication in ports\\n- Lifting of crates in ports\\nOther matters", "Notes\\n~\\nHow it works\\nThis is discussed in the handbook by the maker.\\nExample\\nTurning by hand",
+)
+_LESSON = "SELECT p_partkey AS page_id, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN replace('{t}', '~', p_name)" for i, t in enumerate(LESSONS)) + " END AS text FROM "
+
+
+def _lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_LESSON + "{part}", part=table(spark, sf_dir, "part"))
+
+
+@area.plan()
+def structural_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units that every part's name owns on the pages of all parts."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("entity"))
+    return structure.units(_lessons(spark, sf_dir), names)
+
+
+@area.plan()
+def qualified_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's question against the units that its name owns, whatever page they stand on."""
+    asked = questions.with_roles(_asked(spark, sf_dir).select(F.col("p_partkey").alias("query_id"), F.col("text").alias("question")), "question", "roles")
+    return structure.qualified(asked, _lessons(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.functions import vectors as vec
-from loomstone.operators import evidence, retrieval
+from loomstone.operators import evidence, retrieval, search
 from loomstone.plans.shared import Catalogue
 from loomstone.sources.tables import table
 
@@ -97,6 +97,61 @@ def bounded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.select_bounded(pool, retrieval.Policy(context_tokens=4096, across_documents=True))
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: the words 11 to 13 of every document whose id is divisible by 100."""
+    words = F.array_join(F.slice(F.split("text", r"\s+"), 11, 3), " ")
+    return table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("question"))
+
+
+_ASKED_TERMS = f"""
+    q AS (SELECT doc_id AS query_id, replace(lower(array_to_string(regexp_split_to_array(text, '\\s+')[11:13], ' ')), 'ß', 'ss') AS question FROM documents WHERE doc_id % 100 = 0),
+    qw AS (SELECT query_id, regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_]+') AS w FROM q),
+    qk AS (SELECT query_id, list_filter(list_distinct(w), lambda x: x NOT IN ({", ".join(repr(w) for w in tx.STOP_WORDS)})) AS kept, w FROM qw),
+    t AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms FROM (SELECT query_id, CASE WHEN len(kept) > 0 THEN kept ELSE list_distinct(w) END AS terms FROM qk)),
+    p AS (SELECT doc_id, unnest({_WORDS}) AS term, unnest(range(len({_WORDS}))) AS place FROM documents),
+    e AS (SELECT query_id, doc_id, term, n_terms, place, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) AS k FROM p JOIN t USING (term))"""
+_ANY_TOP = """
+    anyof AS (SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, doc_id) AS lexical_rank FROM (
+        SELECT query_id, doc_id, round(count(*) * 0.1::DOUBLE / (count(*) * 0.1::DOUBLE + 1), 9) AS lexical_score FROM e GROUP BY query_id, doc_id)) WHERE lexical_rank <= 20)"""
+
+
+@area.plan(f"WITH {_ASKED_TERMS},{_ANY_TOP} SELECT query_id, doc_id, lexical_score, CAST(lexical_rank AS INT) AS lexical_rank FROM anyof")
+def questions_any_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of the stated set against all texts that hold one of its terms."""
+    return search.lexical(_questions(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+@area.plan(f"""
+    WITH {_ASKED_TERMS},
+    whole AS (SELECT query_id, doc_id FROM e GROUP BY query_id, doc_id, n_terms HAVING count(DISTINCT term) = n_terms),
+    seen AS (
+      SELECT e.query_id, e.doc_id, e.k, e.place, max(x.k) AS last FROM e JOIN whole USING (query_id, doc_id)
+      JOIN e x ON x.query_id = e.query_id AND x.doc_id = e.doc_id AND x.k <= e.k GROUP BY e.query_id, e.doc_id, e.k, e.place, e.n_terms, x.term),
+    low AS (SELECT query_id, doc_id, k, place, CASE WHEN count(*) = (SELECT any_value(n_terms) FROM t WHERE t.query_id = seen.query_id) THEN min(last) END AS low FROM seen GROUP BY query_id, doc_id, k, place),
+    moved AS (SELECT *, lag(low) OVER (PARTITION BY query_id, doc_id ORDER BY k) AS before FROM low),
+    c AS (SELECT m.query_id, m.doc_id, 0.1::DOUBLE / (1 + m.place - b.place - (m.k - m.low)) AS gain FROM moved m JOIN e b ON b.query_id = m.query_id AND b.doc_id = m.doc_id AND b.k = m.low WHERE m.low > coalesce(m.before, 0)),
+    s AS (SELECT query_id, doc_id, round(sum(gain) / (sum(gain) + 1), 9) AS lexical_score FROM c GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, lexical_score, CAST(n AS INT) AS lexical_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, doc_id) AS n FROM s) WHERE n <= 20""")
+def questions_all_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of the stated set against all texts that hold all of its terms, ranked by their minimal covers."""
+    return search.lexical(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), every=True)
+
+
+@area.plan(f"""
+    WITH {_ASKED_TERMS},{_ANY_TOP}, {_TOPK},
+    b AS (SELECT query_id, vec_id AS doc_id, similarity, NULL AS lexical_score, rank AS vector_rank, NULL AS lexical_rank FROM top WHERE similarity >= 0.1
+          UNION ALL SELECT query_id, doc_id, NULL, lexical_score, NULL, lexical_rank FROM anyof),
+    f AS (SELECT query_id, doc_id, max(similarity) AS similarity, max(lexical_score) AS lexical_score, min(vector_rank) AS v, min(lexical_rank) AS x,
+                 round(sum(coalesce(1::DOUBLE / (60 + vector_rank), 0) + coalesce(1::DOUBLE / (60 + lexical_rank), 0)), 9) AS fusion_score FROM b GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, similarity, CAST(lexical_score AS DOUBLE) AS lexical_score, CAST(coalesce(v, 0) AS INT) AS vector_rank, CAST(coalesce(x, 0) AS INT) AS lexical_rank, fusion_score,
+           CAST(row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, least(coalesce(v, 2147483647), coalesce(x, 2147483647)), coalesce(v, 2147483647), coalesce(x, 2147483647), doc_id) AS INT) AS position FROM f""")
+def questions_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors and the words of the stated set, fused by question."""
+    near = pool(spark, sf_dir).where("similarity >= 0.1").select("query_id", F.col("vec_id").alias("doc_id"), "similarity", F.col("rank").alias("vector_rank"))
+    return search.fused(near, questions_any_topk(spark, sf_dir))
+
+
 _SETS = f"""
     s AS (SELECT doc_id, lang, source, list_sort(list_distinct({_WORDS})) AS w, min(doc_id) OVER (PARTITION BY lang, source, list_sort(list_distinct({_WORDS}))) AS class_id FROM documents),
     r AS (SELECT * FROM s WHERE doc_id = class_id AND len(w) > 0),

@@ -68,6 +68,16 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), 300, 40)
 
 
+def _words_and_signs(text: str) -> int:
+    return len(text.split()) + sum(text.count(c) for c in ".,;:!?")
+
+
+@area.plan()
+def chunk_by_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 400 words and signs, counted by a function of the caller's."""
+    return chunking.chunk(table(spark, sf_dir, "documents"), 400, 40, estimate=_words_and_signs)
+
+
 @area.plan()
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of several pages: a conversation's turns are its pages."""

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "days int, ease double, n_correct long, n_incorrect long"
+from loomstone.operators.study import EASE, answered
+
+STATE = "days int, ease double, n_correct long, n_incorrect long, waiting array<struct<ts: long, event_id: long, correct: boolean>>"
 OUT = "user_id long, card string, interval_days int, ease double, n_correct long, n_incorrect long"
 
 
@@ -28,24 +30,44 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(name).isDirectory()
 
 
+def _answered(state: tuple, tries: list[tuple]) -> tuple:
+    days, ease, right, wrong = state
+    for *_, correct in tries:
+        days, ease = answered(days, ease, correct)
+        right, wrong = right + correct, wrong + (not correct)
+    return days, ease, right, wrong
+
+
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Continue a learner's state by a micro-batch of attempts in the order of time."""
-    days, ease, right, wrong = state.get if state.exists else (0, 2.5, 0, 0)
-    tries = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for correct in tries["correct"]:
-        if correct:
-            days = 1 if days == 0 else 6 if days == 1 else round(days * ease)
-            ease, right = max(1.3, ease + 0.1), right + 1
-        else:
-            days, wrong = 0, wrong + 1
-    state.update((days, ease, right, wrong))
+    """Continue a learner's state in the order of event time, whatever order the attempts arrive in.
+
+    Attempts wait in the state until the watermark has passed them, since an earlier one may still arrive; what is told of the
+    learner meanwhile has the waiting ones in it, in order.
+    """
+    *done, waiting = state.get if state.exists else (0, EASE, 0, 0, [])
+    tries = [(w["ts"], w["event_id"], w["correct"]) for w in waiting]
+    if not state.hasTimedOut:
+        for batch in batches:
+            tries += zip(batch["at"], batch["event_id"], batch["correct"], strict=True)
+    tries = sorted((int(t), int(i), bool(c)) for t, i, c in tries)
+    passed = state.getCurrentWatermarkMs() * 1000
+    settled = [x for x in tries if x[0] < passed]
+    done, tries = _answered(tuple(done), settled), tries[len(settled) :]
+    state.update((*done, [{"ts": t, "event_id": i, "correct": c} for t, i, c in tries]))
+    if tries:
+        state.setTimeoutTimestamp(max(tries[0][0] // 1000 + 1, passed // 1000 + 1))
+    days, ease, right, wrong = _answered(done, tries)
     yield pd.DataFrame([(*key, days, round(ease, 6), right, wrong)], columns=["user_id", "card", "interval_days", "ease", "n_correct", "n_incorrect"])
 
 
-def learner_state(stream: DataFrame, passing: float = 50.0) -> DataFrame:
-    """The state of every (user, card) after each micro-batch that touched it."""
-    tries = stream.select("user_id", F.col("event_type").alias("card"), "event_id", "ts", (F.col("value") >= passing).alias("correct"))
-    return tries.groupBy("user_id", "card").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def learner_state(stream: DataFrame, passing: float = 50.0, lateness: str = "60 days") -> DataFrame:
+    """The state of every (user, card) after each micro-batch that touched it.
+
+    Attempts count in the order of their event time over all micro-batches.  State holds those of the last ``lateness``; an
+    attempt that arrives later than that behind the newest is dropped by the watermark.
+    """
+    tries = stream.withWatermark("ts", lateness).select("user_id", F.col("event_type").alias("card"), "event_id", "ts", F.unix_micros("ts").alias("at"), (F.col("value") >= passing).alias("correct"))
+    return tries.groupBy("user_id", "card").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_receipts(stream: DataFrame) -> DataFrame:
@@ -53,7 +75,7 @@ def first_receipts(stream: DataFrame) -> DataFrame:
     return stream.select("user_id", "props").dropDuplicates(["user_id", "props"])
 
 
-def hourly(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
+def hourly(stream: DataFrame, lateness: str = "60 days") -> DataFrame:
     """Tumbling hourly counts by event time; rows later than ``lateness`` are dropped by the watermark."""
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour_start"), "event_type", "n")
 

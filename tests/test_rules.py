@@ -30,6 +30,18 @@ def test_token_estimate_is_the_chunkers(spark):
     assert [r[0] for r in df.select(tx.token_estimate(F.col("t"))).collect()] == [chunking.Size.of(t).tokens for t in texts]
 
 
+def test_a_given_estimator_measures_chunks():
+    """The estimator of the sizes, given as a function, cuts as the sizes do; another one keeps its own ceiling."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["a", "word", "naïve", "longer-word", "ﬁn", "x,y;z"]) for _ in range(n))
+    for _ in range(60):
+        blocks = [(rng.choice([None, None, "Head"]), text(rng.choice([0, 1, 5, 20, 90]))) for _ in range(rng.randint(1, 9))]
+        told = chunking.Meter(lambda t: chunking.Size.of(t).tokens)
+        assert list(chunking.fill(blocks, 60, 12, told)) == list(chunking.fill(blocks, 60, 12))
+        many = list(chunking.fill(blocks, 25, 5, chunking.Meter(lambda t: len(t.split()))))
+        assert all(len(t.split()) <= 25 for _, t in many) and {w for _, t in many for w in t.split()} == {w for _, b in blocks for w in b.split()}
+
+
 def test_headings(spark):
     lines = ["Chapter 1 about", "2.1 Results", "ALL CAPS", "A Title Like This", "just a sentence.", "lower case words", "", "Ends With Stop."]
     df = spark.createDataFrame([(t,) for t in lines], "t string")
