@@ -130,16 +130,15 @@ def mentions(found: DataFrame) -> DataFrame:
     return out.join(single, ["page_id", "short"])
 
 
-def _owned(text: Column) -> Column:
-    """The names that a line owns as a title: itself, or what stands before or behind the label that it holds."""
-    name = normal(text)
+def _owned(name: Column) -> Column:
+    """The names that a line of this normal form owns as a title: itself, or what stands before or behind the label that it holds."""
     labelled = [F.regexp_extract(name, form, 1) for p in LABELS.values() for form in (rf"(?i)^(.+?)\s*:\s*{p}$", rf"(?i)^{p}\s+of\s+(.+)$")]
     return F.array_distinct(F.filter(F.array(name, *labelled), lambda x: x != ""))
 
 
 def owners(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """(page_id, name, i): the inverted index from names to the lines that own them, short forms and expansions alike."""
-    own = found.select("page_id", "i", F.explode(_owned(F.col("text"))).alias("name"))
+    own = found.select("page_id", "i", F.explode("owned").alias("name"))
     both = pairs.select("page_id", normal(F.col("short")).alias("a"), normal(F.col("long")).alias("b")).distinct()
     # a title may be either form, or one with the other in parentheses
     written = both.select("page_id", "a", "b", F.explode(F.array("a", "b", F.concat("a", F.lit(" ("), "b", F.lit(")")), F.concat("b", F.lit(" ("), "a", F.lit(")")))).alias("name"))
@@ -157,7 +156,7 @@ def units(pages: DataFrame, entities: DataFrame, most: int = MOST_CHARS) -> Data
     """
     # every line is told of once, and read from there by the index, the titles and what follows them
     found = lines(pages)
-    found = found.withColumn("label", label(F.col("text"))).withColumns({"topic": topic(F.col("text"), F.col("label")), "bullet": F.col("text").rlike(BULLET), "ordered": F.col("text").rlike(ORDERED)})
+    found = found.withColumns({"label": label(F.col("text")), "name": normal(F.col("text"))}).withColumns({"owned": _owned(F.col("name")), "topic": topic(F.col("text"), F.col("label")), "bullet": F.col("text").rlike(BULLET), "ordered": F.col("text").rlike(ORDERED)})
     told = found = settle(found, "lines")
     pairs = mentions(found)
     asked = entities.where("entity <> ''").select("entity").distinct()
@@ -235,9 +234,12 @@ def qualified(asked: DataFrame, pages: DataFrame, most: int = MOST_CHARS) -> Dat
     """
     lower_words = lambda text: F.regexp_extract_all(F.lower(text), F.lit(WORD.replace("A-Z", "")), 0)
     numbers = lambda text: F.regexp_extract_all(text, F.lit(NUMBER), 0)
-    explicit = asked.where("roles IS NOT NULL").select("query_id", "question", F.col("roles.entity").alias("entity"), F.col("roles.relation").alias("relation"), F.col("roles.conditions").alias("conditions"),
-        F.filter(F.split("roles.required", r"\s+"), lambda w: w.rlike(WORD)).alias("terms"), F.lower("roles.action").alias("action"), stems(F.col("roles.action")).alias("wanted"),
-        lower_words(F.col("roles.entity")).alias("names"), numbers(F.col("question")).alias("asked_numbers"), F.regexp_extract("question", r"(?i)\b(?:all\s+)?(\d+)\s+steps\b", 1).alias("count"))
+    # the roles of a question are told once; all that follows reads them
+    told = settle(asked.select("query_id", "question", "roles"), "asked")
+    told = told.where("roles IS NOT NULL").select("query_id", "question", *[f"roles.{r}" for r in ("entity", "relation", "conditions", "required", "action")])
+    explicit = told.select("query_id", "question", "entity", "relation", "conditions", F.filter(F.split("required", r"\s+"), lambda w: w.rlike(WORD)).alias("terms"),
+        F.lower("action").alias("action"), stems(F.col("action")).alias("wanted"), lower_words(F.col("entity")).alias("names"), numbers(F.col("question")).alias("asked_numbers"),
+        F.regexp_extract("question", r"(?i)\b(?:all\s+)?(\d+)\s+steps\b", 1).alias("count"))
     found = units(pages, explicit.select("entity"), most).join(pages.select("page_id", "text"), "page_id")
     piece = lambda a, b: F.substring(F.col("text"), F.col(a) + 1, F.col(b) - F.col(a))
     found = found.withColumns({"quote": piece("start", "end"), "body": _strip(piece("body_start", "end")), "rest": F.substring(F.col("text"), F.col("end") + 1, F.lit(64))}).drop("text")

@@ -191,7 +191,7 @@ def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pages about a part, by its key.
 LESSONS = (
-    "~\\nDefinition:\\nA round part that turns on an axle of steel.", "Hazards\\n~: how it works\\nIt lifts the water because each bucket holds some of it.",
+    "~\\nDefinition\\nA round part that turns on an axle of steel.", "Hazards\\n~: how it works\\nIt lifts the water because each bucket holds some of it.",
     "~\\n1. Press the old lid\\n2. Turn the small key\\n3. Wait for the last bell", "Steps of ~\\n1) Fold the whole sheet\\n2) Seal the outer edge",
     "~\\nLimitations\\nIt is not able to turn in frost at night.\\nMeasurement\\nThe flow of water in a day.", "~\\nReason\\nIt reduces noise because the felt takes it up in part.",
     "~\\nApplication in ports\\n- Lifting of crates in ports\\nOther matters", "Notes\\n~\\nHow it works\\nThis is discussed in the handbook by the maker.\\nExample\\nTurning by hand",

@@ -42,13 +42,15 @@ def bounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @area.plan(r"""
-    SELECT doc_id, t <> '' AND length(t) <= 160 AND right(t, 1) NOT IN ('.', '!', '?', ';', ':') AND (
+    SELECT doc_id, line, t <> '' AND length(t) <= 160 AND right(t, 1) NOT IN ('.', '!', '?', ';', ':') AND (
         regexp_matches(lower(t), '^(chapter|section|part|unit|lesson|module|appendix)\b|^\d+(\.\d+)*[.)]?\s+')
         OR len(p) <= 14 AND (regexp_matches(t, '\p{L}') AND regexp_extract_all(t, '\p{L}') = regexp_extract_all(t, '\p{Lu}') OR len(list_filter(p, lambda w: regexp_matches(w, '^\p{Lu}'))) >= greatest(1, ceil(len(p) * 0.8)))) AS is_heading
-    FROM (SELECT doc_id, t, regexp_split_to_array(t, '\s+') AS p FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS t FROM documents))""")
+    FROM (SELECT doc_id, line, t, regexp_split_to_array(t, '\s+') AS p FROM (SELECT doc_id, line, trim(l) AS t FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)))""")
 def heading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.trim(F.substring_index("text", "\n", 1))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.heading(line).alias("is_heading"))
+    """Every line of every document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), tx.heading(F.trim("l")).alias("is_heading"))
 
 
 @area.plan(f"SELECT evidence_hash, count(*) AS copies, min(doc_id) AS first_doc, max(doc_id) AS latest_doc FROM (SELECT doc_id, sha256({_NORM.format('text')}) AS evidence_hash FROM documents) GROUP BY evidence_hash HAVING count(*) > 1")
@@ -148,3 +150,11 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encrypted_block_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = blocks.store(table(spark, sf_dir, "documents"), blocks.DEMO_KEY, 4096)
     return blocks.verify(stored, blocks.DEMO_KEY)
+
+
+@area.plan("SELECT doc_id, sha256(array_slice(encode(text), 501, 1300)) AS range_hash, CAST(greatest(0, least(strlen(text), 1300) - 500) AS BIGINT) AS n_bytes FROM documents WHERE strlen(text) > 256")
+def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes 500 to 1299 of every document that reaches their first block, from the blocks that hold them."""
+    stored = blocks.store(table(spark, sf_dir, "documents"), blocks.DEMO_KEY, 256)
+    part = blocks.read_range(stored, blocks.DEMO_KEY, 256, 500, 1299)
+    return part.select("doc_id", F.sha2("body", 256).alias("range_hash"), F.octet_length("body").cast("long").alias("n_bytes"))
