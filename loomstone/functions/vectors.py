@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Query vectors that are sent to the executors at once or make a tile, and base rows of a tile.
 BLOCK = 4096
 TILE_ROWS = 32_768
+#: Queries and rows whose similarities are held at once.
+STEP_QUERIES, STEP_ROWS = 256, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,20 +41,27 @@ def unit(a: Column) -> Column:
 
 def _directions(column: pa.Array) -> np.ndarray:
     """Rows of unit length; a zero stays zero."""
-    rows = np.array(column.to_pylist(), np.float64)
-    rows = rows.reshape(len(column), -1)
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length == 0, 1, length)
 
 
-def _nearest(ids: np.ndarray, wanted: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, least: float) -> pa.RecordBatch:
-    """The k best rows of every query among these rows."""
-    near = np.round(wanted @ rows.T, 6)
-    keep = min(k, len(names))
-    order = np.stack([np.lexsort((names, -near[q]))[:keep] for q in range(len(ids))])
-    score = np.take_along_axis(near, order, 1).ravel()
-    cols = [pa.array(np.repeat(ids, keep)), pa.array(names[order].ravel()), pa.array(score)]
-    return pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "similarity"]).filter(pa.array(score >= least))
+def _nearest(ids: np.ndarray, wanted: np.ndarray, parts: Iterator[tuple[pa.Array, pa.Array]], k: int, least: float) -> pa.RecordBatch:
+    """The k best of all rows (name, vector) for every query; some queries meet some rows at once, and k rows a query are held."""
+    score, name = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+    for names, vectors in parts:
+        for a in range(0, len(names), STEP_ROWS):
+            own, rows = names.slice(a, STEP_ROWS).to_numpy(zero_copy_only=False), _directions(vectors.slice(a, STEP_ROWS))
+            kept = []
+            for q in range(0, len(ids), STEP_QUERIES):
+                near = np.round(wanted[q : q + STEP_QUERIES] @ rows.T, 6)
+                s = np.hstack([score[q : q + STEP_QUERIES], near])
+                n = np.hstack([name[q : q + STEP_QUERIES], np.broadcast_to(own, near.shape)])
+                order = np.lexsort((n, -s), axis=1)[:, :k]
+                kept.append((np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)))
+            score, name = (np.vstack(x) for x in zip(*kept, strict=True))
+    cols = [pa.array(np.repeat(ids, score.shape[1])), pa.array(name.ravel()), pa.array(score.ravel())]
+    return pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "similarity"]).filter(pa.array(score.ravel() >= least))
 
 
 FOUND = "query_id long, vec_id long, similarity double"
@@ -63,12 +72,10 @@ def _beside(queries: DataFrame, base: DataFrame, k: int, least: float) -> DataFr
     part = queries.select("query_id", "vector").toArrow().combine_chunks()
     if not part.num_rows:
         return base.sparkSession.createDataFrame([], FOUND)
-    sent = base.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), _directions(part["vector"])))
+    sent = base.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), _directions(part["vector"].combine_chunks())))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _nearest(*sent.value, batch.column(0).to_numpy(), _directions(batch.column(1)), k, least)
+        yield _nearest(*sent.value, ((batch.column(0), batch.column(1)) for batch in batches if batch.num_rows), k, least)
 
     return base.select("vec_id", "embedding").mapInArrow(search, FOUND)
 
@@ -85,9 +92,8 @@ def _tiled(queries: DataFrame, base: DataFrame, n_queries: int, k: int, least: f
         if not asked.num_rows or not held.num_rows:
             return out.empty_table()
         ids, wanted = asked["query_id"].to_numpy(), _directions(asked["vector"].combine_chunks())
-        names, rows = held["vec_id"].to_numpy(), _directions(held["embedding"].combine_chunks())
-        parts = [_nearest(ids[a : a + 256], wanted[a : a + 256], names, rows, k, least) for a in range(0, len(ids), 256)]
-        return pa.Table.from_batches(parts, out)
+        parts = ((b.column("vec_id"), b.column("embedding")) for b in held.to_batches())
+        return pa.Table.from_batches([_nearest(ids, wanted, parts, k, least)], out)
 
     return dealt.groupBy("x", "y").cogroup(rows.groupBy("x", "y")).applyInArrow(search, FOUND)
 

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from loomstone.functions import vectors
 from loomstone.operators import overlap, retrieval
 
 
@@ -32,3 +35,20 @@ def test_similar_sets_in_small_tiles(spark, monkeypatch, contained):
 
     links = {i: sum(like(i, j) for j in firsts) for i in firsts}
     assert got == {i: (classes[i], links.get(classes[i], 0)) for i in sets} and sum(links.values()) > 60
+
+
+def test_nearest_rows_in_steps(monkeypatch):
+    """Four queries meet seven rows at once; ties go to the smaller id, wherever it stands."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-2, 3, (300, 3)).astype(np.float32)
+    rows[(rows == 0).all(axis=1)] = 1
+    names = rng.permutation(300)
+    monkeypatch.setattr(vectors, "STEP_QUERIES", 4)
+    monkeypatch.setattr(vectors, "STEP_ROWS", 7)
+    lists = pa.array(rows.tolist(), pa.list_(pa.float32()))
+    parts = [(pa.array(names[a : a + 50]), lists[a : a + 50]) for a in range(0, 300, 50)]
+    wanted = vectors._directions(lists)
+    got = vectors._nearest(names, wanted, iter(parts), 5, 0.2).to_pylist()
+    near = np.round(wanted @ wanted.T, 6)
+    want = [(q, v, s) for i, q in enumerate(names) for s, v in sorted(((-s, v) for s, v in zip(near[i], names)))[:5] if -s >= 0.2]
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, v) for q, v, _ in want]
