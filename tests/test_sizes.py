@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomstone.functions import vectors
+from pyspark.sql import functions as F
+
+from loomstone.functions import text, vectors
 from loomstone.operators import overlap, retrieval
 
 
@@ -52,3 +54,14 @@ def test_nearest_rows_in_steps(monkeypatch):
     near = np.round(wanted @ wanted.T, 6)
     want = [(q, v, s) for i, q in enumerate(names) for s, v in sorted(((-s, v) for s, v in zip(near[i], names)))[:5] if -s >= 0.2]
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, v) for q, v, _ in want]
+
+
+def test_estimate_normalises_once(spark):
+    """Units against the pattern that defines them, and one normalisation in the plan of an estimate."""
+    said = ["", " ", "a b_c, d!", "Größe: 3 m²…", "x y　z q", "\x0b\x1c\x85.", "日本語 テスト。", "é ١٢ 𝒳y", "_-_", "ﬁ ½", None]
+    df = spark.createDataFrame([(s,) for s in said], "text string")
+    rows = df.select(text.units(F.col("text")).alias("a"), F.regexp_count("text", F.lit(text.UNIT)).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    plan = df.select(text.token_estimate(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    once = df.select(text.nfkc(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Normalizer") == once.count("Normalizer") > 0
