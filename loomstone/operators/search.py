@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
+from loomstone.sources.folders import settle
 
 #: Weight of a word whose part of the text says nothing of its importance.
 WEIGHT = 0.1
@@ -18,10 +19,38 @@ def asked_terms(questions: DataFrame, question: str, most: int) -> DataFrame:
 
 
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, places) of the asked terms only: one row for a term and text, with all its places in order."""
+    """(doc_id, place, term) of the asked terms only."""
     words = texts.select("doc_id", F.posexplode(tx.words(F.coalesce("text", F.lit("")))).alias("place", "term"))
-    wanted = words.join(terms.select("term").distinct(), "term", "left_semi")
-    return wanted.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return words.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+
+
+def score(r: Column) -> Column:
+    return F.round(r / (r + 1), 9)
+
+
+def held_whole(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, doc_id, r) of the texts with every term of a question, by their minimal covers."""
+    met = found.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("place")).alias("places")).join(terms, "term")
+    entry = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), F.col("number").alias("number")))))
+    held = met.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.array_sort(entry).alias("entries")).where("n = n_terms")
+    return held.select("query_id", "doc_id", covers(F.col("entries"), F.col("n_terms")).alias("r"))
+
+
+def held_any(found: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, r) of at least the ``k`` best texts of every question by the places of its terms.
+
+    The k-th most places of one term are a floor of the k-th best sum of a question with it, and a text above the floor holds
+    its part of that in one term; texts with less in every term are never paired with the question.
+    """
+    counts = settle(found.groupBy("doc_id", "term").agg(F.count("*").alias("n")), "counts")
+    most = Window.partitionBy("term").orderBy(F.desc("n"), "doc_id")
+    least = counts.withColumn("at", F.row_number().over(most)).where(F.col("at") <= k).groupBy("term").agg(F.min("n").alias("least"), F.count("*").alias("texts"))
+    least = least.where(F.col("texts") == k).select("term", "least")
+    rounded = score(F.max("least") * F.lit(WEIGHT)) - 2e-9  # scores that rounding makes equal go by their ids
+    floors = terms.join(least, "term", "left").groupBy("query_id").agg(F.coalesce(rounded / (1 - rounded) / WEIGHT - 1e-6, F.lit(0.0)).alias("floor"))
+    asked = settle(terms.join(floors, "query_id"), "asked")
+    met = counts.join(F.broadcast(asked), "term").where(F.col("n") * F.col("n_terms") >= F.col("floor")).select("query_id", "doc_id").distinct()
+    return met.join(F.broadcast(asked.select("query_id", "term")), "query_id").join(counts, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg((F.sum("n") * F.lit(WEIGHT)).alias("r"))
 
 
 def covers(entries: Column, n_terms: Column) -> Column:
@@ -50,15 +79,10 @@ def lexical(questions: DataFrame, texts: DataFrame, question: str = "question",
     With ``every``, a text must hold all terms and is ranked by its minimal covers; else each occurrence of a term is a cover
     of its own.  The score is r / (r + 1) of the sum r.  Texts and questions meet by their terms.
     """
-    terms = asked_terms(questions, question, most_terms)
-    met = postings(texts, terms).join(terms, "term")
-    if every:
-        entry = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), F.col("number").alias("number")))))
-        held = met.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.array_sort(entry).alias("entries")).where("n = n_terms")
-        scored = held.select("query_id", "doc_id", covers(F.col("entries"), F.col("n_terms")).alias("r"))
-    else:
-        scored = met.groupBy("query_id", "doc_id").agg((F.sum(F.size("places")) * F.lit(WEIGHT)).alias("r"))
-    scored = scored.select("query_id", "doc_id", F.round(F.col("r") / (F.col("r") + 1), 9).alias("lexical_score"))
+    terms = settle(asked_terms(questions, question, most_terms), "terms")
+    found = postings(texts, terms)
+    scored = held_whole(found, terms) if every else held_any(found, terms, k)
+    scored = scored.select("query_id", "doc_id", score(F.col("r")).alias("lexical_score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "doc_id")
     return scored.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= k)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import text, vectors
-from loomstone.operators import overlap, retrieval
+from loomstone.operators import overlap, retrieval, search
 
 
 @pytest.mark.parametrize("contained", [True, False])
@@ -65,3 +65,15 @@ def test_estimate_normalises_once(spark):
     plan = df.select(text.token_estimate(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     once = df.select(text.nfkc(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Normalizer") == once.count("Normalizer") > 0
+
+
+def test_texts_below_the_floor_are_not_paired(spark):
+    """Of 200 texts with both words, only those with many of one of them meet the question; the best three stay the same."""
+    rng = random.Random(8)
+    said = [(i, " ".join(["xa"] * rng.randint(1, 4) + ["xb"] * rng.randint(1, 4))) for i in range(200)] + [(300, "xa " * 30), (301, "xb " * 40 + "xa"), (302, "xa xb " * 18), (303, "xb " * 36)]
+    texts = spark.createDataFrame(said, "doc_id long, text string")
+    terms = search.asked_terms(spark.createDataFrame([(1, "xa xb")], "query_id long, question string"), "question", 12)
+    paired = search.held_any(search.postings(texts, terms), terms, 3)
+    assert 3 <= paired.count() < 10
+    got = search.lexical(spark.createDataFrame([(1, "xa xb")], "query_id long, question string"), texts, k=3).orderBy("lexical_rank").collect()
+    assert [r.doc_id for r in got] == [301, 302, 303]
