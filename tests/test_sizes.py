@@ -14,9 +14,8 @@ from loomstone.operators import overlap, retrieval, search
 
 @pytest.mark.parametrize("contained", [True, False])
 def test_similar_sets_in_small_tiles(spark, monkeypatch, contained):
-    """Blocks of 40 words and pieces of 16 entries against every pair; a null in ``by`` keeps its row and links with nothing."""
+    """Blocks of 40 words against every pair; a null in ``by`` keeps its row and links with nothing."""
     monkeypatch.setattr(overlap, "BLOCK_WORDS", 40)
-    monkeypatch.setattr(overlap, "PIECE", 16)
     rng = random.Random(5)
     rows = []
     for i in range(120):
@@ -77,3 +76,19 @@ def test_texts_below_the_floor_are_not_paired(spark):
     assert 3 <= paired.count() < 10
     got = search.lexical(spark.createDataFrame([(1, "xa xb")], "query_id long, question string"), texts, k=3).orderBy("lexical_rank").collect()
     assert [r.doc_id for r in got] == [301, 302, 303]
+
+
+@pytest.mark.parametrize("contained", [True, False])
+@pytest.mark.parametrize("piece", [3, 10_000])
+def test_a_tile_in_pieces(monkeypatch, contained, piece):
+    """Entries gathered three at a time, in tiles of one block and of two, against every pair."""
+    monkeypatch.setattr(overlap, "PIECE", piece)
+    rng = random.Random(piece)
+    for blocks in (1, 2):
+        sets = [sorted(rng.sample([f"w{j}" for j in range(14)], rng.randint(1, 9))) for _ in range(90)]
+        ids, block = np.array(rng.sample(range(500), 90)), np.array([rng.randrange(blocks) for _ in range(90)])
+        got = overlap.tile_links(ids, block, pa.array(sets, pa.list_(pa.string())), 0.6, contained)
+        both = [[len(set(a) & set(b)) for b in sets] for a in sets]
+        whole = lambda i, j: min(len(sets[i]), len(sets[j])) if contained else len(sets[i]) + len(sets[j]) - both[i][j]
+        want = [sum(i != j and (blocks == 1 or block[i] != block[j]) and both[i][j] >= 0.6 * whole(i, j) - 1e-9 for j in range(90)) for i in range(90)]
+        assert list(got) == want and sum(want) > 40
