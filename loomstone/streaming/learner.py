@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomstone.operators.study import EASE, answered
 
-STATE = "days int, ease double, n_correct long, n_incorrect long, waiting array<struct<ts: long, event_id: long, correct: boolean>>"
+STATE = "cards array<struct<card: string, days: int, ease: double, n_correct: long, n_incorrect: long, waiting: array<struct<ts: long, event_id: long, correct: boolean>>>>"
 OUT = "user_id long, card string, interval_days int, ease double, n_correct long, n_incorrect long"
 
 
@@ -39,25 +39,37 @@ def _answered(state: tuple, tries: list[tuple]) -> tuple:
 
 
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Continue a learner's state in the order of event time, whatever order the attempts arrive in.
+    """Continue the state of a learner's cards in the order of event time, whatever order the attempts arrive in.
 
-    Attempts wait in the state until the watermark has passed them, since an earlier one may still arrive; what is told of the
-    learner meanwhile has the waiting ones in it, in order.
+    Attempts wait in the state until the watermark has passed them, since an earlier one may still arrive; what is told of a
+    card meanwhile has the waiting ones in it, in order.  A learner is one group, since a group costs far more than its rows.
     """
-    *done, waiting = state.get if state.exists else (0, EASE, 0, 0, [])
-    tries = [(w["ts"], w["event_id"], w["correct"]) for w in waiting]
+    cards = {}
+    for c in state.get[0] if state.exists else ():
+        waiting = [(int(w["ts"]), int(w["event_id"]), bool(w["correct"])) for w in c["waiting"]]
+        cards[c["card"]] = ((int(c["days"]), float(c["ease"]), int(c["n_correct"]), int(c["n_incorrect"])), waiting)
+    touched = set()
     if not state.hasTimedOut:
         for batch in batches:
-            tries += zip(batch["at"], batch["event_id"], batch["correct"], strict=True)
-    tries = sorted((int(t), int(i), bool(c)) for t, i, c in tries)
+            for card, t, i, c in zip(*(batch[x].tolist() for x in ("card", "at", "event_id", "correct")), strict=True):
+                cards.setdefault(card, ((0, EASE, 0, 0), []))[1].append((int(t), int(i), bool(c)))
+                touched.add(card)
     passed = state.getCurrentWatermarkMs() * 1000
-    settled = [x for x in tries if x[0] < passed]
-    done, tries = _answered(tuple(done), settled), tries[len(settled) :]
-    state.update((*done, [{"ts": t, "event_id": i, "correct": c} for t, i, c in tries]))
-    if tries:
-        state.setTimeoutTimestamp(max(tries[0][0] // 1000 + 1, passed // 1000 + 1))
-    days, ease, right, wrong = _answered(done, tries)
-    yield pd.DataFrame([(*key, days, round(ease, 6), right, wrong)], columns=["user_id", "card", "interval_days", "ease", "n_correct", "n_incorrect"])
+    held, rows, first = [], [], None
+    for card, (done, tries) in cards.items():
+        tries = sorted(tries)
+        settled = [x for x in tries if x[0] < passed]
+        done, tries = _answered(done, settled), tries[len(settled) :]
+        held.append({"card": card, **dict(zip(("days", "ease", "n_correct", "n_incorrect"), done, strict=True)), "waiting": [{"ts": t, "event_id": i, "correct": c} for t, i, c in tries]})
+        if tries:
+            first = tries[0][0] if first is None else min(first, tries[0][0])
+        if card in touched or settled:
+            days, ease, right, wrong = _answered(done, tries)
+            rows.append((*key, card, days, round(ease, 6), right, wrong))
+    state.update((held,))
+    if first is not None:
+        state.setTimeoutTimestamp(max(first // 1000 + 1, passed // 1000 + 1))
+    yield pd.DataFrame(rows, columns=["user_id", "card", "interval_days", "ease", "n_correct", "n_incorrect"])
 
 
 def learner_state(stream: DataFrame, passing: float = 50.0, lateness: str = "60 days") -> DataFrame:
@@ -67,7 +79,7 @@ def learner_state(stream: DataFrame, passing: float = 50.0, lateness: str = "60
     attempt that arrives later than that behind the newest is dropped by the watermark.
     """
     tries = stream.withWatermark("ts", lateness).select("user_id", F.col("event_type").alias("card"), "event_id", "ts", F.unix_micros("ts").alias("at"), (F.col("value") >= passing).alias("correct"))
-    return tries.groupBy("user_id", "card").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return tries.groupBy("user_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_receipts(stream: DataFrame) -> DataFrame:

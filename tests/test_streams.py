@@ -35,3 +35,15 @@ def test_learner_state_by_event_time(spark, tmp_path, order, lateness):
     pick = ["user_id", "card", "interval_days", "ease", "n_correct", "n_incorrect"]
     want = study.progress(study.attempts(events.withColumn("ts", F.col("ts").cast("timestamp_ntz")))).select(*pick)
     assert sorted(map(tuple, rows.select(*pick).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_learner_is_one_group(spark, tmp_path):
+    """A group costs milliseconds whatever it holds, so the cards of a learner share one; a late card and a null one keep their own state."""
+    rows = [(0, 1, "a", 80.0, 9), (1, 1, None, 80.0, 1), (2, 1, "a", 20.0, 5), (3, 1, "b", None, 3), (4, 2, "a", 90.0, 2)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, day int").selectExpr("event_id", "user_id", "event_type", "value", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, day) AS ts")
+    events.write.parquet(f"{tmp_path}/in")
+    state = learner.learner_state(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"))
+    told = state._jdf.queryExecution().analyzed().toString()
+    assert "WithState" in told and [x.split("#")[0] for x in told.split("WithState", 1)[1].split("[", 1)[1].split("]", 1)[0].split(", ")] == ["user_id"]
+    got = {(r.user_id, r.card, r.interval_days, r.n_correct, r.n_incorrect) for r in learner.drain(state, "update", f"file://{tmp_path}/out").collect()}
+    assert got == {(1, "a", study.FIRST, 1, 1), (1, None, study.FIRST, 1, 0), (1, "b", 0, 0, 1), (2, "a", study.FIRST, 1, 0)}
