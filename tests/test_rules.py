@@ -356,3 +356,10 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(i, raw, ["a", "b"]) for i, (raw, _) in enumerate(cases)], "i int, raw string, issued array<string>")
     got = {r.i: (r.outcome, r.chosen, r.dropped) for r in questions.verdicts(df).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_a_verdict_is_read_once(spark):
+    """Fields of the whole and of a page are taken out once, not once for every use of them."""
+    answers = spark.createDataFrame([("{}", ["a"])], "raw string, issued array<string>")
+    told = questions.verdicts(answers)._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("MapType") == 2
