@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
+from loomstone.operators import whole
 from loomstone.sources.folders import settle
 
 #: Weight of a word whose part of the text says nothing of its importance.
@@ -80,8 +81,17 @@ def lexical(questions: DataFrame, texts: DataFrame, question: str = "question",
     of its own.  The score is r / (r + 1) of the sum r.  Texts and questions meet by their terms.
     """
     terms = settle(asked_terms(questions, question, most_terms), "terms")
-    found = postings(texts, terms)
-    scored = held_whole(found, terms) if every else held_any(found, terms, k)
+    if every:
+        # texts that share an id, or have none, are one text, whose places meet by their terms
+        shared = settle(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "shared")
+        if shared.isEmpty():
+            scored = whole.held_whole(texts, terms, k, WEIGHT)
+        else:
+            alike = texts["doc_id"].eqNullSafe(shared["doc_id"])
+            scored = whole.held_whole(texts.join(shared, alike, "left_anti"), terms, k, WEIGHT)
+            scored = scored.unionByName(held_whole(postings(texts.join(shared, alike, "left_semi"), terms), terms))
+    else:
+        scored = held_any(postings(texts, terms), terms, k)
     scored = scored.select("query_id", "doc_id", score(F.col("r")).alias("lexical_score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "doc_id")
     return scored.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= k)

@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import vectors
-from loomstone.operators import reduction, search
+from loomstone.operators import reduction, search, whole
 from loomstone.streaming import counters
 
 
@@ -109,3 +111,41 @@ def test_deltas_count_once(spark, tmp_path):
     held = {k: v for k, v in live.items() if v is not None}
     want = {("owner", f"u{o}"): (sum(k % 4 == o for k in held), sum(v for k, v in held.items() if k % 4 == o)) for o in range(3)} | {("all", ""): (len(held), sum(held.values()))}
     assert got == {k: v for k, v in want.items() if k[0] == "all" or v != (0, 0)}
+
+
+def test_texts_of_a_question_are_not_shuffled(spark, monkeypatch):
+    """Whole questions in passes of five beside the texts: copies and ties, ids that two texts share, and only the best leave a task."""
+    monkeypatch.setattr(whole, "BLOCK", 5)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(9)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30)))) for i in range(150)]
+    texts += [(1000 + i, t) for i, t in texts[:80]] + [(2000, None), (2001, "")]
+    asked = [(i, " ".join(rng.sample(vocabulary, rng.randint(1, 4)))) for i in range(14)] + [(50, None), (51, "absent w1")]
+    q, t = spark.createDataFrame(asked, "query_id long, question string"), spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = lambda t: sorted((r.query_id, r.doc_id, r.lexical_rank) for r in search.lexical(q, t, every=True).collect())
+    assert found(t) == [(a, b, d) for a, b, _, d in ranked(asked, texts, True)]
+    terms = search.asked_terms(q, "question", 12)
+    left = whole.held_whole(t, terms, 2, search.WEIGHT)
+    assert "Exchange" not in left._jdf.queryExecution().optimizedPlan().toString() and left.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 2 * 3
+    # a null id and a shared one are one text each, by the places of both
+    odd = spark.createDataFrame([(1, "w1 x"), (1, "x x w2"), (None, "w1 w2"), (2, "w1 w2")], "doc_id long, text string")
+    got = search.lexical(spark.createDataFrame([(7, "w1 w2")], "query_id long, question string"), odd, every=True)
+    assert {(r.doc_id, r.lexical_score) for r in got.collect()} == {(2, 0.090909091), (None, 0.090909091), (1, 0.047619048)}
+
+
+def test_best_are_the_same_in_any_steps():
+    """Floors from earlier steps leave out no text that belongs to the best, ties by id."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(6)]
+    texts = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(0, 25))]) for i in rng.sample(range(500), 200)]
+    asked = [(i, rng.sample(vocabulary, rng.randint(1, 3))) for i in range(9)]
+    rows = [(i, w, n, len(ws)) for i, ws in asked for n, w in enumerate(ws)]
+    table = whole.Asked(pa.table(dict(zip(("query_id", "term", "number", "n_terms"), map(list, zip(*rows))))))
+    want = {(q, d) for q, d, _, n in ranked([(q, " ".join(w)) for q, w in asked], [(d, " ".join(w)) for d, w in texts], True) if n <= 5}
+    for step in (1, 7, 200):
+        best = whole.Best(len(table.ids), 5)
+        for a in range(0, len(texts), step):
+            part = texts[a : a + step]
+            whole._meet(table, best, np.array([d for d, _ in part]), pa.array([w for _, w in part], pa.list_(pa.string())), 0.1)
+        best.settle() if best.fresh else None
+        assert {(table.ids[int(q)].as_py(), int(d)) for q, d in zip(*best.held[:2])} == want
