@@ -170,13 +170,31 @@ area.sql(
     JOIN (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, p_name FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE p_size > 10 GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, p_name) c
       ON c.l_orderkey = a.l_orderkey AND c.l_partkey = a.l_partkey AND c.l_suppkey = a.l_suppkey AND c.l_linenumber = a.l_linenumber AND c.l_returnflag = a.l_returnflag""",
 )
-area.sql(
-    "historical_sources",
-    """
+#: Lines that a partition of a wide shuffle has at most, about.
+SPREAD = 500_000
+
+
+def _spread(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """Dealt by the key to so many partitions if a shuffle would have fewer, so that a task holds no more of a larger table."""
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+@area.plan("""
     SELECT r.r_name, p.p_brand, count(*) AS cited, count(DISTINCT o.o_orderkey) AS jobs
-    FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey
-    JOIN {region} r ON r.r_regionkey = n.n_regionkey JOIN {part} p ON p.p_partkey = l.l_partkey AND p.p_size >= l.l_linenumber GROUP BY r.r_name, p.p_brand""",
-)
+    FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+    JOIN region r ON r.r_regionkey = n.n_regionkey JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size >= l.l_linenumber GROUP BY r.r_name, p.p_brand""")
+def historical_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and orders of every region and brand; lines and orders meet and are counted in partitions whose number grows with them."""
+    lineitem, orders, part, customer, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer", "nation", "region"))
+    parts = -(-lineitem.count() // SPREAD)
+    cited = _spread(lineitem.select("l_orderkey", "l_partkey", "l_linenumber"), "l_partkey", parts).join(_spread(part, "p_partkey", parts), (F.col("p_partkey") == F.col("l_partkey")) & (F.col("p_size") >= F.col("l_linenumber")))
+    placed = _spread(orders.select("o_orderkey", "o_custkey"), "o_custkey", parts).join(_spread(customer, "c_custkey", parts), F.col("c_custkey") == F.col("o_custkey"))
+    placed = placed.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    cited, placed = _spread(cited.select("l_orderkey", "p_brand"), "l_orderkey", parts), _spread(placed.select("o_orderkey", "r_name"), "o_orderkey", parts)
+    met = cited.join(placed, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("r_name", "p_brand", "o_orderkey").agg(F.count("*").alias("n"))
+    return met.groupBy("r_name", "p_brand").agg(F.sum("n").alias("cited"), F.count("o_orderkey").alias("jobs"))
+
+
 area.sql(
     "prefetched_children",
     """

@@ -1,7 +1,9 @@
 """Steps that must not grow faster than their input: what they give when cut small is what they give whole."""
 
 import random
+import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text, vectors
 from loomstone.operators import overlap, retrieval, search
+from loomstone.plans import records
 
 
 @pytest.mark.parametrize("contained", [True, False])
@@ -92,3 +95,17 @@ def test_a_tile_in_pieces(monkeypatch, contained, piece):
         whole = lambda i, j: min(len(sets[i]), len(sets[j])) if contained else len(sets[i]) + len(sets[j]) - both[i][j]
         want = [sum(i != j and (blocks == 1 or block[i] != block[j]) and both[i][j] >= 0.6 * whole(i, j) - 1e-9 for j in range(90)) for i in range(90)]
         assert list(got) == want and sum(want) > 40
+
+
+def test_partitions_grow_with_the_lines(spark, monkeypatch):
+    """Lines and orders meet in as many partitions as their number asks for, and give the rows of the statement."""
+    monkeypatch.setattr(records, "SPREAD", 1000)
+    sf_dir = "/root/testdata/sf0.001"
+    got = records.area.queries["historical_sources"](spark, sf_dir)
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 1000)
+    told = got._jdf.queryExecution().executedPlan().toString()
+    assert parts > 4 and re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {parts}\)", told) and re.search(rf"hashpartitioning\(o_orderkey#\d+L?, {parts}\)", told)
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part", "customer", "nation", "region"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(records.area.oracles["historical_sources"]).fetchall())
