@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators.prefix import earlier, placed
@@ -32,7 +32,8 @@ def admit(requests: DataFrame, order: Sequence[str], scopes: dict[str, list[str]
 
     The totals before a request lie between those of what is surely admitted and those of what may be.  What fits at the
     most, or breaks a limit at the least, is settled, all scopes at once; then the bounds are closer, and only open requests and newly
-    admitted ones are looked at again.  The first open request always settles.  Once at most ``fold`` are open in
+    admitted ones are looked at again.  The first open request always settles.  Without a key, the
+    first ``fold`` requests of what the scopes have in common are settled in order ahead of that.  Once at most ``fold`` are open in
     what the scopes have in common, a task settles those in order, from the bounds that each of them carries.
 
     A null cost is 0, a null in a scope is a value of its own, a null key never attaches.  Ties in ``order`` are broken by
@@ -46,7 +47,9 @@ def admit(requests: DataFrame, order: Sequence[str], scopes: dict[str, list[str]
     low = [f"low_{s}_{c}" for s in scopes for c in costs]
     open_ = rows.select("place", "bucket", *columns, *keys, *told, *[F.lit(0).cast("long").alias(x) for x in low])
     fresh, settled = open_.limit(0), []
-    while True:
+    if not key:
+        settled, open_ = _begun(open_, common, scopes, costs, limits, fold)
+    while key or not open_.isEmpty():
         everything = open_.withColumn("sure", F.lit(False)).unionByName(fresh.withColumn("sure", F.lit(True)))
         everything = everything.withColumns({f"s_{c}": F.when(F.col("sure"), F.col(c)).otherwise(0) for c in told})
         for s, by in scopes.items():
@@ -70,12 +73,37 @@ def admit(requests: DataFrame, order: Sequence[str], scopes: dict[str, list[str]
         most_open = open_.groupBy(*common).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if most_open <= fold:
             break
+    else:
+        most_open = 0
     if most_open:
         settled.append(_folded(_carried(open_, fresh, scopes, costs), common, scopes, costs, limits, bool(key)))
     verdicts = reduce(DataFrame.unionByName, settled)
     return _coded(rows.join(verdicts, "place"), scopes, costs, limits, requests.columns)
 
 
+def _begun(open_: DataFrame, common: list[str], scopes: dict[str, list[str]], costs: Sequence[str], limits: Sequence[Limit], fold: int) -> tuple[list[DataFrame], DataFrame]:
+    """The first ``fold`` requests of what the scopes have in common, settled in order, and what that leaves no room for; and the rest.
+
+    All that is settled in order lies before the rest, so its totals need no ordered sums: they are the rest's lower bounds.
+    """
+    first = Window.partitionBy(*common).orderBy("place")
+    head = settle(open_.withColumn("n_", F.row_number().over(first)).where(F.col("n_") <= fold), "head")
+    done = settle(_folded(head, common, scopes, costs, limits, False), "done")
+    full = head.groupBy(*common).agg(F.max("place").alias("upto_"), F.max("n_").alias("n_")).where(F.col("n_") == fold)
+    same = lambda rows, other, by: [rows[c].eqNullSafe(other[f"of_{c}"]) for c in by]
+    full = full.select(*[F.col(c).alias(f"of_{c}") for c in common], "upto_")
+    rest = open_.join(full, same(open_, full, common)) if common else open_.crossJoin(F.broadcast(full))
+    rest = rest.where("place > upto_").select(*open_.columns)
+    charged = head.join(done.where("status = 'admitted'"), "place")
+    for s, by in scopes.items():
+        sums = charged.groupBy(*by).agg(*[F.sum(f"c_{c}").alias(f"sum_{c}") for c in costs]).select(*[F.col(c).alias(f"of_{c}") for c in by], *[f"sum_{c}" for c in costs])
+        met = rest.join(sums, same(rest, sums, by), "left") if by else rest.crossJoin(F.broadcast(sums))
+        rest = met.withColumns({f"low_{s}_{c}": F.coalesce(f"sum_{c}", F.lit(0).cast("long")) for c in costs}).select(*open_.columns)
+    refused = _any([F.col(f"low_{s}_{c}") + F.col(f"c_{c}") > most for s, c, most, _ in limits])
+    rest = settle(rest.withColumn("status", F.when(refused, "refused")), "rest")
+    return [done, rest.where("status IS NOT NULL").select("place", "status")], rest.where("status IS NULL").drop("status")
+
+
 def _carried(open_: DataFrame, fresh: DataFrame, scopes: dict[str, list[str]], costs: Sequence[str]) -> DataFrame:
     """Open requests with the totals of all that is surely admitted before them."""
     both = open_.withColumn("sure", F.lit(False)).unionByName(fresh.withColumn("sure", F.lit(True)))

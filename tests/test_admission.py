@@ -60,3 +60,14 @@ def test_no_requests(spark):
     df = spark.createDataFrame([], "at long, day string, who int, jobs int, size int")
     assert admission.admit(df, ["at"], SCOPES, ["jobs", "size"], LIMITS).columns == [*df.columns, "verdict"]
     assert admission.admit(df, ["at"], SCOPES, ["jobs", "size"], LIMITS).count() == 0
+
+
+def test_what_the_first_requests_fill_needs_no_rounds(spark, monkeypatch):
+    """Once the first requests fill a quota, the rest is refused by its totals; only the codes take ordered sums, one a scope."""
+    rng = random.Random(4)
+    rows = [{"at": i, "day": rng.choice(["a", "b", None]), "who": rng.randrange(9), "jobs": 1, "size": rng.choice([1, 2, 5])} for i in range(300)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "at long, day string, who int, jobs int, size int").repartition(3)
+    taken, earlier = [], admission.earlier
+    monkeypatch.setattr(admission, "earlier", lambda rows, by, sums: taken.append(by) or earlier(rows, by, sums))
+    got = {r["at"]: r.verdict for r in admission.admit(df, ["at"], SCOPES, ["jobs", "size"], LIMITS, fold=60).collect()}
+    assert got == brute(rows, SCOPES, LIMITS) and len(taken) == len(SCOPES)
