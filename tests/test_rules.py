@@ -212,6 +212,26 @@ def test_windows_against_brute_force():
         assert evidence.Passage(text).best(terms) == naive_window(text, terms)
 
 
+def test_every_place_of_a_term_asks_for_a_window(spark):
+    """Ninety places of one term ahead of the only place with both; and texts with hundreds of places, none left out."""
+    text = "period " * 90 + "filler " * 90 + "orbital period"
+    (r,) = evidence.excerpts(asked(spark, [(1, 1, "d", 2, "orbital period", text)])).collect()
+    assert r.term_hits == 2 and r.quote == text[r.start_offset : r.end_offset] and r.quote.endswith("orbital period")
+    rng, late = random.Random(21), 0
+    for _ in range(100):
+        words = [rng.choice(["alpha", "alpha", "filler", "alphabet", "x\n", "end. ", "of"]) for _ in range(600)]
+        for rare in ("beta", "gamma", "delta"):
+            words[rng.randrange(600)] = rare
+        text, terms = " ".join(words), frozenset(["alpha", "beta", "gamma", "delta", "bet"])
+        places = [0] + [m.start() for m in re.finditer("[a-z0-9]{3,}", text) if m[0] in terms]
+        windows = [evidence.Passage(text).window(at) for at in places]
+        scores = [(-len(terms & set(re.findall("[a-z0-9]{3,}", text[a:b]))), a, b) for a, b in windows]
+        hits, a, b = min(scores)
+        assert len(places) > 100 and evidence.Passage(text).best(terms) == (a, b, -hits)
+        late += min(scores[:65])[0] > hits
+    assert late > 20
+
+
 def test_excerpts_come_from_distinct_pages(spark):
     rows = [(1, 1, "d", 1, "orbital period", "the orbital period"), (1, 2, "d", 1, "orbital period", "orbital period again"), (1, 3, "d", 2, "orbital period", "nothing here"), (1, 4, "e", 1, "orbital period", "period of orbital motion and period"), (1, 6, "f", 1, "orbital period", "orbital period")]
     related = evidence.related_excerpts(asked(spark, rows)).orderBy("position").collect()
