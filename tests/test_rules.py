@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as tx
 from loomstone.functions import vectors as vec
 from loomstone.operators import chunking, evaluation, evidence, questions, retrieval, study
+from loomstone.plans import retrieval as plans
 from loomstone.sources import blocks
 from loomstone.streaming import learner
 
@@ -240,6 +241,20 @@ def test_excerpts_come_from_distinct_pages(spark):
     assert [(r.document, r["rank"], r.term_hits) for r in first] == [("d", 1, 2), ("e", 4, 2)]
 
 
+def test_excerpts_of_twenty_candidates_with_texts(spark, tmp_path):
+    """Thirty nearest vectors without a text take no place of the twenty; a question is its own document's though 25 copies of its vector stand ahead."""
+    sf = str(tmp_path)
+    towards = lambda i: [1.0, i / 100]
+    near = [(0, towards(0)), *[(i, towards(1)) for i in range(1, 31)], *[(i, towards(2)) for i in range(31, 61)]]
+    copies = [*[(i, [-1.0, 0.0]) for i in range(70, 95)], (100, [-1.0, 0.0])]
+    spark.createDataFrame([(i, v, 0) for i, v in [*near, *copies]], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
+    texts = [(i, "solar wind\nthe solar wind" if i == 0 else "lunar tide\nat last" if i == 100 else f"text {i}\nlunar tide and solar wind") for i in [0, *range(31, 61), *range(70, 95), 100]]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    rows = plans.best_excerpt_window(spark, sf).collect()
+    assert sorted((r.query_id, r["rank"], r.page) for r in rows) == [(0, 1, 0), *[(0, i + 2, 31 + i) for i in range(19)], *[(100, i + 1, 70 + i) for i in range(20)]]
+    assert all(r.term_hits == 2 for r in rows)
+
+
 def test_similar_sets_against_all_pairs(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("ab"), " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(0, 9)))) for i in range(80)] + [(90, "a", None)]
